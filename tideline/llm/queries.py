@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, simhash
 
 QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLE: dict[str, str] = {}
