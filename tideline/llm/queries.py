@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, decontam, simhash
 
 QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_decontamination": decontam.op8_decontamination,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_decontamination": decontam.SQL,
+}
