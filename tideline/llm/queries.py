@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, simhash
+from . import bpe, decontam, media, simhash
 
 QUERIES = {
+    "op5_media_tiles": media.op5_media_tiles,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_decontamination": decontam.op8_decontamination,
     "op10_simhash": simhash.op10_simhash,

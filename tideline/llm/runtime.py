@@ -85,4 +85,4 @@ def map_rows(df: DataFrame, keep: list[str], text: str, kernel: Callable[[list[b
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, ", ".join(x for x in (kept, schema) if x))
 
 
-TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
