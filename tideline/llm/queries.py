@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, media, simhash
+from . import bpe, decontam, licenses, media, simhash
 
 QUERIES = {
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_media_tiles": media.op5_media_tiles,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_decontamination": decontam.op8_decontamination,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE: dict[str, str] = {
+    "op4_license_scan": licenses.SQL,
     "op8_decontamination": decontam.SQL,
 }
