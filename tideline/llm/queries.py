@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, licenses, media, simhash
+from . import bpe, decontam, extract, licenses, media, simhash
 
 QUERIES = {
+    "op1_html_extraction": extract.op1_html_extraction,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_media_tiles": media.op5_media_tiles,
     "op6_byte_bpe": bpe.op6_byte_bpe,
