@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, extract, licenses, media, quality, simhash
+from . import bpe, decontam, extract, licenses, media, quality, secrets, simhash
 
 QUERIES = {
     "op1_html_extraction": extract.op1_html_extraction,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_license_scan": licenses.op4_license_scan,
     "op5_media_tiles": media.op5_media_tiles,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_decontamination": decontam.op8_decontamination,
     "op10_simhash": simhash.op10_simhash,
 }
