@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, extract, licenses, media, quality, secrets, simhash
+from . import bpe, decontam, extract, licenses, media, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_html_extraction": extract.op1_html_extraction,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE: dict[str, str] = {
