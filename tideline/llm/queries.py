@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, extract, licenses, media, pii, quality, secrets, simhash
+from . import bpe, decontam, extract, licenses, media, ngram, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_html_extraction": extract.op1_html_extraction,
+    "op2_lm_scores": ngram.op2_lm_scores,
     "op3_quality_gam": quality.op3_quality_gam,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_media_tiles": media.op5_media_tiles,
