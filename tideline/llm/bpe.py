@@ -244,10 +244,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return runtime.map_rows(df, [id_col], text_col, kernel, "ids array<long>, piece_starts array<long>")
 
 
-def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id column, n_tokens, n_pieces, digests of the ids and of the bytes that they decode to.
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: the id column, n_tokens, n_pieces, digests of the ids and of the bytes that they decode to, and ids if asked.
 
-    Only digests leave the task, so the ids take no space in a shuffle or a table.
+    Without ids only digests leave the task, so the ids take no space in a shuffle or a table.
     """
 
     def kernel(texts: list[bytes]) -> dict[str, list]:
@@ -258,9 +258,10 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             "n_pieces": [len(x) for x in at],
             "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(made.decode(x)).hexdigest() for x in ids],
+            "ids": ids,
         }
 
-    return runtime.map_rows(df, [id_col], text_col, kernel, "n_tokens long, n_pieces long, ids_sha256 string, decoded_sha256 string")
+    return runtime.map_rows(df, [id_col], text_col, kernel, "n_tokens long, n_pieces long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids)
 
 
 def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:

@@ -237,17 +237,43 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, parts: int = 3, group: int = GROUP) -> DataFrame:
-    """Per row: the id column, fingerprint (16 hexadecimal digits), component_id (the group's smallest id)."""
+def _groups(df: DataFrame, id_col: str, text_col: str, width: int, radius: int, parts: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id column, fp), written; and nodes (fp, least id, root: the group's smallest fp)."""
     rows = runtime.written(fingerprints(df, id_col, text_col, width), "simhash-rows")
     nodes = runtime.written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-nodes")
     root = components(links(nodes, radius, parts, group)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    nodes = nodes.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rows, nodes.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, parts: int = 3, group: int = GROUP) -> DataFrame:
+    """Per row: the id column, fingerprint (16 hexadecimal digits), component_id (the group's smallest id)."""
+    rows, nodes = _groups(df, id_col, text_col, width, radius, parts, group)
     group_id = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = nodes.join(group_id, "root").select("fp", "component_id")
     return rows.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, parts: int = 3, group: int = GROUP) -> DataFrame:
+    """df with one row of each group: the one with the smallest id (null last), then fingerprint, then row.
+
+    Only ids meet in the joins while ids are unique; rows whose id is null or repeated are told apart by fingerprint.
+    """
+    rows, nodes = _groups(df, id_col, text_col, width, radius, parts, group)
+    first = F.min(F.struct(F.col("least").isNull(), F.col("least").alias("id"), F.col("fp"))).alias("first")
+    best = runtime.written(nodes.groupBy("root").agg(first).select(F.col("first.id").alias("id"), F.col("first.fp").alias("fp")), "simhash-first")
+    ids = rows.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    gone = ids.join(best.select("id").withColumn("stays", F.lit(True)), "id", "left").filter("n > 1 or stays is null").select("id", "n").distinct()
+    gone = runtime.written(gone, "simhash-gone")
+    columns = df.columns
+    alone = df.filter(F.col(id_col).isNotNull()).join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti").select(*columns)
+    several = gone.filter("n > 1").select(F.col("id").alias(id_col))
+    unclear = df.filter(F.col(id_col).isNull()).unionByName(df.join(several, id_col, "left_semi").select(*columns))
+    row = unclear.select(F.struct(*(F.col(c) for c in columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = runtime.map_rows(row, ["row", "id"], "text", lambda texts: {"fp": np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)}, "fp long")
+    picked = marked.join(best.select(F.col("id").alias("id_"), F.col("fp").alias("fp_")), F.col("id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_"))).groupBy("id", "fp").agg(F.min("row").alias("row"))
+    return alone.unionByName(picked.select(*(F.col(f"row.`{c}`") for c in columns)))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every row of documents."""
     return near_duplicates(runtime.table(spark, sf_dir, "documents", "doc_id", "text"))
