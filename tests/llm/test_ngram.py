@@ -68,3 +68,14 @@ def test_a_state_sums_to_one():
     full = sum(10 ** w.walk(np.array([40, c]), np.array([0, p]), np.array([0]), 9)[1] for c, p in zip(words, (25, 15, 0)))
     unseen = 10 ** w.walk(np.array([40, 0]), np.array([0, 0]), np.array([0]), 9)[1]
     assert full + unseen == pytest.approx(1, abs=0.02)
+
+
+def test_texts_of_many_slices(spark):
+    """More text than one slice of a batch: no token is lost, and scores are those of the rows by themselves."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).slice(0, 4000).to_pylist()
+    assert sum(len(d["text"]) for d in docs) > 2 * ngram.runtime.SLICE_BYTES
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(f"doc_id <= {max(d['doc_id'] for d in docs)}").coalesce(1)
+    rows = [(d["doc_id"], d["text"], d["doc_id"] % 5 != 1) for d in docs]
+    same(ngram.score(df, F.col("doc_id") % 5 != 1, chunk=700_000, shard=300_000).collect(), brute(rows))

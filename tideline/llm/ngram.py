@@ -76,7 +76,7 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, lower-cased (A-Z), and how many each has."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     words, sizes = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     full = pc.not_equal(pc.binary_length(words), 0)
     keep = full.to_numpy(zero_copy_only=False)
@@ -90,7 +90,7 @@ def _chunk(ids: list, train: list, words: list[pa.Array], sizes: list[np.ndarray
     """A chunk's row: word hashes (the end first), and the texts as numbers in that list, each with its end (0)."""
     size = np.concatenate(sizes)
     coded = pa.chunked_array(words).combine_chunks().dictionary_encode() if len(words) > 1 else words[0].dictionary_encode()
-    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
     ends = np.cumsum(size + 1) - 1
     numbers = np.zeros(int(size.sum()) + len(size), np.uint32)
     inner = np.ones(len(numbers), bool)
