@@ -1 +1,128 @@
-"""To come."""
+"""Versioned documents: numbering, sections, carry-forward, acceptance runs, coverage, versions by content."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import relational as R
+from ..sources.adapter import table
+from .catalog import query
+
+
+@query("select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3")
+def last_n_per_parent(spark: SparkSession, sf: str) -> DataFrame:
+    """The last three entries of each parent."""
+    return R.first_per(table(spark, sf, "conversations"), ["conv_id"], [F.desc("turn")], 3).select("conv_id", "turn", "role")
+
+
+NUMBERS_SQL = """select conv_id, turn, role, case when role <> 'system' then cast(sum(case when role <> 'system' then 1 else 0 end) over (partition by conv_id order by turn) as bigint) end as number,
+  last_value(case when role = 'system' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as section from conversations"""
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Items numbered within their document, headings not; and the last heading above each row."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    item = F.col("role") != "system"
+    return rows.withColumn("number", F.when(item, F.sum(item.cast("long")).over(w))).withColumn("section", F.last(F.when(~item, F.col("turn")), ignorenulls=True).over(w))
+
+
+@query(NUMBERS_SQL)
+def doc_numbering(spark, sf):
+    return numbered(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "number", "section")
+
+
+@query("""with old as (select * from conversations where conv_id % 2 = 0), touched as (select conv_id, turn from conversations where conv_id % 2 = 0 and turn % 3 = 1),
+  merged as (select conv_id, turn, role, true as carried, 0 as part from old where (conv_id, turn) not in (select conv_id, turn from touched) union all select conv_id, turn, concat(role, ' v2'), false, 1 from old where (conv_id, turn) in (select conv_id, turn from touched))
+  select conv_id, row_number() over (partition by conv_id order by part, turn) - 1 as position, role, carried from merged""")
+def carry_forward_merge(spark, sf):
+    """A new version: rows not touched are carried over, touched ones follow in their new form, positions start at 0."""
+    old = table(spark, sf, "conversations").filter("conv_id % 2 = 0")
+    touched = old.filter("turn % 3 = 1").select("conv_id", "turn")
+    carried = old.join(touched, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "role", F.lit(True).alias("carried"))
+    new = old.join(touched, ["conv_id", "turn"], "left_semi").select("conv_id", "turn", F.concat("role", F.lit(" v2")).alias("role"), F.lit(False).alias("carried"))
+    w = Window.partitionBy("conv_id").orderBy(F.desc("carried"), "turn")
+    return carried.unionByName(new).select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("position"), "role", "carried")
+
+
+@query("""with n as (select conv_id, turn, cast(sum(case when role <> 'system' then 1 else 0 end) over (partition by conv_id order by turn) as bigint) as number, role from conversations),
+  r as (select n.conv_id, number, coalesce(quality, 1) = 1 as passed, number % 4 = 0 as has_bug from n left join labels on doc_id = n.conv_id * 3 + n.turn where role <> 'system')
+  select conv_id, count(*) as items, count(*) filter (where passed) as passed, count(*) filter (where not passed) as failed, count(*) filter (where not passed and not has_bug) as proposals, count(*) filter (where not passed) > 0 and bool_and(passed or has_bug) as all_linked from r group by 1""")
+def acceptance_run_snapshot(spark, sf):
+    """An acceptance run by document: counts, proposals for failed items without a bug, and whether every failure has one."""
+    items = numbered(table(spark, sf, "conversations")).filter("role <> 'system'").withColumn("doc_id", F.col("conv_id") * 3 + F.col("turn"))
+    passed, bug = F.coalesce("quality", F.lit(1)) == 1, F.col("number") % 4 == 0
+    rows = items.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("conv_id", passed.alias("ok"), bug.alias("bug"))
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("items"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(~F.col("ok") & ~F.col("bug")).alias("proposals"), ((F.count_if(~F.col("ok")) > 0) & F.bool_and(F.col("ok") | F.col("bug"))).alias("all_linked"))
+
+
+@query("""select c_custkey as story_id, count(o_orderkey) as changed, coalesce(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) filter (where o_orderkey % 3 > 0), '') as affected,
+  coalesce(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) filter (where o_orderkey % 3 = 0), '') as not_covered from customer left join orders on o_custkey = c_custkey and o_orderdate > timestamp '1998-01-01' group by 1""")
+def coverage_delta(spark, sf):
+    """Children changed since the last document: those that its items cover, and those that none does."""
+    changed = table(spark, sf, "orders").filter(F.col("o_orderdate") > F.lit("1998-01-01").cast("timestamp_ntz")).select(F.col("o_custkey").alias("story_id"), "o_orderkey", (F.col("o_orderkey") % 3 > 0).alias("covered"))
+    listed = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.col("o_orderkey")))), lambda x: x.cast("string")), ",")
+    lists = changed.groupBy("story_id").agg(F.count(F.lit(1)).alias("changed"), listed(F.col("covered")).alias("affected"), listed(~F.col("covered")).alias("not_covered"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("story_id")).join(lists, "story_id", "left").fillna(0, ["changed"]).fillna("", ["affected", "not_covered"])
+
+
+@query("""select user_id, count(*) as events, 1 + count(*) filter (where prior is not null and prior <> mark) as version from (select *, lag(mark) over (partition by user_id order by ts, event_id) as prior from (select *, sha256(coalesce(event_type, '')) as mark from events)) group by 1""")
+def reference_versions(spark, sf):
+    """A version goes up whenever the content's digest changes."""
+    rows = table(spark, sf, "events").withColumn("mark", F.sha2(F.coalesce("event_type", F.lit("")), 256))
+    rows = rows.withColumn("prior", F.lag("mark").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), (F.count_if(F.col("prior") != F.col("mark")) + 1).alias("version"))
+
+
+@query("""select doc_id, change from (select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.doc_id is null then 'added' when b.doc_id is null then 'removed' when a.mark <> b.mark then 'updated' else 'same' end as change
+  from (select doc_id, sha256(text) as mark from documents where doc_id % 7 > 0) a full join (select doc_id, sha256(case when doc_id % 5 = 0 then concat(text, '!') else text end) as mark from documents where doc_id % 11 > 0) b on a.doc_id = b.doc_id)""")
+def registry_diff(spark, sf):
+    """A registry against what is on disk, by digest; texts are digested before the join, so only digests move."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    before = docs.filter("doc_id % 7 > 0").select("doc_id", F.sha2("text", 256).alias("mark"))
+    after = docs.filter("doc_id % 11 > 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("mark"))
+    return R.diff(before, after, "doc_id", "mark")
+
+
+@query("""select source, doc_id, cast(used as bigint) as used, kept from (select source, doc_id, coalesce(sum(least(length(text), 400)) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as used, least(length(text), 400) as size from documents)
+  cross join lateral (select cast(greatest(0, least(size, 7000 - used)) as bigint) as kept) where kept > 0""")
+def budgeted_context(spark, sf):
+    """Texts, cut to a chunk each, until a source's budget is used up.
+
+    A source may hold a large share of all texts: sizes are added up by ranges of ids first, and only ranges that begin
+    within the budget are walked through row by row.
+    """
+    budget, span = 7000, 1000
+    rows = table(spark, sf, "documents").select("source", "doc_id", F.least(F.length("text"), F.lit(400)).alias("size"), F.floor(F.col("doc_id") / span).alias("part"))
+    before = lambda *keys: Window.partitionBy(*keys)
+    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("size"))
+    parts = parts.select("source", "part", F.coalesce(F.sum("size").over(before("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")).filter(F.col("base") < budget)
+    own = F.coalesce(F.sum("size").over(before("source", "part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(parts, ["source", "part"]).withColumn("used", F.col("base") + own)
+    return rows.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("used"))).cast("long")).filter("kept > 0").select("source", "doc_id", "used", "kept")
+
+
+@query("""select conv_id, string_agg(case when role = 'system' then concat('## ', left(text, 20)) else concat(cast(number as varchar), '. ', left(text, 20)) end, chr(10) order by turn) as body
+  from (select *, sum(case when role <> 'system' then 1 else 0 end) over (partition by conv_id order by turn) as number from conversations) group by 1""")
+def document_render(spark, sf):
+    """A document as text: headings, and items with their numbers."""
+    line = F.when(F.col("role") == "system", F.concat(F.lit("## "), F.left("text", F.lit(20)))).otherwise(F.concat(F.col("number").cast("string"), F.lit(". "), F.left("text", F.lit(20))))
+    rows = numbered(table(spark, sf, "conversations")).select("conv_id", F.struct("turn", line.alias("line")).alias("x"))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
+
+
+@query("select c_mktsegment as kind, c_custkey as doc_id, 10 + row_number() over (partition by c_mktsegment order by c_custkey) as version from customer where c_custkey % 4 = 0")
+def versioned_append(spark, sf):
+    """New rows get the versions after the highest known of their key."""
+    customers = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("kind"), F.col("c_custkey").alias("doc_id"))
+    known = customers.select("kind").distinct().withColumn("version", F.lit(10).cast("long"))
+    return R.next_versions(known, customers.filter("doc_id % 4 = 0"), ["kind"], [F.col("doc_id")]).select("kind", "doc_id", F.col("version").cast("long"))
+
+
+@query("select o_orderkey as task_id, concat('N', cast(o_custkey % 25 as varchar), '-', cast(1000 + row_number() over (partition by o_custkey % 25 order by o_orderkey) as varchar)) as code from orders")
+def task_code_numbering(spark, sf):
+    """Codes that go on from a project's counter and are never used again."""
+    project = F.col("o_custkey") % 25
+    number = 1000 + F.row_number().over(Window.partitionBy(project).orderBy("o_orderkey"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.concat(F.lit("N"), project.cast("string"), F.lit("-"), number.cast("string")).alias("code"))

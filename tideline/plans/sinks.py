@@ -1 +1,64 @@
-"""To come."""
+"""What is written, and streams: every sink and stream here is read back so that its rows can be compared."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import relational as R
+from ..sources.adapter import table
+from ..streaming import jobs
+from .catalog import query
+
+
+@query("select coalesce(b.k, a.k) as user_id, coalesce(b.v, a.v) as last_value from (select user_id as k, arg_max(value, event_id) as v from events where event_id <= 500 group by 1) a full join (select user_id as k, arg_max(value, event_id) as v from events where event_id > 500 group by 1) b on a.k = b.k")
+def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Heartbeats and settings: new values replace old ones, unknown keys are added."""
+    rows = table(spark, sf, "events")
+    last = lambda cond: rows.filter(cond).groupBy("user_id").agg(F.max_by("value", "event_id").alias("last_value"))
+    return R.upsert(last("event_id <= 500"), last("event_id > 500"), ["user_id"])
+
+
+@query("select k as setting, coalesce(v, d) as value from (values ('tick', '30'), ('attempts', '3'), ('parallel', '4')) t(k, d) left join (values ('attempts', '5'), ('other', '1')) s(n, v) on n = k")
+def settings_with_defaults(spark, sf):
+    """Stored settings over their defaults; unknown ones are not settings."""
+    defaults = spark.createDataFrame([("tick", "30"), ("attempts", "3"), ("parallel", "4")], "setting string, base string")
+    stored = spark.createDataFrame([("attempts", "5"), ("other", "1")], "setting string, own string")
+    return defaults.join(stored, "setting", "left").select("setting", F.coalesce("own", "base").alias("value"))
+
+
+@query("select i as n, concat('generated ', cast(i as varchar), ' of ', r_name) as title from region, range(1, 1001) t(i) where r_regionkey = i % 5")
+def row_generator(spark, sf):
+    regions = table(spark, sf, "region")
+    return spark.range(1, 1001).join(F.broadcast(regions), F.col("id") % 5 == F.col("r_regionkey")).select(F.col("id").alias("n"), F.format_string("generated %d of %s", "id", "r_name").alias("title"))
+
+
+@query("select event_type from events where event_type not in (select unnest(['view', 'click'])) group by 1 having count(*) > 0")
+def orphan_tags(spark, sf):
+    """Tags that nothing refers to."""
+    used = spark.createDataFrame([("view",), ("click",)], "event_type string")
+    return table(spark, sf, "events").select("event_type").distinct().join(used, "event_type", "left_anti")
+
+
+@query("select event_id, user_id, ts, event_type from events where event_type <> 'view'")
+def log_tail_stream(spark, sf):
+    """The log as a stream: each event once, though files may repeat it; the mark is the checkpoint."""
+    return jobs.deduplicated_log(spark, sf)
+
+
+@query("select user_id, max(ts) as last_seen, count(*) as events from events group by 1")
+def activity_stream(spark, sf):
+    """State by user kept by a stream, its last state read back."""
+    return jobs.last_seen(spark, sf)
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n, cast(sum(floor(value)) as bigint) as total from events group by 1, 2")
+def windowed_counts_stream(spark, sf):
+    """Extra: tumbling windows over event time with a watermark."""
+    return jobs.hourly(spark, sf)
+
+
+@query("with i as (select *, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by event_id) as island from events where event_type in ('error', 'purchase', 'signup')), r as (select user_id, island, count(*) filter (where event_type <> 'purchase') as n from i group by 1, 2) select user_id, n as failures from r qualify row_number() over (partition by user_id order by island desc) = 1")
+def circuit_stream(spark, sf):
+    """Failures in a row as state of a stream, by event number."""
+    return jobs.failures_in_a_row(spark, sf)
