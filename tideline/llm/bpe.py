@@ -142,7 +142,7 @@ class Coder:
     """Encodes and decodes by the ranks of one file."""
 
     #: So many distinct pieces are remembered; then memory starts afresh. It holds results only, so it changes none.
-    REMEMBERED = 500_000
+    REMEMBERED = 300_000
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
