@@ -79,3 +79,13 @@ def test_redaction(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, found string")
     got = sorted(map(tuple, secrets.redact(df).collect()), key=str)
     assert got == sorted([(1, 'a é [secret]" b [secret]', "x"), (2, None, "y"), (3, "clean", None), (3, "clean", None), (4, "[secret]", "")], key=str)
+
+
+def test_the_sql_agrees_on_texts_with_random_tokens():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts())))
+    got = {r[0]: r[6] for r in con.execute(f"select doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans from ({secrets.SQL})").fetchall()}
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute(t)) for i, t in enumerate(texts())}

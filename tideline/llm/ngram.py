@@ -300,3 +300,22 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of every whole text of documents under bigrams of those that are not held out."""
     part = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(0))
     return score(runtime.table(spark, sf_dir, "documents", "doc_id", "text"), part != 1)
+
+
+#: crc32 of an id's digits, bit by bit; words, pairs and classes as tables.
+SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda i: cast(i as bigint))), lambda a, i: xor(a >> 1, (a & 1) * 3988292384))), 4294967295::bigint) % 5 = 1 as held_out,
+    list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') as ws from documents
+), k as (select r, held_out, unnest(ws) as w, unnest(list_prepend(' ', ws[1 : len(ws) - 1])) as p from d
+), one as (select w, count(*) as c from k where not held_out group by w
+), two as (select p, w, count(*) as c2 from k where not held_out group by p, w
+), total as (select cast(sum(c) as bigint) as n, count(*) as v from one
+), t as (select k.r, k.held_out, coalesce(one.c, 0) as c, coalesce(h.c, 0) as cp, coalesce(c2, 0) as c2 from k left join one on one.w = k.w left join one h on h.w = k.p left join two on two.p = k.p and two.w = k.w
+), class as (select length(bin(cp)) as class, 1 - (count(*) filter (where c2 = 1) + 1.0::double) / (count(*) + 2) as a from t where not held_out group by 1
+), s as (select r, count(*) as n_tokens, count(*) filter (where c > 0) as n_known, round(fsum(log10((c + 0.5::double) / (n + 0.5::double * (v + 1)))), 6) as base_score,
+    round(fsum(log10(case when cp > 0 then a * c2 / cp + (1 - a) * (c + 0.5::double) / (n + 0.5::double * (v + 1)) else (c + 0.5::double) / (n + 0.5::double * (v + 1)) end)), 6) as score
+  from t cross join total left join class on class = length(bin(cp)) and cp > 0 group by r)
+select doc_id, held_out, n_tokens, n_known, n as train_tokens, base_score, score from d join s using (r) cross join total
+"""

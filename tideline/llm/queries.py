@@ -17,6 +17,8 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE: dict[str, str] = {
+    "op2_lm_scores": ngram.SQL,
     "op4_license_scan": licenses.SQL,
+    "op7_secret_scan": secrets.SQL,
     "op8_decontamination": decontam.SQL,
 }

@@ -126,3 +126,37 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find(runtime.table(spark, sf_dir, "documents", "doc_id", "text"))
     count = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *count, F.expr(f"sha2({listed('found', 'x.rank < 3')}, 256)").alias("base_sha256"), F.expr(listed("found")).alias("spans"))
+
+
+def _sql() -> str:
+    """Matches and the gaps between them by place; the tests as sums over the tokens' characters."""
+    token = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+    found = lambda kind, rank, pattern, value, where: f"""select r, '{kind}' as kind, {rank} as rank, start, start + length(m) as stop, m from (
+      select r, unnest(ms) as m, unnest(vs) as v, unnest(list_transform(range(1, len(ms) + 1), lambda i: cast(list_sum(list_transform(gaps[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda g: length(g))), 0) as bigint))) as start
+      from (select r, regexp_extract_all(t, $p${pattern}$p$) as ms, regexp_extract_all(t, $p${pattern}$p$, {value}) as vs, regexp_split_to_array(t, $p${pattern}$p$) as gaps from d) where len(ms) > 0) where {where}"""
+    tail = lambda z: "({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{x} * {x}))".format(x=f"(abs({z}) / sqrt(2))", t=f"(1 / (1 + 0.3275911 * (abs({z}) / sqrt(2))))")
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), base as ({found("assign", 0, ASSIGN, 2, f"length(v) >= {ASSIGN_VALUE}")} union all {found("access", 1, ACCESS, 0, "true")} union all {found("hex", 2, HEX, 0, "true")}
+), token as (select row_number() over () as id, * from ({found("random", 3, token, 0, "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')")}) x where not exists (select 1 from base b where b.r = x.r and b.start < x.stop and x.start < b.stop)
+), coded as (select id, length(m) as whole, case when regexp_full_match(rtrim(m, '='), '[0-9a-f]+|[0-9A-F]+') then lower(rtrim(m, '=')) else translate(rtrim(m, '='), '-_', '+/') end as s,
+    case when regexp_full_match(rtrim(m, '='), '[0-9a-f]+|[0-9A-F]+') then '{HEX_ALPHABET}' when regexp_full_match(rtrim(m, '='), '[A-Z2-7]+') then '{BASE32_ALPHABET}' else '{BASE64_ALPHABET}' end as alphabet from token
+), ch as (select id, i, cast(length(alphabet) as double) as k, cast(instr(alphabet, s[i]) - 1 as double) as x from (select *, unnest(range(1, length(s) + 1)) as i from coded)
+), pair as (select *, lag(x) over (partition by id order by i) as y from ch
+), mean as (select id, k, cast(count(*) as double) as n, avg(x) as mean, cast(count(*) filter (where x >= k / 2) as double) as high, 1.0 + count(*) filter (where y is not null and (x >= k / 2) <> (y >= k / 2)) as runs from pair group by id, k
+), sq as (select id, sum(c * c) as squares from (select id, x, cast(count(*) as double) as c from ch group by id, x) group by id
+), serial as (select id, sum((x - mean) * (x - mean)) as spread, sum((x - mean) * (y - mean)) as joint from pair join mean using (id) group by id
+), z as (select id, pow((k / n * squares - n) / (k - 1), 1.0 / 3) as q, 2 / (9 * (k - 1)) as u, case when high = 0 or high = n then 99.0 else (runs - (2 * high * (n - high) / n + 1)) / sqrt(greatest(1e-9, (2 * high * (n - high)) * (2 * high * (n - high) - n) / (n * n * (n - 1)))) end as z_runs,
+    case when spread = 0 then 99.0 else (joint / spread + 1 / n) * sqrt(n) end as z_serial from mean join sq using (id) join serial using (id)
+), p as (select id, least(1.0, 3 * least(case when q >= 1 - u then 0.5 * {tail("(q - (1 - u)) / sqrt(u)")} else 1 - 0.5 * {tail("(q - (1 - u)) / sqrt(u)")} end, {tail("z_runs")}, {tail("z_serial")})) as p from z
+), w as (select token.*, p / (least(whole, {MOST_WEIGHT}) / avg(least(whole, {MOST_WEIGHT})) over (partition by r)) as q from token join p using (id) join coded using (id)
+), o as (select *, q <= {LEVEL} * row_number() over (partition by r order by q) / count(*) over (partition by r) as under from w
+), kept as (select * from o where q > coalesce((select max(q) from o x where x.r = o.r and under), -1)
+), every as (select r, kind, rank, start, stop from base union all select r, kind, rank, start, stop from kept
+), lists as (select r, count(*) filter (where rank = 0) as a, count(*) filter (where rank = 1) as b, count(*) filter (where rank = 2) as c, count(*) filter (where rank = 3) as e,
+    string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) filter (where rank < 3) as base_list, string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) as spans from every group by r)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, coalesce(e, 0) as n_random, sha256(coalesce(base_list, '')) as base_sha256, coalesce(spans, '') as spans from d left join lists using (r)
+"""
+
+
+SQL = _sql()
