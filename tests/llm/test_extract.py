@@ -46,6 +46,12 @@ def test_pages_without_an_article_element():
     assert extract.main_text(page) == f"{long}\n{long} & more here bold"
 
 
+def test_names_of_frames_and_comments():
+    page = """<body><div id="page" class="has-sidebar"><div class="right-sidebar layout"><article class="post with-comments"><p>Text.</p></article>
+    <section class="comments"><article><p>no</p></article></section><article class="comment"><p>no</p></article></div></div>"""
+    assert extract.main_text(page) == "Text."
+
+
 def test_inside_an_article():
     page = """<body><header><h1>Site</h1></header><main><article><h1>Title</h1><p>One.</p><aside>no</aside><div class='ad'>no</div><p>Two
     lines &lt;b&gt;</p><div class="cookie-notice">no</div><form><p>no</p></form><section id="comments"><p>no</p></section></article></main><p>no"""

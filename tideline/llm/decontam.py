@@ -9,7 +9,7 @@ at most BLOCK_BYTES; a larger benchmark is dealt into blocks under that size, ea
 the covered spans of the passes are united by document row, so the result is the same.
 
 Defined results: null, empty and wordless texts have no words, hits or items; items without words match nothing; equal
-windows of several items count for each; repeated rows each give a row; empty tables give no rows, or no hits.
+windows of several items count for each; an item without an id makes hits but is not counted; repeated rows each give a row; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ class Windows:
                 owners.setdefault(f" {b' '.join(words[i : i + size]).decode()} ", (size, set()))[1].add(item)
         self.automaton = ahocorasick.Automaton()
         for pattern, (size, of) in owners.items():
-            self.automaton.add_word(pattern, (size, frozenset(of)))
+            self.automaton.add_word(pattern, (size, frozenset(of - {None})))
         self.some = bool(owners)
         if self.some:
             self.automaton.make_automaton()

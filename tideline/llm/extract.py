@@ -40,6 +40,10 @@ CLOSES = {
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class names and ids that mark what is no article text.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promoted promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar sidebars aside notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses widget widgets toolbar login search pagination pager copyright disclaimer alert alerts hidden skip".split())
+#: An article element is dropped only as a reader's comment or an advert.
+ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo promoted comment comments reply replies".split())
+#: Names that say what a page's frame has beside the article.
+LAYOUT = re.compile(r"\b(?:has|with|without|no|left|right|two|one)[-_ ]+[a-z]+\b")
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 #: Prior of a path in an article or main element.
 INSIDE = 50.0
@@ -54,12 +58,15 @@ def _attributes(raw: str) -> dict[str, str]:
 def _dropped(tag: str, at: dict[str, str]) -> bool:
     if tag in DROPPED or at.get("role", "").lower() in ROLES:
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
     if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in at.get("style", "").replace(" ", "").lower():
         return True
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{at.get('class', '')} {at.get('id', '')}")
-    return bool(MARKS.intersection(re.split(r"[^a-z]+", names.lower())))
+    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{at.get('class', '')} {at.get('id', '')}").lower()
+    if not names.strip():
+        return False
+    words = re.split(r"[^a-z]+", LAYOUT.sub(" ", names))
+    return not (ARTICLE_MARKS if tag == "article" else MARKS).isdisjoint(words)
 
 
 def blocks(page: str) -> list[tuple[str, bool, str, int, int]]:
