@@ -40,9 +40,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import runtime
 
 #: Tokens of a chunk, about: a text is not cut.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Keys that a shard gets, about.
-SHARD = 3_000_000
+SHARD = 2_000_000
 CLASSES = 64
 #: The end of a text as a word; no word has white space.
 END = b" "
@@ -105,20 +105,20 @@ class Chunk:
 
     def __init__(self, sizes: bytes, words: bytes, numbers: bytes, train: list):
         self.size = _unpack(sizes, np.uint32).astype(np.int64)
-        hashes, self.word = _unpack(words, np.uint64), _unpack(numbers, np.uint32).astype(np.int64)
+        hashes, self.word = _unpack(words, np.uint64), _unpack(numbers, np.uint32).view(np.int32)
         before = np.empty_like(self.word)
         before[1:], before[:1] = self.word[:-1], 0  # the state; the end's number stands for the start
         self.before = before
         self.train = np.repeat(np.array(train, bool), self.size)
         self.word_keys, self.word_at = self._order(_mixed(hashes), self.word)
-        pairs, place = np.unique(before * len(hashes) + self.word, return_inverse=True)
+        pairs, place = np.unique(before.astype(np.int64) * len(hashes) + self.word, return_inverse=True)
         self.pair_keys, self.pair_at = self._order(_pair(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]), place)
 
     @staticmethod
     def _order(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
+        place = np.empty(len(keys), np.int32)
+        place[order] = np.arange(len(keys), dtype=np.int32)
         return keys[order], place[at]
 
 
@@ -171,20 +171,26 @@ def _ask(bits: int):
     target = _fields(_ASKED, _KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                c = Chunk(r["sizes"], r["words"], r["numbers"], r["train"])
-                for kind, keys, at in ((0, c.word_keys, c.word_at), (1, c.pair_keys, c.pair_at)):
-                    counts = np.bincount(at[c.train], minlength=len(keys)).astype(np.uint32)
-                    shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    cut = np.flatnonzero(np.diff(shard, prepend=-1))
-                    ends = [*cut[1:], len(keys)]
-                    rows = [{"chunk": r["chunk"], "kind": kind, "shard": int(shard[a]), "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0))), "counts": _pack(counts[a:b])} for a, b in zip(cut, ends)]
-                    yield pa.RecordBatch.from_pylist(rows, schema=target)
+        for r in _rows(batches):
+            c = Chunk(r["sizes"], r["words"], r["numbers"], r["train"])
+            for kind, keys, at in ((0, c.word_keys, c.word_at), (1, c.pair_keys, c.pair_at)):
+                counts = np.bincount(at[c.train], minlength=len(keys)).astype(np.uint32)
+                shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                cut = np.flatnonzero(np.diff(shard, prepend=-1))
+                ends = [*cut[1:], len(keys)]
+                rows = [{"chunk": r["chunk"], "kind": kind, "shard": int(shard[a]), "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0))), "counts": _pack(counts[a:b])} for a, b in zip(cut, ends)]
+                yield pa.RecordBatch.from_pylist(rows, schema=target)
 
     return run
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: only one chunk's values are Python objects at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 _ANSWERED = "chunk string, kind int, shard long, counts binary, n_known long"
 
 
@@ -285,12 +291,11 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     target = pa.schema([("id", kept), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                size, words, pairs = _unpack(r["sizes"], np.uint32).astype(np.int64), _unpack(r["words"], np.int64), _unpack(r["pairs"], np.int64)
-                starts = np.cumsum(size) - size
-                add = lambda x: np.round(np.add.reduceat(x, starts), 6)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(r["ids"], kept), pa.array([not t for t in r["train"]]), pa.array(size), pa.array(np.add.reduceat((words > 0).astype(np.int64), starts)), pa.array(np.full(len(size), weights.n, np.int64)), pa.array(add(weights.root(words))), pa.array(add(weights.walk(words, pairs, starts, texts)))], schema=target)
+        for r in _rows(batches):
+            size, words, pairs = _unpack(r["sizes"], np.uint32).astype(np.int64), _unpack(r["words"], np.int64), _unpack(r["pairs"], np.int64)
+            starts = np.cumsum(size) - size
+            add = lambda x: np.round(np.add.reduceat(x, starts), 6)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(r["ids"], kept), pa.array([not t for t in r["train"]]), pa.array(size), pa.array(np.add.reduceat((words > 0).astype(np.int64), starts)), pa.array(np.full(len(size), weights.n, np.int64)), pa.array(add(weights.root(words))), pa.array(add(weights.walk(words, pairs, starts, texts)))], schema=target)
 
     out = counted.select("ids", "train", "sizes", "words", "pairs").mapInArrow(run, f"id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
