@@ -83,10 +83,10 @@ def status_matrix(spark, sf):
     return table(spark, sf, "task").groupBy("type_key", "status_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select story_id, code, title_up, is_bug from (select story_id, code, upper(c_name) as title_up, type_key = 'bug' as is_bug from task join customer on c_custkey = story_id where upper(code) = upper('ah-7'))", ("task",))
+@query("select story_id, code, title_up, is_bug from (select story_id, code, upper(c_name) as title_up, type_key = 'bug' as is_bug from task join customer on c_custkey = story_id where upper(code) = upper('tk-7'))", ("task",))
 def lookup_by_code(spark, sf):
     """A point look-up by a unique key, whatever its case."""
-    one = table(spark, sf, "task").filter(F.upper("code") == "AH-7")
+    one = table(spark, sf, "task").filter(F.upper("code") == "TK-7")
     return one.join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("story_id")).select("story_id", "code", F.upper("c_name").alias("title_up"), (F.col("type_key") == "bug").alias("is_bug"))
 
 

@@ -71,12 +71,12 @@ def handoff_notes(spark, sf):
     return rows.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("k"), line.alias("line")))), lambda x: x["line"]), "\n").alias("note"))
 
 
-@query("""select c_custkey as story_id, concat('# ', c_name, chr(10), 'tasks: ', cast(count(o_orderkey) as varchar), chr(10), coalesce(string_agg(concat('- AH-', cast(o_orderkey as varchar), ' ', o_orderstatus), chr(10) order by o_orderdate desc, o_orderkey desc) filter (where rn <= 5), '')) as bundle
+@query("""select c_custkey as story_id, concat('# ', c_name, chr(10), 'tasks: ', cast(count(o_orderkey) as varchar), chr(10), coalesce(string_agg(concat('- TK-', cast(o_orderkey as varchar), ' ', o_orderstatus), chr(10) order by o_orderdate desc, o_orderkey desc) filter (where rn <= 5), '')) as bundle
   from customer left join (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) o on o_custkey = c_custkey group by 1, c_name""")
 def context_bundle(spark, sf):
     """A story's context as one text: its head, counts and last five tasks."""
     recent = R.first_per(table(spark, sf, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 5, "rn")
-    line = F.concat(F.lit("- AH-"), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderstatus"))
+    line = F.concat(F.lit("- TK-"), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderstatus"))
     lines = recent.groupBy(F.col("o_custkey").alias("story_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     counts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("story_id")).agg(F.count(F.lit(1)).alias("n"))
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("story_id"), "c_name").join(counts, "story_id", "left").join(lines, "story_id", "left")
@@ -154,7 +154,7 @@ def status_guess(spark, sf):
 
 @query("select user_id, quantile_disc(value, 0.95) as p95 from events group by 1")
 def latency_p95(spark, sf):
-    """The harness's percentile: a value that occurs, by rank."""
+    """A percentile as a value that occurs, by rank."""
     return table(spark, sf, "events").groupBy("user_id").agg(F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TASK = """
-select o_orderkey as task_id, concat('AH-', cast(o_orderkey as varchar(20))) as code, c_nationkey as project_id, o_custkey as story_id,
+select o_orderkey as task_id, concat('TK-', cast(o_orderkey as varchar(20))) as code, c_nationkey as project_id, o_custkey as story_id,
   case c_mktsegment when 'BUILDING' then 'story' when 'AUTOMOBILE' then 'bug' when 'MACHINERY' then 'qa_task' when 'HOUSEHOLD' then 'analyse_task' else 'common_task' end as type_key,
   case o_orderstatus when 'P' then 'blocked'
     when 'O' then case o_orderkey % 4 when 0 then 'todo' when 1 then 'in_progress' when 2 then 'in_review' else 'in_testing' end
