@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import runtime
 
 #: Tokens of a chunk, about: a text is not cut.
-CHUNK = 1_000_000
+CHUNK = 700_000
 #: Keys that a shard gets, about.
 SHARD = 2_000_000
 CLASSES = 64
