@@ -93,6 +93,17 @@ def test_values_and_places(spark):
     assert pii.pseudonymise(df.limit(0), KEY).count() == 0
 
 
+def test_values_side_by_side(spark):
+    """One value right behind another hides neither."""
+    values = ["4465758382889437", "+1 (743) 555-3824", "8.8.8.8", "4539 1488 0343 6467", "2001-02-03", "123-45-6789", "a.b@c.example.com", "(212) 555-0100"]
+    kinds = ["card", "phone", "address", "card", "date", "ssn", "email", "phone"]
+    pairs = [(a, b) for a in range(len(values)) for b in range(len(values))]
+    df = spark.createDataFrame([(i, f"x {values[a]} {values[b]} y") for i, (a, b) in enumerate(pairs)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, KEY).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == f"x {brute(kinds[a], values[a])} {brute(kinds[b], values[b])} y", (values[a], values[b])
+
+
 @pytest.mark.parametrize("high, low", [(17, 43), (5, 100)])
 def test_a_permutation_of_the_domain(spark, high, low):
     pair = pii.feistel("'k'", "'t'", f"id div {low}", f"id % {low}", str(high), str(low))
