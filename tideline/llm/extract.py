@@ -164,13 +164,14 @@ def content(found: list[tuple[str, bool, str, int, int]]) -> list[str]:
     kernel = np.array([0.1, 0.8, 0.1])
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid")
     text_ratio, mark_ratio = smooth(own * length / count), smooth(own * marks / count)
-    prior = np.array([INSIDE if inside else 1.0 for _, inside in order])
-    fused = prior * text_ratio * np.sqrt(1 + mark_ratio) * (own > 0.3)
-    # inside an article a short heading or paragraph is as good as a long one: the prior is weighed against the best outside
-    rivals = fused[prior == 1.0]
-    bar = SHARE * (fused.max() if not (prior > 1).any() or not fused[prior > 1].any() else max(rivals.max(initial=0.0) / INSIDE, 0.0))
-    best_inside = bool(fused[prior > 1].any())
-    chosen = {k for k, i in order.items() if fused[i] > 0 and (k[1] if best_inside else True) and fused[i] >= bar}
+    article = np.array([inside for _, inside in order])
+    fused = np.where(article, INSIDE, 1.0) * text_ratio * np.sqrt(1 + mark_ratio) * (own > 0.3)
+    if fused[article].any():
+        # a short heading is as good as a long paragraph there: only what is tiny beside the text outside falls short
+        good = article & (fused >= fused[~article].max(initial=0.0) / INSIDE)
+    else:
+        good = fused >= SHARE * fused.max()
+    chosen = {key for key, i in order.items() if good[i] and fused[i] > 0}
     return [text for path, inside, text, *_ in found if (path, inside) in chosen]
 
 
