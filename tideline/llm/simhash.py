@@ -19,7 +19,7 @@ rows; other columns of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -254,11 +254,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, parts: int = 3, group: int = GROUP) -> DataFrame:
-    """df with one row of each group: the one with the smallest id (null last), then fingerprint, then row.
+    """df with one row of each group: the one with the smallest id (null last), then fingerprint, then row."""
+    rows, nodes = _groups(df, id_col, text_col, width, radius, parts, group)
+    return first_rows(df, id_col, text_col, rows, nodes, lambda texts: {"fp": np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)})
+
 
-    Only ids meet in the joins while ids are unique; rows whose id is null or repeated are told apart by fingerprint.
+def first_rows(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes: DataFrame, kernel: Callable[[list[bytes]], dict[str, list]]) -> DataFrame:
+    """df with one row of each group, given rows (id column, fp), nodes (fp, least, root) and the kernel that makes fp.
+
+    Only ids meet in the joins while ids are unique; rows whose id is null or repeated are told apart by fp.
     """
-    rows, nodes = _groups(df, id_col, text_col, width, radius, parts, group)
     first = F.min(F.struct(F.col("least").isNull(), F.col("least").alias("id"), F.col("fp"))).alias("first")
     best = runtime.written(nodes.groupBy("root").agg(first).select(F.col("first.id").alias("id"), F.col("first.fp").alias("fp")), "simhash-first")
     ids = rows.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
@@ -269,7 +274,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     several = gone.filter("n > 1").select(F.col("id").alias(id_col))
     unclear = df.filter(F.col(id_col).isNull()).unionByName(df.join(several, id_col, "left_semi").select(*columns))
     row = unclear.select(F.struct(*(F.col(c) for c in columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = runtime.map_rows(row, ["row", "id"], "text", lambda texts: {"fp": np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)}, "fp long")
+    marked = runtime.map_rows(row, ["row", "id"], "text", kernel, "fp long")
     picked = marked.join(best.select(F.col("id").alias("id_"), F.col("fp").alias("fp_")), F.col("id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_"))).groupBy("id", "fp").agg(F.min("row").alias("row"))
     return alone.unionByName(picked.select(*(F.col(f"row.`{c}`") for c in columns)))
 
