@@ -1,7 +1,8 @@
 """Streams over the event log: they run until what is there is read, and their last state comes back as a table.
 
 State is kept by Spark with checkpoints in the shared folder. Event time is a timestamp with a zone; the log's own is
-without, so it is cast at the source. How late an event may come is stated with each stream; later ones are dropped.
+without, so it is cast at the source. Files come in any order and a batch holds a few of them, so no stream drops late
+events: state stays for as long as the stream runs, and its size is stated with each stream.
 """
 
 from __future__ import annotations
@@ -52,9 +53,8 @@ def drained(stream: DataFrame, mode: str, name: str, keys: list[str] | None = No
 
 
 def deduplicated_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Events but views, each once within a day of its time."""
-    rows = source(spark, sf).filter("event_type <> 'view'").withColumn("at", F.col("ts").cast("timestamp"))
-    once = rows.withWatermark("at", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    """Events but views, each once, however late; the state holds every event number."""
+    once = source(spark, sf).filter("event_type <> 'view'").dropDuplicates(["event_id"])
     return drained(once.select("event_id", "user_id", "ts", "event_type"), "append", "log")
 
 
@@ -64,24 +64,33 @@ def last_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows of an hour; events may be 60 days late."""
-    rows = source(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "60 days")
+    """Windows of an hour, however late an event; the state holds a row for each window and type."""
+    rows = source(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
     sums = rows.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).cast("long").alias("total"))
     return drained(sums.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total"), "update", "hourly", ["hour", "event_type"])
 
 
 def failures_in_a_row(spark: SparkSession, sf: str) -> DataFrame:
-    """State by user: failures since the last success, in the order of event numbers within a batch."""
+    """Failures since the last success by event number, in whatever order events come; null numbers count as last.
+
+    The state by user holds the last success and the numbers of the failures after it, so a late event finds its place.
+    """
     schema = "user_id long, failures long"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat([p[["event_id", "event_type"]] for p in parts]).sort_values("event_id")
-        good = (rows["event_type"] == "purchase").to_numpy()
-        n = len(good) - 1 - good.nonzero()[0][-1] if good.any() else n + len(good)
-        state.update((int(n),))
-        yield pd.DataFrame({"user_id": [key[0]], "failures": [int(n)]})
-
-    rows = source(spark, sf).filter("event_type in ('error', 'purchase', 'signup')").select("user_id", "event_id", "event_type")
-    counted = rows.groupBy("user_id").applyInPandasWithState(step, schema, "n long", "update", GroupStateTimeout.NoTimeout)
+        last, after = state.get if state.exists else (None, [])
+        after = list(after)
+        for p in parts:
+            good = p["event_type"] == "purchase"
+            wins = p["event_id"][good]
+            if len(wins):
+                last = int(wins.max()) if last is None else max(last, int(wins.max()))
+            after += p["event_id"][~good].tolist()
+        after = [int(x) for x in after if last is None or x > last]
+        state.update((last, after))
+        yield pd.DataFrame({"user_id": [key[0]], "failures": [len(after)]})
+
+    number = F.coalesce("event_id", F.lit((1 << 63) - 1)).cast("long").alias("event_id")
+    rows = source(spark, sf).filter("event_type in ('error', 'purchase', 'signup')").select("user_id", number, "event_type")
+    counted = rows.groupBy("user_id").applyInPandasWithState(step, schema, "last long, after array<long>", "update", GroupStateTimeout.NoTimeout)
     return drained(counted, "update", "circuit", ["user_id"])
