@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -36,19 +36,33 @@ def code_extraction(spark, sf):
 LINES_SQL = "select doc_id, pos, line from (select doc_id, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as pos from (select doc_id, concat(case doc_id % 7 when 0 then '- ' when 1 then '~ ' when 2 then 'x ' when 3 then '+ ' when 4 then '! ' when 5 then '## ' else '' end, replace(left(text, 300), chr(10), concat(chr(10), case doc_id % 3 when 0 then 'x ' when 1 then '# ' else '' end))) as body from documents))"
 
 
-@query(rf"""select doc_id, cast(pos as int) as position, case when heading then 'heading' else 'item' end as kind, case when heading then cast(length(regexp_extract(l, '^(#{{1,5}})\s+(.*)$', 1)) as int) end as level,
+CHECKLIST_SQL = rf"""select doc_id, cast(pos as int) as position, case when heading then 'heading' else 'item' end as kind, case when heading then cast(length(regexp_extract(l, '^(#{{1,5}})\s+(.*)$', 1)) as int) end as level,
   case when heading then regexp_extract(l, '^(#{{1,5}})\s+(.*)$', 2) when item then regexp_extract(l, '^([~+x!\-])\s+(.*)$', 2) else l end as text,
   case when heading then null when not item then 'todo' else case left(l, 1) when '~' then 'in_progress' when 'x' then 'closed' when '+' then 'done' when '!' then 'failed' else 'todo' end end as status
-  from (select *, regexp_matches(l, '^(#{{1,5}})\s+(.*)$') as heading, regexp_matches(l, '^([~+x!\-])\s+(.*)$') as item from (select doc_id, pos, trim(line) as l from ({LINES_SQL})) where l <> '')""")
-def checklist_parse(spark, sf):
+  from (select *, regexp_matches(l, '^(#{{1,5}})\s+(.*)$') as heading, regexp_matches(l, '^([~+x!\-])\s+(.*)$') as item from (select doc_id, pos, trim(line) as l from ({LINES_SQL})) where l <> '')"""
+
+
+def checklist_rows(docs: DataFrame, said: Column) -> DataFrame:
     """Checklist text as rows: headings with levels, items with a status by their mark."""
     mark = F.expr("case doc_id % 7 when 0 then '- ' when 1 then '~ ' when 2 then 'x ' when 3 then '+ ' when 4 then '! ' when 5 then '## ' else '' end")
     more = F.expr("case doc_id % 3 when 0 then 'x ' when 1 then '# ' else '' end")
-    body = F.concat(mark, F.replace(F.left("text", F.lit(300)), F.lit("\n"), F.concat(F.lit("\n"), more)))
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(body, "\n")).alias("at", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    body = F.concat(mark, F.replace(said, F.lit("\n"), F.concat(F.lit("\n"), more)))
+    lines = docs.select("doc_id", F.posexplode(F.split(body, "\n")).alias("at", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
     return lines.select("doc_id", (F.col("at") + 1).cast("int").alias("position"), X.checklist_line(F.col("line")).alias("x")).select("doc_id", "position", "x.*")
 
 
+@query(CHECKLIST_SQL)
+def checklist_parse(spark, sf):
+    """The first 300 characters of each text, as its SQL has it."""
+    return checklist_rows(table(spark, sf, "documents"), F.left("text", F.lit(300)))
+
+
+@query(CHECKLIST_SQL.replace("left(text, 300)", "text"))
+def checklist_parse_whole(spark, sf):
+    """Every line of each text."""
+    return checklist_rows(table(spark, sf, "documents"), F.col("text"))
+
+
 @query(r"select page_id, case when page_id % 2 = 0 then left(regexp_extract(concat('---', chr(10), 'name: x', chr(10), 'description: ', url, chr(10), '---', chr(10)), 'description:\s*([^\n]*)', 1), 200) else left(regexp_extract(html, '<h1>([^<]*)</h1>', 1), 200) end as title from pages")
 def front_matter_title(spark, sf):
     """A file's description from its front matter, else its first heading."""
