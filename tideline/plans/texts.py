@@ -107,7 +107,7 @@ def pause_list(spark, sf):
 @query()
 def report_parse_udf(spark, sf):
     """The last report in an agent's text, strictly, else leniently; the text has prose, braces and broken JSON around it."""
-    text = F.expr("""concat(left(text, 80), ' {not json} ', case doc_id % 4 when 0 then '{"status": "success", "summary_md": "ok", "proposed_transition": {"to": "in_review", "reason": "r"}, "comments": "one"} tail }'
+    text = F.expr("""concat(text, ' {not json} ', case doc_id % 4 when 0 then '{"status": "success", "summary_md": "ok", "proposed_transition": {"to": "in_review", "reason": "r"}, "comments": "one"} tail }'
         when 1 then '{"status": "failed", "checklist_updates": [{"checklist_kind": "developer", "item_position": 1, "new_status": "done"}, {"checklist_kind": "other"}]}'
         when 2 then '{"status": "blocked", "summary_md": "broken "quote", "artifact_kind": "qa_report", "artifact_md": "x"' else '{"status": "odd"}' end)""")
     return reports.parsed(table(spark, sf, "documents").select("doc_id", text.alias("said")), "doc_id", "said")
