@@ -149,14 +149,13 @@ def scan(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df without the rows in whose text a window occurs; with many blocks each pass gets what the one before kept."""
-    columns = df.columns
     for block in _blocks(benchmark, item_col, item_text, block_bytes):
 
         def kernel(texts: list[bytes], block=block) -> dict[str, list]:
             of = windows(block, window)
-            return {"_hit": [bool(of.scan(t)[1]) for t in texts]}
+            return {"hit": [bool(of.scan(t)[1]) for t in texts]}
 
-        df = runtime.map_rows(df, columns, text_col, kernel, "_hit boolean").filter("not _hit").select(*columns)
+        df = runtime.with_made(df, text_col, kernel, "hit boolean", lambda rows: rows.filter("not hit"))
     return df
 
 

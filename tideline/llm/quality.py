@@ -168,6 +168,15 @@ def _kernel(texts: list[bytes]) -> dict[str, list]:
     return {"x": [features(t) for t in texts]}
 
 
+def accepted(df: DataFrame, model: Model, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of df whose score is at least keep_at, with df's columns whatever their names."""
+
+    def kernel(texts: list[bytes]) -> dict[str, list]:
+        return {"good": model.score(np.array([features(t) for t in texts])) >= keep_at}
+
+    return runtime.with_made(df, text_col, kernel, "good boolean", lambda rows: rows.filter("good"))
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the id column, the columns of keep, score, predicted (1 where the score is at least keep_at)."""
 

@@ -107,18 +107,18 @@ def listed(found: str, where: str = "true") -> str:
     return f"array_join(transform(filter({found}, x -> {where}), x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
 
 
-def redact(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark: str = "[secret]") -> DataFrame:
-    """df with the text's secrets replaced by mark; overlapping spans become one. Null texts stay null.
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """df with the text's secrets replaced by mark; spans that overlap or touch become one. Null texts stay null.
 
-    Columns and rows are otherwise as they were.
+    Columns and rows are otherwise as they were; df's columns go by numbered names until the end.
     """
-    columns = df.columns
-    rows = find(df.withColumn("_row", F.struct(*map(F.col, columns))), "_row", text_col)
-    text = f"_row.`{text_col}`"
+    rows = runtime.numbered(df)
+    columns, text = rows.columns, f"in_{df.columns.index(text_col)}"
+    rows = find(rows.withColumn("row", F.struct(*columns)).withColumn("doc", F.col(text)), "row", "doc")
     merged = "aggregate(found, cast(array() as array<struct<a:int,b:int>>), (acc, x) -> if(size(acc) > 0 and x.start <= element_at(acc, -1).b, concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.end)))), concat(acc, array(named_struct('a', x.start, 'b', x.end)))))"
-    rows = rows.withColumn("_cut", F.expr(merged))
-    clean = f"if(size(_cut) = 0, {text}, concat(array_join(transform(_cut, (x, i) -> concat(substring({text}, if(i = 0, 0, _cut[i - 1].b) + 1, x.a - if(i = 0, 0, _cut[i - 1].b)), '{mark}')), ''), substring({text}, element_at(_cut, -1).b + 1)))"
-    return rows.withColumn("_clean", F.expr(clean)).select(*(F.col("_clean").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in columns))
+    rows = rows.withColumn("cut", F.expr(merged))
+    clean = f"if(size(cut) = 0, row.{text}, concat(array_join(transform(cut, (x, i) -> concat(substring(row.{text}, if(i = 0, 0, cut[i - 1].b) + 1, x.a - if(i = 0, 0, cut[i - 1].b)), '{mark}')), ''), substring(row.{text}, element_at(cut, -1).b + 1)))"
+    return rows.select(*(F.expr(clean).alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in columns)).toDF(*df.columns)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

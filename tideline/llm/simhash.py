@@ -62,12 +62,12 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
-    """The id column and fp, the fingerprint as a signed long."""
+    """id (the id column's values) and fp, the fingerprint as a signed long."""
 
     def kernel(texts: list[bytes]) -> dict[str, list]:
         return {"fp": np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)}
 
-    return runtime.map_rows(df, [id_col], text_col, kernel, "fp long")
+    return runtime.map_rows(df, [id_col], text_col, kernel, "fp long").toDF("id", "fp")
 
 
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -137,6 +137,23 @@ def _finer(fixed: int, radius: int) -> list[int]:
     return [_mask([b for b in range(BITS) if fixed >> b & 1] + free[k :: radius + 1]) for k in range(radius + 1)]
 
 
+def star(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b), as pairs of nodes, as links of each node to the least one that it reaches."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[u], root[v])
+        np.minimum.at(root, u, low)
+        np.minimum.at(root, v, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    moved = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
+
+
 def _stars(radius: int):
     """Kernel: rows sorted by (fixed, value) with fp; out come links to the smallest fp that a node reaches in a batch."""
 
@@ -157,21 +174,6 @@ def _stars(radius: int):
             d += 1
         return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
 
-    def star(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-        u, v = ends[: len(a)], ends[len(a) :]
-        root = np.arange(len(nodes))
-        while True:
-            before = root.copy()
-            low = np.minimum(root[u], root[v])
-            np.minimum.at(root, u, low)
-            np.minimum.at(root, v, low)
-            root = root[root]
-            if (root == before).all():
-                break
-        moved = root != np.arange(len(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3
         for batch in batches:
@@ -238,9 +240,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _groups(df: DataFrame, id_col: str, text_col: str, width: int, radius: int, parts: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id column, fp), written; and nodes (fp, least id, root: the group's smallest fp)."""
+    """Rows (id, fp), written; and nodes (fp, least id, root: the group's smallest fp)."""
     rows = runtime.written(fingerprints(df, id_col, text_col, width), "simhash-rows")
-    nodes = runtime.written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-nodes")
+    nodes = runtime.written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     root = components(links(nodes, radius, parts, group)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     return rows, nodes.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
@@ -250,7 +252,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, nodes = _groups(df, id_col, text_col, width, radius, parts, group)
     group_id = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = nodes.join(group_id, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(of, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id").toDF(id_col, "fingerprint", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, parts: int = 3, group: int = GROUP) -> DataFrame:
@@ -260,23 +262,25 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def first_rows(df: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes: DataFrame, kernel: Callable[[list[bytes]], dict[str, list]]) -> DataFrame:
-    """df with one row of each group, given rows (id column, fp), nodes (fp, least, root) and the kernel that makes fp.
+    """df with one row of each group, given rows (id, fp), nodes (fp, least, root) and the kernel that makes fp.
 
-    Only ids meet in the joins while ids are unique; rows whose id is null or repeated are told apart by fp.
+    Only ids meet in the joins while ids are unique; rows whose id is null or repeated are told apart by fp, and then by
+    their JSON, so any type of column will do. df's columns go by numbered names until the end.
     """
     first = F.min(F.struct(F.col("least").isNull(), F.col("least").alias("id"), F.col("fp"))).alias("first")
     best = runtime.written(nodes.groupBy("root").agg(first).select(F.col("first.id").alias("id"), F.col("first.fp").alias("fp")), "simhash-first")
-    ids = rows.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    ids = rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     gone = ids.join(best.select("id").withColumn("stays", F.lit(True)), "id", "left").filter("n > 1 or stays is null").select("id", "n").distinct()
     gone = runtime.written(gone, "simhash-gone")
-    columns = df.columns
-    alone = df.filter(F.col(id_col).isNotNull()).join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti").select(*columns)
-    several = gone.filter("n > 1").select(F.col("id").alias(id_col))
-    unclear = df.filter(F.col(id_col).isNull()).unionByName(df.join(several, id_col, "left_semi").select(*columns))
-    row = unclear.select(F.struct(*(F.col(c) for c in columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    whole = runtime.numbered(df)
+    key, text = f"in_{df.columns.index(id_col)}", f"in_{df.columns.index(text_col)}"
+    alone = whole.filter(F.col(key).isNotNull()).join(gone.select(F.col("id").alias(key)), key, "left_anti").select(*whole.columns)
+    several = gone.filter("n > 1").select(F.col("id").alias(key))
+    unclear = whole.filter(F.col(key).isNull()).unionByName(whole.join(several, key, "left_semi").select(*whole.columns))
+    row = unclear.select(F.struct(*whole.columns).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
     marked = runtime.map_rows(row, ["row", "id"], "text", kernel, "fp long")
-    picked = marked.join(best.select(F.col("id").alias("id_"), F.col("fp").alias("fp_")), F.col("id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_"))).groupBy("id", "fp").agg(F.min("row").alias("row"))
-    return alone.unionByName(picked.select(*(F.col(f"row.`{c}`") for c in columns)))
+    picked = marked.join(best.select(F.col("id").alias("id_"), F.col("fp").alias("fp_")), F.col("id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_"))).groupBy("id", "fp").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return alone.unionByName(picked.select(*(F.col(f"row.{c}") for c in whole.columns))).toDF(*df.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
