@@ -58,6 +58,49 @@ def test_inside_an_article():
     assert extract.main_text(page) == "Title\nOne.\nTwo lines <b>"
 
 
+LONG = "A sentence, with commas, that goes on for a while. It has more than one sentence; it is prose, as articles are."
+MIXED = {
+    # no names and no telling elements at all: the ratios decide
+    "bare frames": (f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div><h1>Heading</h1><p>{LONG}</p><p>Short.</p><p>{LONG} {LONG}</p></div><div><ul><li><a href=x>one</a><li><a href=y>two</a></ul></div><div>All rights reserved</div></body>", f"Heading\n{LONG}\nShort.\n{LONG} {LONG}"),
+    "heading in its own frame": (f"<div><span>12 May</span></div><div><h1>Heading</h1></div><div><p>{LONG}<p>{LONG}</div><div>Next page</div>", f"Heading\n{LONG}\n{LONG}"),
+    "table layout": (f"<table><tr><td><a href=a>Start</a><br><a href=b>Map</a></td><td><p>{LONG}<p>{LONG}</td><td>Buy now</td></tr></table>", f"{LONG}\n{LONG}"),
+    # links are article text in an article
+    "linked heading and references": (f"<article><h1><a href=x>The headline</a></h1><p>{LONG}</p><ul><li><a href=r>First reference</a><li><a href=s>Second reference</a></ul></article><ul><li><a href=t>elsewhere</a></ul>", f"The headline\n{LONG}\nFirst reference\nSecond reference"),
+    "names that only sound bad": (f'<article><p>{LONG}</p><div class="related-work"><h2>Related work</h2><p>{LONG}</p></div><section id="skip-lists"><p>On skip lists.</p></section><div class="share-prices">Up.</div></article>', f"{LONG}\nRelated work\n{LONG}\nOn skip lists.\nUp."),
+    "a list between paragraphs": (f"<div><p>{LONG}</p><ul><li>milk<li><a href=e>eggs</a></ul><p>{LONG}</p></div><div>Menu</div>", f"{LONG}\nmilk\neggs\n{LONG}"),
+    "bad names around all": (f'<div class="sidebar"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n{LONG}"),
+    # what names and kinds tell
+    "advert in an inline frame": (f'<article><p>{LONG}</p><span class="ad"><div>BUY NOW</div></span><p>{LONG} <span class="advert">Buy!</span>End.</p></article>', f"{LONG}\n{LONG} End."),
+    "notices": (f'<div class="acme-cookie-banner"><p>{LONG}</p></div><div class="post"><p>{LONG} One.</p></div><div id="comments"><p>{LONG}</p></div><div class="related-posts"><p>{LONG}</p></div>', f"{LONG} One."),
+    "a header within the article": (f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{LONG}</p><footer>By A.</footer></article>", f"Title\n{LONG}"),
+    "script with a slash": (f'<article><p>{LONG}</p><script src="a"/>var x=1;</script><p>End.</p></article>', f"{LONG}\nEnd."),
+    "hidden": (f'<article><p>{LONG}</p><p hidden>a</p><p style="display: none">b</p><span class="sr-only">c</span><p aria-hidden=true>d</p>e</article>', f"{LONG}\ne"),
+}
+
+
+def test_mixed_pages():
+    for name, (page, want) in MIXED.items():
+        assert extract.main_text(page) == want, name
+
+
+def test_the_ratios_change_the_result():
+    """Without the threshold every page has more text: the ratio step, not a list of names, is what removes."""
+    pages = [p for p, _ in MIXED.values()] + pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    changed = [extract.content(extract.blocks(p), 0.0) != extract.content(extract.blocks(p)) for p in pages]
+    assert sum(changed[: len(MIXED)]) == 8 and all(changed[len(MIXED) :])
+
+
+def test_awkward_pages_take_time_in_proportion():
+    import time
+
+    n = 1_000_000
+    pages = ["<a " * (n // 3), "<a title=\"" * (n // 10), "<p class='" * (n // 10), "<svg>" * (n // 5), "<script>" * (n // 8), "<!--" * (n // 4), "<" * n, "<div>" * (n // 5), "<div>" * 60_000 + "</p>" * 60_000 + "</ul>x" * 60_000, "<p><article>" + "<ul>" * 100_000 + "<h1>x" * 100_000, "&#" + "9" * n + ";", "</" * (n // 2), "<b>" * (n // 3), "<span class=ad>" * (n // 15), "<span class=ad></b>" * (n // 20), "<p>a" * (n // 4), "<div>" * 500 + "<p>a" * (n // 5), "&" * n, "<a href='x" * (n // 10) + "'>"]
+    for page in pages:
+        start = time.time()
+        extract.main_text(page)
+        assert time.time() - start < 15, page[:20]
+
+
 def test_odd_rows(spark):
     pages = [None, "", "<", "plain words", "<p>open <!-- never ends", '<a title="open>text</a>', "<article><p>x" + " y" * 50000, "</p></div>"]
     df = spark.createDataFrame([(None if i == 1 else i, None, p, 5) for i, p in enumerate(pages)], "page_id long, url string, html string, text int")

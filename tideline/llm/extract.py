@@ -1,36 +1,46 @@
 """HTML extraction by tag-path ratios.
 
-A page is read as tags and text. Structural elements make a path from the root to each block of text; inline markup
-does not. For each path of a page the text length and the punctuation of its blocks are added up and divided by the
-number of its blocks and tags. Both ratios are smoothed along the page's order of paths, fused with a prior for where a
-path stands (in an article or main element, or not), and paths at or over a share of the page's best are content.
+A page is read in one forward scan as elements and text. Structural elements make a path from the root to each block of
+text; inline markup does not. For each path of a page the text length (that of links counts little) and the punctuation
+of its blocks are added up and divided by the number of its blocks and tags. The text ratio is multiplied by a prior for
+where the path stands: high in an article or main element, low in what is told by element, role or class name to be a
+menu, page header or footer, sidebar, notice, advert, form or reader's comment. Both ratios are smoothed along the page's
+order of paths and fused, and the paths at or over a share of the page's best are content. So names alone drop nothing:
+a page whose whole text stands in a frame of a bad name keeps it, and a page without any names is cut by its ratios.
 
-Elements that are never article text (menus, page headers and footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are told by element, role or class name and take no part in the ratios.
+Beside the blocks of such paths stay, unless a name speaks against them: blocks of the same article element; blocks
+between the first and the last content block of one element, so short items, linked references and the like; and headings
+directly before a block that stays. Scripts, styles, controls, frames and hidden elements have no text at all.
 
 Defined results: null, empty and text-free pages give an empty text; tags that are not closed or not opened, comments
-that do not end and quotes that do not close are read as browsers do, roughly; repeated rows each give a row; pages are
-read whole; an empty table gives no rows; other columns are not read.
+that do not end and quotes that do not close are read as browsers do, roughly; elements nested deeper than DEPTH count as
+part of the one at that depth; repeated rows each give a row; pages are read whole, in time proportional to their length;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import runtime
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+UNQUOTED = re.compile(r"[^\s>]*")
 
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select option".split())
+#: Elements without text of the page; the first ones hold characters only, whatever these look like.
+RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
+SKIPPED = frozenset("template svg math object canvas select datalist audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body head article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary dialog menu center hgroup search".split())
-DROPPED = frozenset("head nav header footer aside form dialog menu button search".split())
-CONTENT = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that are no article text by their kind.
+BESIDE = frozenset("head nav header footer aside form dialog menu button search".split())
 #: A start tag closes an open element of these kinds if none of the limits stands between.
 CLOSES = {
     **{t: ({"p"}, {"article", "section", "div", "body", "td", "th", "li", "blockquote"}) for t in BLOCK - {"html", "body", "head"}},
@@ -38,141 +48,287 @@ CLOSES = {
     "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "body": ({"head"}, set()),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of class names and ids that mark what is no article text.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promoted promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar sidebars aside notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses widget widgets toolbar login search pagination pager copyright disclaimer alert alerts hidden skip".split())
-#: An article element is dropped only as a reader's comment or an advert.
+#: A class name or id with one of these words marks what is no article text.
+MARKS = frozenset("advert adverts advertisement advertisements advertising adsense adslot sponsored sponsors navbar breadcrumb breadcrumbs sidebar sidebars cookie cookies consent gdpr popup modal newsletter subscribe subscription signup comment comments commentlist disqus pagination".split())
+#: These do so only if all other words of the name are among COMPANIONS: "related-posts" does, "related-work" does not.
+WEAK_MARKS = frozenset("ad ads adv sponsor promo promos promoted promotion banner banners nav navigation menu menus header masthead footer aside notice notices overlay share sharing social related recommended recommendations reply replies respond responses widget widgets toolbar login search pager copyright disclaimer alert alerts skip".split())
+COMPANIONS = frozenset("top bottom left right main site page global primary secondary side inner outer upper lower box bar block area section container wrapper wrap holder panel module unit slot item items list link links button buttons icon icons content body text title post posts article articles story stories entry entries news more to the and of us our for by form inline mini big small top-level bg col column row grid group region zone frame layer header footer nav menu".split())
+#: An article element is marked only as a reader's comment or an advert.
 ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo promoted comment comments reply replies".split())
+HIDING = frozenset("hidden visually-hidden visuallyhidden sr-only screen-reader-text".split())
 #: Names that say what a page's frame has beside the article.
 LAYOUT = re.compile(r"\b(?:has|with|without|no|left|right|two|one)[-_ ]+[a-z]+\b")
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
-#: Prior of a path in an article or main element.
-INSIDE = 50.0
-#: A path is content at this share of the page's best.
-SHARE = 0.12
+#: Priors of a path in an article, in a main element, and where a name or kind speaks against it.
+ARTICLE, MAIN, BESIDE_IT = 50.0, 8.0, 0.001
+#: The weight of link text, and the share of the page's best at which a path is content.
+LINK, SHARE = 0.02, 0.25
+DEPTH = 512
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)} if raw else {}
+class Element:
+    """An open element: its structural parent, kind, path, prior class (0 none, 1 main, 2 article), and marks that it has or inherits."""
 
+    __slots__ = ("parent", "tag", "path", "inside", "beside", "hidden")
 
-def _dropped(tag: str, at: dict[str, str]) -> bool:
-    if tag in DROPPED or at.get("role", "").lower() in ROLES:
+    def __init__(self, parent: Element | None, tag: str, path: int, inside: int, beside: bool, hidden: bool):
+        self.parent, self.tag, self.path, self.inside, self.beside, self.hidden = parent, tag, path, inside, beside, hidden
+
+
+class Block(NamedTuple):
+    """A block's element, whether a name or kind speaks against it, its text, characters in links, and inline tags."""
+
+    element: Element
+    beside: bool
+    text: str
+    links: int
+    tags: int
+
+
+def plain(raw: str) -> str:
+    """Character references decoded; a number of thousands of digits is no character."""
+    if "&" not in raw:
+        return raw
+    try:
+        return html.unescape(raw)
+    except ValueError:
+        return html.unescape(re.sub(r"&#[0-9]{9,}", "&#1114112", raw))
+
+
+def _words(names: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()) if w]
+
+
+def _marked(tag: str, at: dict[str, str]) -> bool:
+    if tag in BESIDE or at.get("role", "").lower() in ROLES:
         return True
     if tag in ("html", "body", "main"):
         return False
-    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in at.get("style", "").replace(" ", "").lower():
-        return True
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{at.get('class', '')} {at.get('id', '')}").lower()
-    if not names.strip():
-        return False
-    words = re.split(r"[^a-z]+", LAYOUT.sub(" ", names))
-    return not (ARTICLE_MARKS if tag == "article" else MARKS).isdisjoint(words)
+    for name in LAYOUT.sub(" ", f"{at.get('class', '')} {at.get('id', '')}").split():
+        words = _words(name)
+        if tag == "article":
+            if not ARTICLE_MARKS.isdisjoint(words):
+                return True
+        elif not MARKS.isdisjoint(words) or not WEAK_MARKS.isdisjoint(words) and all(w in WEAK_MARKS or w in COMPANIONS for w in words):
+            return True
+    return False
+
+
+def _hidden(at: dict[str, str]) -> bool:
+    return "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in at.get("style", "").replace(" ", "").lower() or not HIDING.isdisjoint(at.get("class", "").lower().split())
+
+
+class Reader:
+    """One forward scan of a page; what is not found once is not looked for again."""
 
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
 
-def blocks(page: str) -> list[tuple[str, bool, str, int, int]]:
-    """Path, whether in an article or main element, text, characters in links and tags of each block of the page.
+    def find(self, what: str, at: int) -> int:
+        """The place of what from at on, or -1; a miss is remembered."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
 
-    Blocks in elements that are no article text are left out.
-    """
-    out: list[tuple[str, bool, str, int, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, content
+    def after_end_tag(self, tag: str, at: int) -> int:
+        """Where the tag's next end tag ends, or -1."""
+        key = f"</{tag}"
+        if key in self.missing:
+            return -1
+        m = re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A).search(self.page, at)
+        if m is None:
+            self.missing.add(key)
+            return -1
+        end = self.find(">", m.end())
+        return len(self.page) if end < 0 else end + 1
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """The attributes of a tag from behind its name, whether it ends in a slash, and where it ends."""
+        page, found, slash = self.page, {}, False
+        while True:
+            m = ATTRIBUTE.match(page, at)
+            if m is None:
+                end = self.find(">", at)
+                return found, page[end - 1 : end] == "/", len(page) if end < 0 else end + 1
+            name, at = m[1].lower(), m.end()
+            value = ""
+            if m[2]:
+                quote = page[at : at + 1]
+                close = self.find(quote, at + 1) if quote in ("'", '"') else -1
+                if close >= 0:
+                    value, at = page[at + 1 : close], close + 1
+                else:
+                    m = UNQUOTED.match(page, at)
+                    value, at = m[0].strip("\"'"), m.end()
+            found.setdefault(name, plain(value) if len(value) < 4096 else "")
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks of text in order; all but what is hidden or no text."""
+    out: list[Block] = []
+    reader, paths = Reader(page), {}
+    root = Element(None, "", 0, 0, False, False)
+    stack: list[Element] = [root]  # structural elements, and inline ones that are marked or hidden
+    counts: dict[str, int] = {}
+    here = root  # the innermost structural element
     text: list[str] = []
+    aside: list[str] = []  # text of marked inline elements within the block
     links = tags = linked = 0
-    hidden: list[str] = []  # inline elements that are dropped, while open
 
     def flush() -> None:
-        nonlocal text, links, tags
-        if text:
-            whole = " ".join("".join(text).split())
-            if whole and not any(d for _, d, _ in stack):
-                out.append(("/".join(t for t, _, _ in stack), any(c for *_, c in stack), whole, links, tags))
-        text, links, tags = [], 0, 0
+        nonlocal text, aside, links, tags
+        if text or aside:
+            for parts, beside in ((text, here.beside), (aside, True)):
+                whole = " ".join("".join(parts).split())
+                if whole and not here.hidden:
+                    out.append(Block(here, beside, whole, min(links, len(whole)), tags))
+        text, aside, links, tags = [], [], 0, 0
 
     def add(raw: str) -> None:
         nonlocal links
-        if raw and not hidden:
-            plain = html.unescape(raw) if "&" in raw else raw
-            text.append(plain)
+        top = stack[-1]
+        if raw and not top.hidden:
+            words = plain(raw)
+            (aside if top.beside and not here.beside else text).append(words)
             if linked:
-                links += len(plain.strip())
+                links += len(words.strip())
 
-    at = 0
-    while True:
-        m = TAG.search(page, at)
-        if m is None:
+    def cut(n: int) -> None:
+        nonlocal here
+        for e in stack[n:]:
+            counts[e.tag] -= 1
+        del stack[n:]
+        here = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
+
+    at, size = 0, len(page)
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        add(page[at:start])
+        second = page[start + 1 : start + 2]
+        closing = second == "/"
+        m = NAME.match(page, start + 1 + closing)
+        if m is None:
+            if second == "!" and page.startswith("--", start + 2):
+                end = reader.find("-->", start + 2)
+                at = size if end < 0 else end + 3
+            elif second in ("!", "?", "/") and second:
+                end = reader.find(">", start + 1)
+                at = size if end < 0 else end + 1
+            else:
+                add("<")
+                at = start + 1
             continue
-        closing, raw = (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if tag in RAW:
-            if not closing and not raw.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page) if tag in ("script", "style") else at
+        tag = m[0].lower()
+        known, slash, at = reader.attributes(m.end())
+        if tag in RAW or tag in SKIPPED:
+            if not closing and not (slash and tag in ("svg", "math")):
+                end = reader.after_end_tag(tag, at)
+                at = end if end >= 0 else size if tag in RAW else at
             continue
         if tag not in BLOCK:
             tags += 1
             if tag == "br":
-                text.append(" ")
+                (aside if stack[-1].beside and not here.beside else text).append(" ")
             elif tag == "a":
                 linked = not closing
-            if closing and tag in hidden:
-                while hidden.pop() != tag:
-                    pass
-            elif not closing and tag not in VOID and (hidden or tag in DROPPED or raw and _dropped(tag, _attributes(raw))):
-                hidden.append(tag)
+            if closing:
+                if counts.get(tag):
+                    k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag)
+                    if here not in stack[k + 1 :]:
+                        cut(k)
+            elif tag not in VOID and len(stack) < DEPTH:
+                hidden, beside = bool(known) and _hidden(known), tag in BESIDE or bool(known) and _marked(tag, known)
+                if hidden or beside or counts.get(tag):  # one of a kind that is open is counted, so that end tags fit
+                    top = stack[-1]
+                    stack.append(Element(here, tag, here.path, here.inside, top.beside or beside, top.hidden or hidden))
+                    counts[tag] = counts.get(tag, 0) + 1
             continue
         flush()
-        hidden.clear()
         linked = 0
         if closing:
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if counts.get(tag):
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
         close, limits = CLOSES.get(tag, (set(), set()))
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in close:
-                del stack[i:]
-            elif stack[i][0] in limits:
-                break
-        if tag in ("html", "body") and any(t == tag for t, _, _ in stack):
+        if any(counts.get(t) for t in close):
+            n = len(stack)
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in close:
+                    n = i
+                elif stack[i].tag in limits:
+                    break
+            cut(n)
+        if tag in ("html", "body") and counts.get(tag) or len(stack) >= DEPTH:
             continue
-        known = _attributes(raw)
-        stack.append((tag, _dropped(tag, known), tag in CONTENT or known.get("role", "").lower() == "main" or known.get("itemprop") == "articleBody"))
+        inside = 2 if tag == "article" or known.get("itemprop") == "articleBody" else 1 if tag == "main" or known.get("role", "").lower() == "main" else 0
+        top, names = stack[-1], " ".join(_words(f"{known.get('class', '')} {known.get('id', '')}"))
+        beside = _marked(tag, known) if tag != "header" or top.inside < 2 else False
+        label = (top.path, tag, names if tag not in ("p", "li", "tr", "td") else "")
+        here = Element(here, tag, paths.setdefault(label, len(paths) + 1), max(top.inside, inside), top.beside or beside, top.hidden or _hidden(known))
+        stack.append(here)
+        counts[tag] = counts.get(tag, 0) + 1
     flush()
     return out
 
 
-def content(found: list[tuple[str, bool, str, int, int]]) -> list[str]:
-    """The texts of the blocks whose paths are content, in page order."""
+def _article_of(e: Element | None) -> Element | None:
+    """The outermost article that e stands in."""
+    found = None
+    while e is not None:
+        if e.inside == 2 and (e.parent is None or e.parent.inside < 2):
+            found = e
+        e = e.parent
+    return found
+
+
+def content(found: list[Block], share: float = SHARE) -> list[str]:
+    """The texts of the blocks that are content, in page order."""
     if not found:
         return []
-    order = {key: i for i, key in enumerate(dict.fromkeys((p, c) for p, c, *_ in found))}
-    n = len(order)
-    length, marks, count, linked = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    for path, inside, text, links, tags in found:
-        i = order[path, inside]
-        length[i] += len(text)
-        marks[i] += len(PUNCTUATION.findall(text))
-        count[i] += 1 + 0.25 * tags
-        linked[i] += links
-    own = 1 - np.minimum(linked / np.maximum(length, 1), 1)  # the share that is no link text
-    kernel = np.array([0.1, 0.8, 0.1])
-    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid")
-    text_ratio, mark_ratio = smooth(own * length / count), smooth(own * marks / count)
-    article = np.array([inside for _, inside in order])
-    fused = np.where(article, INSIDE, 1.0) * text_ratio * np.sqrt(1 + mark_ratio) * (own > 0.3)
-    if fused[article].any():
-        # a short heading is as good as a long paragraph there: only what is tiny beside the text outside falls short
-        good = article & (fused >= fused[~article].max(initial=0.0) / INSIDE)
-    else:
-        good = fused >= SHARE * fused.max()
-    chosen = {key for key, i in order.items() if good[i] and fused[i] > 0}
-    return [text for path, inside, text, *_ in found if (path, inside) in chosen]
+    keys = [(b.element.path, b.element.inside, b.beside) for b in found]
+    order = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+    of = np.array([order[k] for k in keys])
+    add = lambda values: np.bincount(of, np.array(values, float), len(order))
+    length, linked = add([len(b.text) for b in found]), add([b.links for b in found])
+    marks, count = add([len(PUNCTUATION.findall(b.text)) for b in found]), add([1 + 0.25 * b.tags for b in found])
+    own = np.maximum(1 - linked / length, LINK)
+    prior = np.array([(1.0, MAIN, ARTICLE)[inside] * (BESIDE_IT if beside else 1.0) for _, inside, beside in order])
+    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), np.array([0.05, 0.9, 0.05]), "valid")
+    fused = smooth(prior * own * length / count) * np.sqrt(1 + smooth(own * marks / count))
+    stays = (fused >= share * fused.max())[of]
+    _beside_content(found, stays)
+    return [b.text for b, s in zip(found, stays) if s]
+
+
+def _beside_content(found: list[Block], stays: np.ndarray) -> None:
+    """Marks in stays what goes with the content: see the module's second paragraph."""
+    first: dict[Element | None, int] = {}
+    last: dict[Element | None, int] = {}
+    articles = set()
+    for i in np.flatnonzero(stays).tolist():
+        holder = found[i].element.parent
+        first.setdefault(holder, i)
+        last[holder] = i
+        articles.add(_article_of(found[i].element))
+    articles.discard(None)
+    for i in np.flatnonzero(~stays).tolist():
+        if found[i].beside:
+            continue
+        e = found[i].element
+        while e is not None:
+            if e in articles or e in first and first[e] < i < last[e]:
+                stays[i] = True
+                break
+            e = e.parent
+    for i in range(len(found) - 2, -1, -1):
+        if stays[i + 1] and not found[i].beside and found[i].element.tag in HEADINGS:
+            stays[i] = True
 
 
 def main_text(page: str) -> str:
