@@ -1,15 +1,24 @@
 """Secret scans: known forms, and a battery of randomness tests, in DataFrame functions only.
 
-Known forms are matched by expression; their places are running sums of lengths (see spans). Other tokens of 20 or
-more characters with letters and digits are tested for being random in their encoding, which is inferred from the
-characters: hexadecimal, base 32, or base 64. Three tests give p-values under "each character is drawn evenly":
-chi-squared over the alphabet's counts (Wilson and Hilferty's cube root), the number of runs above and below the middle
-of the alphabet, and the correlation of neighbours. Three times the smallest is the token's p-value. Ordinary tokens are
-rejected by the weighted step-up procedure of Benjamini and Hochberg over the tokens of a text: weights grow with length
-(up to 64), as the tests' power does. Tokens that are not rejected look random and are secrets of kind "random", unless
-they overlap a known form.
-
-All of it works on arrays within a row, so nothing is shuffled and no text's tokens leave their row.
+Known forms are matched by expression; their places are running sums of lengths (see spans). They are blanked out, and
+the other tokens of 20 or more characters with letters and digits are tested. What separates (-, _, /, + and =) is left
+out of a token, and the encoding is inferred from what remains: hexadecimal (so of UUIDs), base 32, base 36, or base 62
+(so of base 64). Three tests measure, as normal values under "each character is drawn evenly", what ordinary tokens,
+which are made of words and numbers, do differently:
+
+    chi-squared         the counts of the alphabet's characters are uneven (Wilson and Hilferty's cube root)
+    runs                there are fewer runs of upper case, lower case and digits
+    serial correlation  vowels and consonants alternate: neighbours, coded 1 and -1 (digits 0), are less alike
+
+Their weighted mean is near 0 for random tokens of any length, and for ordinary ones it grows with the root of the
+length. "The token is ordinary" is the hypothesis that is tested: its p-value is the chance that an ordinary token of this
+length looks as random or more so, by a normal distribution whose mean and spread (ORDINARY) were set on tokens made of
+program words, in seven styles, so that it errs towards large p-values. Secrets are what the weighted step-up procedure of
+Benjamini and Hochberg rejects over the tokens of a text; weights grow with length up to 64, as the tests' power does. So
+the expected share of ordinary tokens among those reported is at most LEVEL. Rejected tokens are of kind "random".
+
+All of it works on arrays within a row, so nothing is shuffled and no text's tokens leave their row; the work is close to
+proportional to the text (see spans), also for texts that are all tokens.
 
 Defined results: null and empty texts have no spans; equal texts have equal spans; repeated rows each give a row; texts
 are scanned whole; an empty table gives no rows; other columns are not read.
@@ -21,55 +30,92 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime, spans
+from .spans import let
 
 # The contract's forms. The last two ask for the length at once: runs are taken whole either way.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_VALUE = 6
+#: What is blanked out before tokens are looked for.
+KNOWN = f"{ASSIGN[:-2]}{{{ASSIGN_VALUE},}})|{ACCESS}|{HEX}"
 #: Tokens for the tests: from a token's first character, with a letter and a digit, padding allowed.
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
-#: Level of the step-up procedure that rejects ordinary tokens.
-LEVEL = 0.05
+#: Level of the step-up procedure, and the length from which weights no longer grow.
+LEVEL = 0.01
 MOST_WEIGHT = 64
+#: Weights of the tests chi-squared, runs, serial correlation.
+SHARES = (1 / 3, 2 / 3, 2 / 3)
+#: Ordinary tokens of m characters: the tests' weighted mean has the mean slope x sqrt(m) + offset, and this spread.
+ORDINARY = {"slope": 0.9, "offset": -0.9, "spread": 1.05}
+#: Fewer characters than this, without separators, are not tested.
+LEAST = 12
+
+#: Encodings in the order in which they are tried: expression, alphabet, shares of letter and digit classes, share of vowels.
+ENCODINGS = (
+    ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", (6 / 16, 10 / 16), 2 / 16),
+    ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (26 / 32, 6 / 32), 5 / 32),
+    ("^([a-z0-9]+|[A-Z0-9]+)$", "abcdefghijklmnopqrstuvwxyz0123456789", (26 / 36, 10 / 36), 5 / 36),
+    ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", (26 / 62, 26 / 62, 10 / 62), 10 / 62),
+)
+
+
+def moments(classes: tuple[float, ...], vowels: float) -> tuple[float, ...]:
+    """Of a random string, for each place: the chance that the class stays (and its cube), mean and mean square of the vowel code."""
+    letters = 1 - classes[-1]
+    return sum(p * p for p in classes), sum(p**3 for p in classes), 2 * vowels - letters, letters
+
 
-HEX_ALPHABET = "0123456789abcdef"
-BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-BASE64_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+def _tail(z: str) -> str:
+    """The chance of a normal value below z (Abramowitz and Stegun 7.1.26)."""
+    x = f"(abs({z}) / sqrt(2.0e0))"
+    t = f"(1e0 / (1e0 + 0.3275911e0 * {x}))"
+    far = f"0.5e0 * {t} * (0.254829592e0 + {t} * (-0.284496736e0 + {t} * (1.421413741e0 + {t} * (-1.453152027e0 + {t} * 1.061405429e0)))) * exp(-{x} * {x})"
+    return f"if({z} < 0, {far}, 1e0 - {far})"
 
 
-def _two_sided(z: str) -> str:
-    """The chance of a normal value beyond -|z| or |z| (Abramowitz and Stegun 7.1.26)."""
-    x = f"(abs({z}) / sqrt(2D))"
-    t = f"(1D / (1D + 0.3275911D * {x}))"
-    return f"{t} * (0.254829592D + {t} * (-0.284496736D + {t} * (1.421413741D + {t} * (-1.453152027D + {t} * 1.061405429D)))) * exp(-{x} * {x})"
+def _by_encoding(s: str, value) -> str:
+    """SQL: a value of the encoding that fits the string s."""
+    return "case " + " ".join(f"when {s} rlike '{e[0]}' then {value(e)}" for e in ENCODINGS[:-1]) + f" else {value(ENCODINGS[-1])} end"
 
 
-#: Steps from tokens (array of string, t) to p-values; each is the body of a lambda over c, the element before.
+#: Steps from a token's text to its p-value; each is the body of a lambda over c, the element before.
 STEPS = [
-    # the inferred encoding
-    f"""named_struct('n', length(c), 'bare', rtrim('=', c), 'alphabet', case when rtrim('=', c) rlike '^([0-9a-f]+|[0-9A-F]+)$' then '{HEX_ALPHABET}' when rtrim('=', c) rlike '^[A-Z2-7]+$' then '{BASE32_ALPHABET}' else '{BASE64_ALPHABET}' end)""",
-    f"""named_struct('n', c.n, 'alphabet', c.alphabet, 's', if(c.alphabet = '{HEX_ALPHABET}', lower(c.bare), translate(c.bare, '-_', '+/')))""",
-    # numbers: each character's place in the alphabet, and the sum of squared counts
-    """named_struct('n', c.n, 'm', cast(length(c.s) as double), 'k', cast(length(c.alphabet) as double),
-       'x', transform(split(c.s, ''), ch -> cast(instr(c.alphabet, ch) - 1 as double)),
-       'squares', aggregate(split(c.alphabet, ''), 0D, (acc, a) -> acc + pow(cast(length(c.s) - length(replace(c.s, a, '')) as double), 2D)))""",
-    """named_struct('n', c.n, 'm', c.m, 'k', c.k, 'chi', c.k / c.m * c.squares - c.m, 'mean', aggregate(c.x, 0D, (acc, v) -> acc + v) / c.m,
-       'high', aggregate(c.x, 0D, (acc, v) -> acc + if(v >= c.k / 2, 1D, 0D)),
-       'pairs', zip_with(slice(c.x, 1, size(c.x) - 1), slice(c.x, 2, size(c.x) - 1), (a, b) -> named_struct('a', a, 'b', b)), 'x', c.x)""",
-    """named_struct('n', c.n, 'm', c.m, 'df', c.k - 1, 'chi', c.chi, 'high', c.high, 'low', c.m - c.high,
-       'runs', 1D + aggregate(c.pairs, 0D, (acc, q) -> acc + if((q.a >= c.k / 2) <> (q.b >= c.k / 2), 1D, 0D)),
-       'spread', aggregate(c.x, 0D, (acc, v) -> acc + (v - c.mean) * (v - c.mean)),
-       'joint', aggregate(c.pairs, 0D, (acc, q) -> acc + (q.a - c.mean) * (q.b - c.mean)))""",
-    # each test as a normal value; a degenerate test speaks against randomness
-    """named_struct('n', c.n, 'z_chi', (pow(c.chi / c.df, 1D / 3) - (1 - 2 / (9 * c.df))) / sqrt(2 / (9 * c.df)),
-       'z_runs', case when c.high = 0 or c.low = 0 then 99D else (c.runs - (2 * c.high * c.low / c.m + 1)) / sqrt(greatest(1e-9D, (2 * c.high * c.low) * (2 * c.high * c.low - c.m) / (c.m * c.m * (c.m - 1)))) end,
-       'z_serial', case when c.spread = 0 then 99D else (c.joint / c.spread + 1 / c.m) * sqrt(c.m) end)""",
-    f"""named_struct('n', c.n, 'p_chi', if(c.z_chi >= 0, 0.5D * ({_two_sided("c.z_chi")}), 1D - 0.5D * ({_two_sided("c.z_chi")})), 'p_runs', {_two_sided("c.z_runs")}, 'p_serial', {_two_sided("c.z_serial")})""",
-    f"""named_struct('w', cast(least(c.n, {MOST_WEIGHT}) as double), 'p', least(1D, 3D * least(c.p_chi, c.p_runs, c.p_serial)))""",
+    "named_struct('n', length(c), 's', regexp_replace(c, '[^A-Za-z0-9]', ''))",
+    f"""named_struct('n', c.n, 'm', cast(length(c.s) as double), 's', if(c.s rlike '{ENCODINGS[0][0]}' or c.s not rlike '[a-z]' and c.s not rlike '^[A-Z2-7]+$', lower(c.s), c.s),
+        'e', {_by_encoding("c.s", lambda e: "named_struct('alphabet', '%s', 'k', %de0, 'q2', %re0, 'q3', %re0, 'mean', %re0, 'square', %re0)" % (e[1], len(e[1]), *moments(e[2], e[3])))})""",
+    # counts: squared counts of characters; runs of classes; letters, runs of letters, runs of vowels and of consonants
+    """named_struct('n', c.n, 'm', c.m, 'e', c.e, 'squares', aggregate(split(c.e.alphabet, ''), 0e0, (acc, a) -> acc + pow(cast(length(c.s) - length(replace(c.s, a, '')) as double), 2e0)),
+        'runs', size(regexp_extract_all(c.s, '[0-9]+|[a-z]+|[A-Z]+', 0)), 'letters', length(regexp_replace(c.s, '[0-9]', '')), 'words', size(regexp_extract_all(c.s, '[A-Za-z]+', 0)),
+        'sounds', size(regexp_extract_all(c.s, '[AEIOUaeiou]+|[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]+', 0)))""",
+    # each test as a normal value, upwards towards ordinary tokens
+    """named_struct('n', c.n, 'm', c.m,
+        'chi', (sign(c.e.k / c.m * c.squares - c.m) * pow(abs(c.e.k / c.m * c.squares - c.m) / (c.e.k - 1), 1e0 / 3e0) - (1e0 - 2e0 / (9e0 * (c.e.k - 1)))) / sqrt(2e0 / (9e0 * (c.e.k - 1))),
+        'runs', ((c.m - 1) * (1 - c.e.q2) - (c.runs - 1)) / sqrt((c.m - 1) * c.e.q2 * (1 - c.e.q2) + 2 * (c.m - 2) * (c.e.q3 - c.e.q2 * c.e.q2)),
+        'serial', ((c.m - 1) * c.e.mean * c.e.mean - (c.letters - 2 * c.sounds + c.words)) / sqrt((c.m - 1) * (c.e.square * c.e.square - pow(c.e.mean, 4e0)) + 2 * (c.m - 2) * (c.e.mean * c.e.mean * c.e.square - pow(c.e.mean, 4e0))))""",
+    f"named_struct('w', cast(least(c.n, {MOST_WEIGHT}) as double), 'z', ((c.chi * {SHARES[0]!r}e0 + c.runs * {SHARES[1]!r}e0 + c.serial * {SHARES[2]!r}e0) - ({ORDINARY['slope']}e0 * sqrt(c.m) + {ORDINARY['offset']}e0)) / {ORDINARY['spread']}e0)",
+    f"named_struct('w', c.w, 'p', {_tail('c.z')})",
 ]
 
+_SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+
+
+def _random(text: str, level: float) -> str:
+    """SQL: the spans of a text's random tokens; text is a name."""
+    gaps = f"zip_with(split({text}, {runtime.quoted(KNOWN)}, -1), known_, (g, m) -> concat(g, repeat(' ', coalesce(length(m), 0))))"
+    blank = let(f"regexp_extract_all({text}, {runtime.quoted(KNOWN)}, 0)", "known_", f"if(size(known_) = 0, {text}, array_join({gaps}, ''))")
+    token = f"if(length(regexp_replace(z.m, '[^A-Za-z0-9]', '')) >= {LEAST}, named_struct('start', z.a, 'rank', 3, 'kind', 'random', 'end', z.a + length(z.m), 'm', z.m), null)"
+    tokens = let(blank, "blank_", f"filter({spans.places('blank_', runtime.quoted(TOKEN), token, 'struct<start:int,rank:int,kind:string,end:int,m:string>')}, t -> t is not null)")
+    tested = "transform(tokens_, t -> t.m)"
+    for step in STEPS:
+        tested = f"transform({tested}, c -> {step})"
+    # weighted step-up: p over weight (mean 1), smallest first; those up to the last under its line are secrets
+    line = let("array_sort(transform(tested_, c -> c.p / (c.w / mean_)))", "sorted_", f"array_max(transform(sorted_, (q, i) -> if(q <= {level!r}e0 * (i + 1) / size(sorted_), q, -1e0)))")
+    spans_of = "transform(filter(zip_with(tokens_, tested_, (t, c) -> struct(t, c.p / (c.w / mean_) as q)), x -> x.q <= line_), x -> struct(x.t.start as start, x.t.rank as rank, x.t.kind as kind, x.t.end as end))"
+    found = let(tested, "tested_", let("aggregate(tested_, 0e0, (s, c) -> s + c.w) / size(tested_)", "mean_", let(line, "line_", spans_of)))
+    return let(tokens, "tokens_", f"if(size(tokens_) = 0, cast(array() as array<{_SPAN}>), {found})")
+
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), level: float = LEVEL) -> DataFrame:
     """Per row: the id column, the columns of keep, and found: an array of (start, rank, kind, end) in order of start.
@@ -77,29 +123,16 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tu
     Places are code points, ends exclusive; rank is the kind's place in KINDS. Base kinds come first at equal starts.
     """
     kept = list(dict.fromkeys([id_col, *keep]))
-    rows = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
-    rows = rows.select("*", *(spans.matches(F.col("_text"), p).alias(f"_{k}") for k, p in patterns.items()))
-    rows = rows.select(
-        "*",
-        *(F.when(F.size(f"_{k}") > 0, spans.starts(F.col(f"_{k}"), F.split("_text", p, -1))).otherwise(F.array().cast("array<int>")).alias(f"_at_{k}") for k, p in patterns.items()),
-        F.when(F.size("_assign") > 0, spans.matches(F.col("_text"), ASSIGN, 2)).otherwise(F.array().cast("array<string>")).alias("_value"),
-    )
-    span = "transform(_at_{k}, (a, i) -> named_struct('start', a, 'rank', {rank}, 'kind', '{k}', 'end', a + length(_{k}[i]), 'v', {more}[i]))"
-    parts = {k: span.format(k=k, rank=r, more="_value" if k == "assign" else f"_{k}") for r, k in enumerate(KINDS)}
-    parts["assign"] = f"filter({parts['assign']}, x -> length(x.v) >= {ASSIGN_VALUE})"
-    rows = rows.select(*kept, F.expr(f"concat({parts['assign']}, {parts['access']}, {parts['hex']})").alias("_base"), F.expr(parts["random"]).alias("_tokens"))
-    rows = rows.select(*kept, "_base", F.expr("filter(_tokens, t -> not exists(_base, b -> b.start < t.end and t.start < b.end))").alias("_tokens"))
-    rows = rows.select("*", F.transform("_tokens", lambda t: t["v"]).alias("_c"))
-    for step in STEPS:
-        rows = rows.withColumn("_c", F.expr(f"transform(_c, c -> {step})"))
-    # weighted step-up: p over weight (mean 1), smallest first; those up to the last under its line are rejected
-    rows = rows.withColumn("_mean", F.expr("aggregate(_c, 0D, (s, c) -> s + c.w) / greatest(1, size(_c))"))
-    rows = rows.withColumn("_q", F.expr("transform(_c, c -> c.p / (c.w / _mean))")).withColumn("_sorted", F.array_sort("_q"))
-    rows = rows.withColumn("_line", F.expr(f"array_max(transform(_sorted, (q, i) -> if(q <= {level}D * (i + 1) / size(_sorted), q, -1D)))"))
-    rows = rows.withColumn("_secret", F.expr("filter(_tokens, (t, i) -> _q[i] > coalesce(_line, 2D))"))
-    found = "transform(array_sort(concat(_base, _secret)), x -> named_struct('start', x.start, 'rank', x.rank, 'kind', x.kind, 'end', x.end))"
-    return rows.select(*kept, F.expr(found).alias("found"))
+    span = "named_struct('start', z.a, 'rank', {1}, 'kind', '{0}', 'end', z.a + length(z.m))"
+    base = []
+    for rank, (kind, pattern) in enumerate({"assign": ASSIGN, "access": ACCESS, "hex": HEX}.items()):
+        body = span.format(kind, rank)
+        if kind == "assign":
+            body = f"if(length(v) >= {ASSIGN_VALUE}, {body}, null)"
+        base.append(spans.places("doc_", runtime.quoted(pattern), body, _SPAN, 2 if kind == "assign" else 0))
+    every = let("coalesce(text, '')", "doc_", f"array_sort(concat(filter({base[0]}, x -> x is not null), {base[1]}, {base[2]}, {_random('doc_', level)}))")
+    rows = df.select(*map(runtime.column, kept), runtime.column(text_col)).toDF(*(f"in_{i}" for i in range(len(kept))), "text")
+    return rows.select(*rows.columns[:-1], F.expr(every)).toDF(*kept, "found")
 
 
 def listed(found: str, where: str = "true") -> str:
@@ -114,10 +147,15 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> Dat
     """
     rows = runtime.numbered(df)
     columns, text = rows.columns, f"in_{df.columns.index(text_col)}"
-    rows = find(rows.withColumn("row", F.struct(*columns)).withColumn("doc", F.col(text)), "row", "doc")
-    merged = "aggregate(found, cast(array() as array<struct<a:int,b:int>>), (acc, x) -> if(size(acc) > 0 and x.start <= element_at(acc, -1).b, concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.end)))), concat(acc, array(named_struct('a', x.start, 'b', x.end)))))"
-    rows = rows.withColumn("cut", F.expr(merged))
-    clean = f"if(size(cut) = 0, row.{text}, concat(array_join(transform(cut, (x, i) -> concat(substring(row.{text}, if(i = 0, 0, cut[i - 1].b) + 1, x.a - if(i = 0, 0, cut[i - 1].b)), '{mark}')), ''), substring(row.{text}, element_at(cut, -1).b + 1)))"
+    rows = find(rows.withColumn("row", F.struct(*columns)), "row", text)
+    # what stays is what lies between the cuts; a cut ends where the next piece begins. Places in a text are found by
+    # counting from its start, so pieces are taken from blocks of them, as many as there are pieces in a block
+    pieces = "zip_with(concat(array(0), transform(cut_, x -> x.b)), concat(transform(cut_, x -> x.a), array(length(doc_))), (a, b) -> struct(a, b))"
+    blocks = "transform(sequence(0, (size(all_) - 1) div many_), k -> slice(all_, k * many_ + 1, many_))"
+    within = let("substring(doc_, p[0].a + 1, element_at(p, -1).b - p[0].a)", "part_", f"array_join(transform(p, x -> substring(part_, x.a - p[0].a + 1, x.b - x.a)), '{mark}')")
+    joined = let(pieces, "all_", let("cast(ceil(sqrt(size(all_))) as int)", "many_", f"array_join(transform({blocks}, p -> {within}), '{mark}')"))
+    stays = let(spans.united("found"), "cut_", f"if(size(cut_) = 0, doc_, {joined})")
+    clean = let(f"row.{text}", "doc_", stays)
     return rows.select(*(F.expr(clean).alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in columns)).toDF(*df.columns)
 
 
@@ -129,29 +167,33 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Matches and the gaps between them by place; the tests as sums over the tokens' characters."""
+    """Matches and the gaps between them by place; the tests on counts of expressions' matches."""
     token = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-    found = lambda kind, rank, pattern, value, where: f"""select r, '{kind}' as kind, {rank} as rank, start, start + length(m) as stop, m from (
+    found = lambda kind, rank, pattern, value, where, t="t": f"""select r, '{kind}' as kind, {rank} as rank, start, start + length(m) as stop, m from (
       select r, unnest(ms) as m, unnest(vs) as v, unnest(list_transform(range(1, len(ms) + 1), lambda i: cast(list_sum(list_transform(gaps[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda g: length(g))), 0) as bigint))) as start
-      from (select r, regexp_extract_all(t, $p${pattern}$p$) as ms, regexp_extract_all(t, $p${pattern}$p$, {value}) as vs, regexp_split_to_array(t, $p${pattern}$p$) as gaps from d) where len(ms) > 0) where {where}"""
-    tail = lambda z: "({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{x} * {x}))".format(x=f"(abs({z}) / sqrt(2))", t=f"(1 / (1 + 0.3275911 * (abs({z}) / sqrt(2))))")
+      from (select r, regexp_extract_all({t}, $p${pattern}$p$) as ms, regexp_extract_all({t}, $p${pattern}$p$, {value}) as vs, regexp_split_to_array({t}, $p${pattern}$p$) as gaps from {"d" if t == "t" else "blank"}) where len(ms) > 0) where {where}"""
+    known = KNOWN.replace("((?i:", "(?:(?i:").replace("([A-Za-z0-9+", "(?:[A-Za-z0-9+")
+    which = "case " + " ".join(f"when regexp_matches(s, '{e[0]}') then {i}" for i, e in enumerate(ENCODINGS[:-1])) + f" else {len(ENCODINGS) - 1} end"
+    table = ", ".join("(%d, '%s', %de0, %re0, %re0, %re0, %re0)" % (i, e[1], len(e[1]), *moments(e[2], e[3])) for i, e in enumerate(ENCODINGS))
+    tail = _tail("z").replace("if(z < 0, ", "case when z < 0 then ").replace(", 1e0 - ", " else 1e0 - ")[:-1] + " end"
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
 ), base as ({found("assign", 0, ASSIGN, 2, f"length(v) >= {ASSIGN_VALUE}")} union all {found("access", 1, ACCESS, 0, "true")} union all {found("hex", 2, HEX, 0, "true")}
-), token as (select row_number() over () as id, * from ({found("random", 3, token, 0, "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')")}) x where not exists (select 1 from base b where b.r = x.r and b.start < x.stop and x.start < b.stop)
-), coded as (select id, length(m) as whole, case when regexp_full_match(rtrim(m, '='), '[0-9a-f]+|[0-9A-F]+') then lower(rtrim(m, '=')) else translate(rtrim(m, '='), '-_', '+/') end as s,
-    case when regexp_full_match(rtrim(m, '='), '[0-9a-f]+|[0-9A-F]+') then '{HEX_ALPHABET}' when regexp_full_match(rtrim(m, '='), '[A-Z2-7]+') then '{BASE32_ALPHABET}' else '{BASE64_ALPHABET}' end as alphabet from token
-), ch as (select id, i, cast(length(alphabet) as double) as k, cast(instr(alphabet, s[i]) - 1 as double) as x from (select *, unnest(range(1, length(s) + 1)) as i from coded)
-), pair as (select *, lag(x) over (partition by id order by i) as y from ch
-), mean as (select id, k, cast(count(*) as double) as n, avg(x) as mean, cast(count(*) filter (where x >= k / 2) as double) as high, 1.0 + count(*) filter (where y is not null and (x >= k / 2) <> (y >= k / 2)) as runs from pair group by id, k
-), sq as (select id, sum(c * c) as squares from (select id, x, cast(count(*) as double) as c from ch group by id, x) group by id
-), serial as (select id, sum((x - mean) * (x - mean)) as spread, sum((x - mean) * (y - mean)) as joint from pair join mean using (id) group by id
-), z as (select id, pow((k / n * squares - n) / (k - 1), 1.0 / 3) as q, 2 / (9 * (k - 1)) as u, case when high = 0 or high = n then 99.0 else (runs - (2 * high * (n - high) / n + 1)) / sqrt(greatest(1e-9, (2 * high * (n - high)) * (2 * high * (n - high) - n) / (n * n * (n - 1)))) end as z_runs,
-    case when spread = 0 then 99.0 else (joint / spread + 1 / n) * sqrt(n) end as z_serial from mean join sq using (id) join serial using (id)
-), p as (select id, least(1.0, 3 * least(case when q >= 1 - u then 0.5 * {tail("(q - (1 - u)) / sqrt(u)")} else 1 - 0.5 * {tail("(q - (1 - u)) / sqrt(u)")} end, {tail("z_runs")}, {tail("z_serial")})) as p from z
-), w as (select token.*, p / (least(whole, {MOST_WEIGHT}) / avg(least(whole, {MOST_WEIGHT})) over (partition by r)) as q from token join p using (id) join coded using (id)
-), o as (select *, q <= {LEVEL} * row_number() over (partition by r order by q) / count(*) over (partition by r) as under from w
-), kept as (select * from o where q > coalesce((select max(q) from o x where x.r = o.r and under), -1)
+), blank as (select r, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || repeat(' ', coalesce(length(ms[i]), 0))), '') as b from (select r, regexp_extract_all(t, $p${known}$p$) as ms, regexp_split_to_array(t, $p${known}$p$) as gaps from d)
+), token as (select row_number() over () as id, *, regexp_replace(m, '[^A-Za-z0-9]', '', 'g') as bare from ({found("random", 3, token, 0, f"regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and length(regexp_replace(m, '[^A-Za-z0-9]', '', 'g')) >= {LEAST}", "b")})
+), encoding(e, alphabet, k, q2, q3, mean, square) as (values {table}
+), coded as (select id, length(m) as n, cast(length(bare) as double) as m, {which.replace("(s,", "(bare,")} as e, bare from token
+), folded as (select coded.*, alphabet, k, q2, q3, mean, square, case when e in (0, 2) then lower(bare) else bare end as s from coded join encoding using (e)
+), ch as (select id, unnest(string_split(s, '')) as c from folded
+), sq as (select id, sum(many * many) as squares from (select id, c, cast(count(*) as double) as many from ch group by id, c) group by id
+), counted as (select *, len(regexp_extract_all(s, '[0-9]+|[a-z]+|[A-Z]+')) as runs, length(regexp_replace(s, '[0-9]', '', 'g')) as letters, len(regexp_extract_all(s, '[A-Za-z]+')) as words, len(regexp_extract_all(s, '[AEIOUaeiou]+|[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]+')) as sounds from folded join sq using (id)
+), tests as (select id, n, m, (sign(k / m * squares - m) * pow(abs(k / m * squares - m) / (k - 1), 1e0 / 3e0) - (1e0 - 2e0 / (9e0 * (k - 1)))) / sqrt(2e0 / (9e0 * (k - 1))) as chi,
+    ((m - 1) * (1 - q2) - (runs - 1)) / sqrt((m - 1) * q2 * (1 - q2) + 2 * (m - 2) * (q3 - q2 * q2)) as run,
+    ((m - 1) * mean * mean - (letters - 2 * sounds + words)) / sqrt((m - 1) * (square * square - pow(mean, 4)) + 2 * (m - 2) * (mean * mean * square - pow(mean, 4))) as serial from counted
+), z as (select id, least(n, {MOST_WEIGHT}) as w, ((chi * {SHARES[0]!r}e0 + run * {SHARES[1]!r}e0 + serial * {SHARES[2]!r}e0) - ({ORDINARY["slope"]}e0 * sqrt(m) + {ORDINARY["offset"]}e0)) / {ORDINARY["spread"]}e0 as z from tests
+), w as (select token.*, ({tail}) / (w / avg(w) over (partition by r)) as q from token join z using (id)
+), o as (select *, q <= {LEVEL!r}e0 * row_number() over (partition by r order by q) / count(*) over (partition by r) as under from w
+), kept as (select * from o where q <= coalesce((select max(q) from o x where x.r = o.r and under), -1)
 ), every as (select r, kind, rank, start, stop from base union all select r, kind, rank, start, stop from kept
 ), lists as (select r, count(*) filter (where rank = 0) as a, count(*) filter (where rank = 1) as b, count(*) filter (where rank = 2) as c, count(*) filter (where rank = 3) as e,
     string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) filter (where rank < 3) as base_list, string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) as spans from every group by r)
