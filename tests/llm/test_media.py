@@ -42,6 +42,35 @@ def test_formats():
         assert media.decode(broken) is None
 
 
+def test_what_is_no_whole_image(spark):
+    rgb = np.zeros((2, 2, 3), np.uint8)
+    bmp = media.encode_bmp(rgb)
+    with_width = lambda w, h: bmp[:18] + w.to_bytes(4, "little", signed=True) + h.to_bytes(4, "little", signed=True) + bmp[26:]
+    broken = [b"P5 0 0 255\n", b"P5 0 3 255\n", b"P5 -1 3 255\n", b"P1 2 1\n79", b"P1 2 1\n1", b"P2 1 1 255\n300", b"P2 1 1 0\n0", b"P2 1 1 70000\n1", b"P2 2 1 9\n1", b"P2 1 1 9\n-1", b"P5 1 1 9\n\x0a", b"P5 1 1 300\n\xff\xff", b"P3 1 1 255 1 2", b"P4 9 1\n\x00", b"P5 1 1 255", b"P2 1 1 255 " + b"9" * 5000, b"P5 " + b"9" * 5000 + b" 1 255\n", b"P5 99999999999 99999999999 255\n0", b"P7", b"P", with_width(-2, 2), with_width(0, 2), with_width(2, 0), with_width(2**31 - 1, 2**31 - 1), bmp[:-1], bmp[:20]]
+    assert [media.decode(x) for x in broken] == [None] * len(broken)
+    assert media.decode(with_width(2, -2)).shape == (2, 2, 3)
+    rows = media.tiled(spark.createDataFrame([(i, x) for i, x in enumerate(broken)], "doc_id long, media binary"), "doc_id", "media").collect()
+    assert [(r.height, r.width, r.tile_npy, r.image_hash) for r in rows] == [(None, None, [], None)] * len(broken)
+
+
+def brute_hash(image):
+    cells = brute_resize(image, 8, 9)
+    bits = "".join("1" if a < b else "0" for row in cells for a, b in zip(row, row[1:]))
+    return f"{int(bits, 2):016x}"
+
+
+def test_the_feature_in_plain_code(spark):
+    texts = ["", "abc", "some words " * 90, "é" * 400]
+    got = {r.doc_id: r for r in media.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), side=24).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        raw += b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        image = np.array(list(raw), np.uint8).reshape(-1, 24)
+        parts = "".join(brute_hash(image[k : k + 24]) for k in range(0, len(image), 24))
+        assert got[i].feature == f"{brute_hash(image)}:{hashlib.sha256(parts.encode()).hexdigest()[:16]}"
+        assert got[i].same and got[i].bmp_bytes == 54 + len(raw)
+
+
 def test_query_rows(spark):
     texts = [None, "", "abc", "abc", "é" * 700, "x" * 576, "long text " * 9000]
     df = spark.createDataFrame([(None if i == 2 else i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, feature int")

@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP images decoded to numpy arrays, area-resized by integral images, written as NPY tiles.
 
-Defined results: null bytes, and bytes that are no whole image of the formats below, decode to None and give a row with
-null size and no tiles; images of any size are worked through in bands of rows, so memory is bounded by one image and a
+Defined results: null bytes, and bytes that are no whole image of the formats below (a size of zero or less, a maximum out
+of 1 to 65535, samples over the maximum, too few of them, a colour that the palette lacks), decode to None and give a row
+with null size and no tiles; images of any size are worked through in bands of rows, so memory is bounded by one image and a
 band; equal bytes give equal tiles and hashes; repeated rows each give rows; other columns of the input are not read.
 """
 
@@ -57,37 +58,50 @@ def _header(data: bytes, at: int, count: int) -> tuple[list[int], int]:
     return found, at
 
 
+def _require(good: bool) -> None:
+    if not good:
+        raise ValueError("not a whole image")
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6: rows x columns, or rows x columns x 3; samples over 255 become 16-bit."""
+    """P1 to P6: rows x columns, or rows x columns x 3; samples are 16-bit where the maximum is over 255."""
     kind = data[1] - 48
     numbers, at = _header(data, 2, 2 if kind in (1, 4) else 3)
     columns, rows = numbers[:2]
     top = numbers[2] if len(numbers) > 2 else 1
     depth = 3 if kind in (3, 6) else 1
+    size = rows * columns * depth
+    _require(rows > 0 and columns > 0 and 1 <= top <= 65535 and data[at : at + 1].isspace())
     if kind == 1:
-        bits = np.frombuffer(data[at:].translate(None, b" \t\r\n\x0b\x0c"), np.uint8)[: rows * columns]
-        image = 255 * (1 - (bits - 48))
+        bits = np.frombuffer(data[at:].translate(None, b" \t\r\n\x0b\x0c"), np.uint8)[:size] - 48
+        _require(len(bits) == size and bits.max() <= 1)
+        image = 255 * (1 - bits)
     elif kind in (2, 3):
-        image = np.array(data[at:].split()[: rows * columns * depth], dtype=np.int64)
+        samples = data[at:].split(None, size)[:size]
+        _require(len(samples) == size and all(x.isdigit() and len(x) <= 9 for x in samples))
+        image = np.array(samples, dtype=np.int64)
     elif kind == 4:
         stride = -(-columns // 8)
         packed = np.frombuffer(data, np.uint8, rows * stride, at + 1).reshape(rows, stride)
         image = 255 * (1 - np.unpackbits(packed, axis=1)[:, :columns])
     else:
-        image = np.frombuffer(data, np.dtype(">u2") if top > 255 else np.uint8, rows * columns * depth, at + 1)
+        image = np.frombuffer(data, np.dtype(">u2") if top > 255 else np.uint8, size, at + 1)
+    _require(kind in (1, 4) or image.max() <= top)
     return image.astype(np.uint16 if top > 255 else np.uint8).reshape((rows, columns) if depth == 1 else (rows, columns, 3))
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed BMP of 8 bits with a palette, 24 or 32 bits: rows x columns x 3."""
     offset, header, columns, rows, _, depth, packing = struct.unpack_from("<10xIIiiHHI", data)
-    if packing not in (0, 3) or depth not in (8, 24, 32):
-        raise ValueError("not an uncompressed BMP")
+    _require(packing in (0, 3) and depth in (8, 24, 32) and columns > 0 and rows != 0 and offset >= 14 + header >= 54)
+    if packing == 3:  # masks, which must be those of plain 32-bit samples
+        _require(depth == 32 and struct.unpack_from("<III", data, 54) == (0xFF0000, 0xFF00, 0xFF))
     stride = -(-columns * depth // 32) * 4
     body = np.frombuffer(data, np.uint8, abs(rows) * stride, offset).reshape(abs(rows), stride)
     body = body if rows < 0 else body[::-1]
     if depth == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
+        _require(used <= 256)
         palette = np.frombuffer(data, np.uint8, used * 4, 14 + header).reshape(-1, 4)
         return palette[body[:, :columns], 2::-1]
     return body[:, : columns * depth // 8].reshape(abs(rows), columns, depth // 8)[:, :, 2::-1]
@@ -96,11 +110,11 @@ def decode_bmp(data: bytes) -> np.ndarray:
 def decode(data: bytes | None) -> np.ndarray | None:
     """The image's samples; None for what is not a whole image."""
     try:
-        if data[:1] == b"P" and data[1:2] in b"123456":
+        if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
             return decode_netpbm(data)
         if data[:2] == b"BM":
             return decode_bmp(data)
-    except (ValueError, TypeError, IndexError, struct.error):
+    except (ValueError, TypeError, IndexError, OverflowError, struct.error):
         pass
     return None
 
@@ -196,24 +210,28 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", side
     """Per text: the sizes and digests of its payload as read back from the stored image's NPY tiles, and a feature.
 
     The stored image is decoded, cut into NPY tiles and put together again from them; payload columns and feature come
-    from what was read back. feature: the image's difference hash, a colon, and the digest of the tiles' hashes.
+    from what was read back. feature: the image's difference hash, a colon, and the digest of the tiles' hashes. bmp_bytes
+    and bmp_sha256 are of the same payload stored as a BMP of three samples a place, and same says that what is read back
+    from that is the payload too.
     """
 
     def one(text: bytes) -> tuple:
-        media = encode_pgm(as_image(text))
+        whole = as_image(text)
+        media = encode_pgm(whole)
         image = decode(media)
         cut = tiles(image, side)
         back = np.concatenate([np.load(io.BytesIO(data), allow_pickle=False) for _, _, data, _ in cut])
         payload = back.tobytes()
         marks = hashlib.sha256("".join(h for *_, h in cut).encode()).hexdigest()[:16]
-        return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(back)}:{marks}"
+        bmp = encode_bmp(whole.reshape(-1, WIDTH // 3, 3))
+        return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(back)}:{marks}", len(bmp), hashlib.sha256(bmp).hexdigest(), decode(bmp).tobytes() == payload
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "bmp_bytes", "bmp_sha256", "same"]
 
     def kernel(texts: list[bytes]) -> dict[str, list]:
         return dict(zip(names, map(list, zip(*map(one, texts), strict=True)), strict=True))
 
-    return runtime.map_rows(df, [id_col], text_col, kernel, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return runtime.map_rows(df, [id_col], text_col, kernel, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, bmp_bytes long, bmp_sha256 string, same boolean")
 
 
 def op5_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
