@@ -44,28 +44,54 @@ def mirrored(facts: DataFrame, edges: DataFrame, keep: list[str], status: str =
     return facts.select(*keep).join(first, keep, "left").select(*keep, "edge.target", "edge.rule")
 
 
+# The order of stages, by which a move is forward; statuses that count as work; ways out that no gate holds;
+# the report that a status has to leave behind.
 STAGES = {"pending": 0, "backlog": 1, "todo": 2, "in_progress": 3, "review_ready": 4, "in_review": 4, "qa_ready": 5, "in_testing": 5, "done": 6}
 ACTIVE = ("in_progress", "in_review", "in_testing")
+ESCAPES = ("blocked", "canceled")
+REPORTS = {"in_progress": "dev_report", "in_review": "review_report", "in_testing": "qa_report"}
 
 
 def stage(c: str) -> Column:
     return reduce(lambda w, x: w.when(F.col(c) == x[0], x[1]), STAGES.items(), F.when(F.lit(False), -1)).otherwise(0)
 
 
-def decide(gates: DataFrame, edges: DataFrame) -> DataFrame:
-    """task_id, current, target, code for every edge out of a task's status, as an agent would be answered."""
-    forward = (stage("target") > stage("current")) & ~F.col("target").isin("blocked", "canceled")
-    checks = F.col("cond_checklist") & forward
+def _gate(state: str) -> tuple[Column, Column, Column]:
+    """Of a checklist's state (struct of total, open, failed; null where there is none): not created, open, failed."""
+    total, still, failed = (F.coalesce(F.col(f"{state}.{x}"), F.lit(0)) for x in ("total", "open", "failed"))
+    return total == 0, still > 0, failed > 0
+
+
+def decided(asked: DataFrame) -> Column:
+    """The code of the first rule that denies a move, or ok.
+
+    asked has, per row: current, target; target_known (the flow has the target), runner (of the edge; null without one),
+    cond_links, cond_checklist, cond_artifact; subject (agent, auto, human), assigned, current_terminal; blocked,
+    plan_stale, psi_failed; source_gate and target_gate (the checklists' kinds), source_state and target_state (struct of
+    total, open, failed) and has_report. Rights come first, then links, plan, acceptance, checklists, and the report.
+    """
+    agent, runner = F.col("subject") == "agent", F.col("runner")
+    gated = F.col("cond_checklist") & ~F.col("target").isin(*ESCAPES)
+    forward = gated & (stage("target") > stage("current")) & F.col("source_gate").isNotNull()
+    entry = gated & (runner != "auto") & F.col("target_gate").isNotNull()
+    none, still, failed = _gate("source_state")
+    none_there = _gate("target_state")[0]
     rules = [
-        (~F.col("assigned"), "agent_not_assigned"),
-        (~F.col("runner").isin("agent", "auto_or_agent"), "runner_agent"),
-        (F.col("target") == "canceled", "agent_cancel"),
-        (F.col("cond_links") & F.col("target").isin(*ACTIVE) & F.col("blocker").isNotNull(), "links_blocked"),
-        ((F.col("target") == "done") & (F.col("plan_ref") < F.col("ref_version")), "plan_stale"),
-        (checks & (F.coalesce("total", F.lit(0)) == 0), "checklist_not_created"),
-        (checks & (F.col("n_failed") > 0), "checklist_failed"),
-        (checks & (F.col("n_open") > 0), "checklist_open"),
-        (F.col("cond_artifact") & ~F.col("has_artifact"), "artifact_missing"),
+        (runner.isNull() & ~F.col("target_known"), "no_status"),
+        (runner.isNull(), "no_edge"),
+        ((F.col("subject") == "auto") & ~runner.isin("auto", "auto_or_agent"), "runner_auto"),
+        (agent & ~F.col("assigned"), "agent_not_assigned"),
+        (agent & ~runner.isin("agent", "auto_or_agent"), "runner_agent"),
+        (agent & (F.col("target") == "canceled"), "agent_cancel"),
+        (agent & F.coalesce("current_terminal", F.lit(False)), "agent_terminal"),
+        (F.col("cond_links") & F.col("target").isin(*ACTIVE) & F.col("blocked"), "links_blocked"),
+        ((F.col("target") == "done") & F.col("plan_stale"), "plan_stale"),
+        ((F.col("target") == "done") & (F.col("psi_failed") > 0), "psi_failed"),
+        (forward & none, "checklist_not_created"),
+        (forward & still, "checklist_not_closed"),
+        (forward & failed, "checklist_failed"),
+        (entry & (F.col("target") == "in_progress") & none_there, "checklist_not_created"),
+        (entry & (F.col("target") == "in_review") & (stage("target") > stage("current")) & none_there, "checklist_not_created"),
+        (F.col("cond_artifact") & F.col("current").isin(*REPORTS) & ~F.col("has_report"), "artifact_missing"),
     ]
-    code = F.coalesce(*(F.when(c, F.lit(k)) for c, k in rules), F.lit("ok"))
-    return gates.join(F.broadcast(edges), "current").select("task_id", "current", "target", code.alias("code"))  # a flow's edges: dozens
+    return F.coalesce(*(F.when(c, F.lit(k)) for c, k in rules), F.lit("ok"))

@@ -99,22 +99,22 @@ def blockers_open(spark, sf):
 @query("select r.to_task as task_id, count(*) as n from relation r join task t on t.task_id = r.from_task where kind = 'blocked_by' and t.status_key not in ('done', 'canceled') group by 1", ("task", "relation"))
 def blocks_count(spark, sf):
     """How many open tasks each task blocks."""
-    return _blocks(spark, sf)
+    return blocks(spark, sf)
 
 
-def _blocks(spark, sf):
+def blocks(spark, sf):
     still = table(spark, sf, "task").filter(~F.col("status_key").isin(*CLOSED)).select(F.col("task_id").alias("from_task"))
     return table(spark, sf, "relation").filter("kind = 'blocked_by'").join(still, "from_task").groupBy(F.col("to_task").alias("task_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _after(spark, sf):
+def after(spark, sf):
     still = table(spark, sf, "task").filter(~F.col("status_key").isin(*CLOSED)).select(F.col("task_id").alias("to_task"))
     return table(spark, sf, "relation").filter("kind = 'do_after'").join(still, "to_task", "left_semi").select(F.col("from_task").alias("task_id")).distinct()
 
 
 @query("select distinct r.from_task as task_id from relation r join task t on t.task_id = r.to_task where kind = 'do_after' and t.status_key not in ('done', 'canceled')", ("task", "relation"))
 def do_after_open(spark, sf):
-    return _after(spark, sf)
+    return after(spark, sf)
 
 
 @query(f"""+ blocks as (select r.to_task as task_id, count(*) as n from relation r join task t on t.task_id = r.from_task where kind = 'blocked_by' and t.status_key not in ('done', 'canceled') group by 1),
@@ -124,7 +124,7 @@ def do_after_open(spark, sf):
 def launch_queue(spark, sf):
     """Launch order: urgency, then how much a task holds up, bugs, and tasks that wait for others last."""
     tasks = table(spark, sf, "task").filter(F.col("status_key").isin("todo", "in_progress"))
-    rows = tasks.join(_blocks(spark, sf).withColumnRenamed("n", "blocks"), "task_id", "left").join(_after(spark, sf).withColumn("waits", F.lit(True)), "task_id", "left").fillna(0, ["blocks"]).fillna(False, ["waits"])
+    rows = tasks.join(blocks(spark, sf).withColumnRenamed("n", "blocks"), "task_id", "left").join(after(spark, sf).withColumn("waits", F.lit(True)), "task_id", "left").fillna(0, ["blocks"]).fillna(False, ["waits"])
     return R.top(rows, [X.priority_rank(F.col("priority")), -F.col("blocks"), F.col("type_key") != "bug", F.col("waits"), F.col("created_at"), F.col("task_id")], 100).select("task_id", "blocks", "waits")
 
 
@@ -178,9 +178,6 @@ def unassigned_tasks(spark, sf):
     return table(spark, sf, "task").filter("status_key = 'in_progress'").withColumn("agent", F.col("task_id") % 200).join(live, "agent", "left_anti").select("task_id")
 
 
-STAGE_SQL = "case status_key when 'todo' then 2 when 'in_progress' then 3 when 'in_review' then 4 when 'in_testing' then 5 else 99 end"
-
-
 @query("select t.task_id from task t join relation r on r.from_task = t.task_id and r.kind = 'blocked_by' join task b on b.task_id = r.to_task where t.status_key = 'blocked' group by 1 having count(*) filter (where b.status_key not in ('done', 'canceled')) = 0", ("task", "relation"))
 def auto_unblock_candidates(spark, sf):
     """Blocked tasks with blockers, all of them closed."""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from ..operators.rules import PREDICATES, decide, mirrored
+from ..operators.rules import PREDICATES, mirrored
 from ..sources.adapter import table
 from .catalog import query
 
@@ -43,44 +43,13 @@ def mirror_transition(spark: SparkSession, sf: str) -> DataFrame:
     return mirrored(facts.join(kids, "story_id", "left"), edges, ["story_id", "status_key"])
 
 
-# Edges of a task's flow with who may take them and which conditions they have.
-EDGES = [
-    ("todo", "in_progress", "agent", True, True, False), ("in_progress", "in_review", "agent", True, False, True), ("in_review", "in_testing", "auto_or_agent", True, False, False), ("in_review", "in_progress", "agent", False, False, False),
-    ("in_testing", "done", "auto", True, False, True), ("in_testing", "blocked", "human", False, False, False), ("blocked", "todo", "auto_or_agent", False, True, False), ("todo", "canceled", "human", False, False, False), ("in_progress", "canceled", "agent", False, False, False),
-]
-EDGE_VALUES = ", ".join(f"('{a}', '{b}', '{r}', {c}, {k}, {f})".lower() for a, b, r, c, k, f in EDGES)
-STAGE = "case {} when 'pending' then 0 when 'todo' then 2 when 'in_progress' then 3 when 'in_review' then 4 when 'in_testing' then 5 when 'done' then 6 else 0 end"
-
-
-@query(f"""+ edge(current, target, runner, cond_checklist, cond_links, cond_artifact) as (values {EDGE_VALUES}),
-  items as (select l_orderkey as task_id, count(*) as total, count(*) filter (where l_linestatus = 'O') as n_open, count(*) filter (where l_returnflag = 'R') as n_failed from lineitem group by 1),
-  held as (select from_task as task_id, min(to_task) as blocker from relation join task b on b.task_id = to_task where kind = 'blocked_by' and b.status_key not in ('done', 'canceled') group by 1)
-  select t.task_id, e.current, e.target, case when t.task_id % 6 = 0 then 'agent_not_assigned' when runner not in ('agent', 'auto_or_agent') then 'runner_agent' when target = 'canceled' then 'agent_cancel'
-    when cond_links and target in ('in_progress', 'in_review', 'in_testing') and blocker is not null then 'links_blocked' when target = 'done' and t.task_id % 9 < ref_version then 'plan_stale'
-    when cond_checklist and target not in ('blocked', 'canceled') and {STAGE.format('target')} > {STAGE.format('e.current')} then
-      case when coalesce(total, 0) = 0 then 'checklist_not_created' when n_failed > 0 then 'checklist_failed' when n_open > 0 then 'checklist_open' when cond_artifact and t.task_id % 4 = 0 then 'artifact_missing' else 'ok' end
-    when cond_artifact and t.task_id % 4 = 0 then 'artifact_missing' else 'ok' end as code
-  from task t join edge e on e.current = t.status_key left join items using (task_id) left join held using (task_id)""", ("task", "relation"))
-def edge_decisions(spark, sf):
-    """Every outgoing edge of every task with the first rule that denies it, or ok."""
-    return decide(_gates(spark, sf), spark.createDataFrame(EDGES, "current string, target string, runner string, cond_checklist boolean, cond_links boolean, cond_artifact boolean"))
-
-
-def _gates(spark, sf):
-    """One row per task with all facts that rules look at; each fact is an aggregate by task."""
-    items = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("l_linestatus") == "O").alias("n_open"), F.count_if(F.col("l_returnflag") == "R").alias("n_failed"))
-    still = table(spark, sf, "task").filter(~F.col("status_key").isin("done", "canceled")).select(F.col("task_id").alias("to_task"))
-    held = table(spark, sf, "relation").filter("kind = 'blocked_by'").join(still, "to_task", "left_semi").groupBy(F.col("from_task").alias("task_id")).agg(F.min("to_task").alias("blocker"))
-    tasks = table(spark, sf, "task").select("task_id", F.col("status_key").alias("current"), "ref_version", (F.col("task_id") % 9).alias("plan_ref"), (F.col("task_id") % 4 > 0).alias("has_artifact"), (F.col("task_id") % 6 > 0).alias("assigned"))
-    return tasks.join(items, "task_id", "left").join(held, "task_id", "left")
-
-
 @query("""select o_orderkey as task_id, count(l_orderkey) as total, count(l_orderkey) filter (where l_linestatus = 'O') as n_open, count(l_orderkey) filter (where l_returnflag = 'R') as n_failed,
   case when count(l_orderkey) = 0 then 'not_created' when count(*) filter (where l_returnflag = 'R') > 0 then 'failed' when count(*) filter (where l_linestatus = 'O') > 0 then 'open' else 'closed' end as state
   from orders left join lineitem on l_orderkey = o_orderkey group by 1""")
 def gate_checklist_state(spark, sf):
-    """A checklist's state by task; tasks without items have one that is not created."""
-    counts = _gates(spark, sf).select("task_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "n_open", "n_failed")))
+    """A checklist's state by task; tasks without items have one that is not created. Items are counted before the join."""
+    items = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("l_linestatus") == "O").alias("n_open"), F.count_if(F.col("l_returnflag") == "R").alias("n_failed"))
+    counts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id")).join(items, "task_id", "left").fillna(0, ["total", "n_open", "n_failed"])
     return counts.withColumn("state", F.expr("case when total = 0 then 'not_created' when n_failed > 0 then 'failed' when n_open > 0 then 'open' else 'closed' end"))
 
 
@@ -143,22 +112,4 @@ def off_graph_transitions(spark, sf):
     return steps.join(F.broadcast(edges), ["prior", "event_type"], "left_anti").select("event_id", "event_type", "prior")
 
 
-@query(f"""+ held as (select distinct from_task as task_id from relation join task b on b.task_id = to_task where kind = 'blocked_by' and b.status_key not in ('done', 'canceled')),
-  runs as (select task_id, count(*) as n from run where reason_code is null or reason_code not in ('soft_turns', 'stale_status') group by 1), active as (select distinct task_id from run where finished_at is null and started_at > timestamp '1998-06-01')
-  select t.task_id, case when t.task_id % 10 = 0 then 'no_agent' when a.task_id is not null then 'running' when retry_count >= 4 then 'attempts_exhausted' when coalesce(n, 0) >= 6 then 'run_limit' when h.task_id is not null then 'hard_blocked' else 'launch' end as decision
-  from task t left join held h using (task_id) left join runs using (task_id) left join active a on a.task_id = t.task_id where status_key in ('todo', 'in_progress', 'in_review', 'in_testing')""", ("task", "relation", "run"))
-def scheduler_decisions(spark, sf):
-    """Why each candidate is launched or not: the first rule in order that applies. One aggregate over runs serves two rules."""
-    runs = table(spark, sf, "run")
-    counts = F.count_if(F.col("reason_code").isNull() | ~F.col("reason_code").isin("soft_turns", "stale_status"))
-    live = F.bool_or(F.col("finished_at").isNull() & (F.col("started_at") > F.lit("1998-06-01").cast("timestamp_ntz")))
-    used = runs.groupBy("task_id").agg(counts.alias("n"), live.alias("live"))
-    still = table(spark, sf, "task").filter(~F.col("status_key").isin("done", "canceled")).select(F.col("task_id").alias("to_task"))
-    held = table(spark, sf, "relation").filter("kind = 'blocked_by'").join(still, "to_task", "left_semi").select(F.col("from_task").alias("task_id"), F.lit(True).alias("held")).distinct()
-    rules: list[tuple[Column, str]] = [(F.col("task_id") % 10 == 0, "no_agent"), (F.col("live"), "running"), (F.col("retry_count") >= 4, "attempts_exhausted"), (F.col("n") >= 6, "run_limit"), (F.col("held"), "hard_blocked")]
-    candidates = table(spark, sf, "task").filter(F.col("status_key").isin("todo", "in_progress", "in_review", "in_testing"))
-    decision = reduce(lambda w, r: w.when(r[0], r[1]), rules, F.when(F.lit(False), "")).otherwise("launch")
-    return candidates.join(used, "task_id", "left").join(held, "task_id", "left").select("task_id", decision.alias("decision"))
-
-
 assert {w for *_, when, _ in MIRROR for w in when} <= set(PREDICATES)

@@ -35,8 +35,52 @@ from (select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o
 where prior is not null
 """
 
+PROJECT = "select n_nationkey as project_id, concat('P', cast(n_nationkey as varchar(10))) as mnemonic, n_name as project, n_nationkey % 8 = 5 as is_archived from {nation}"
+
+CARD = """
+select t.*, mnemonic, project, is_archived, concat(c_name, ' order ', cast(t.task_id as varchar(20))) as title, cast(floor(o_totalprice) as bigint) as weight
+from {task} t join {orders} on o_orderkey = t.task_id join {customer} on c_custkey = t.story_id join {project} p on p.project_id = t.project_id
+"""
+
+ITEM = """
+select l_orderkey as task_id, case l_linenumber % 4 when 0 then 'developer' when 1 then 'reviewer' when 2 then 'tester' else 'psi' end as kind, l_linenumber as position, l_partkey % 4 as ref,
+  case when l_returnflag = 'R' and l_linestatus = 'F' then 'failed' when l_linestatus = 'O' and l_quantity > 40 then case when l_returnflag = 'A' then 'todo' else 'in_progress' end when l_returnflag = 'A' then 'closed' else 'done' end as status,
+  concat('item ', cast(l_partkey as varchar(20))) as text from {lineitem}
+"""
+
+ARTIFACT = "select l_orderkey as task_id, case l_linenumber % 3 when 0 then 'dev_report' when 1 then 'review_report' else 'qa_report' end as kind, l_suppkey as version from {lineitem} where l_discount < 0.04"
+
+ASSIGNMENT = """
+select case s_nationkey % 5 when 0 then 'story' when 1 then 'bug' when 2 then 'qa_task' when 3 then 'analyse_task' else 'common_task' end as type_key,
+  case s_suppkey % 6 when 0 then 'todo' when 1 then 'in_progress' when 2 then 'in_review' when 3 then 'in_testing' when 4 then 'done' else 'in_progress' end as status_key, s_suppkey as agent_id, case when s_acctbal > 6000 then 'parallel' else 'exclusive' end as mode, s_suppkey as position, s_nationkey % 7 as connection
+from {supplier} where s_acctbal > 500
+"""
+
+FLOW_VERSION = """
+select concat(type_key, '-', cast(version as varchar(10))) as version_id, type_key, version, version <= 4 as is_published, version = case when type_key = 'common_task' then 5 else 3 + rank % 2 end as is_current
+from (select n_regionkey as rank, case n_regionkey when 0 then 'story' when 1 then 'bug' when 2 then 'qa_task' when 3 then 'analyse_task' else 'common_task' end as type_key, cast(row_number() over (partition by n_regionkey order by n_nationkey) as int) as version from {nation}) x
+"""
+
+# Statuses of a task's flow (position, first version, entry, terminal, checklist of the gate, behaviours) and its edges.
+FLOW_STATUS = """
+select version_id, type_key, version, s.status_key, s.position, s.is_entry, case when s.status_key = 'canceled' and version = 4 then null else s.is_terminal end as is_terminal, s.gate, s.behaviors
+from {flow_version} v join (values ('todo', 0, 1, true, false, 'developer', ''), ('in_progress', 1, 1, false, false, 'developer', 'work'), ('in_review', 2, 1, false, false, 'reviewer', 'work'), ('in_testing', 3, 2, false, false, 'tester', 'work,verify_stand'),
+  ('blocked', 4, 1, false, false, null, ''), ('done', 5, 1, false, true, null, ''), ('canceled', 6, 1, false, true, null, '')) as s(status_key, position, since, is_entry, is_terminal, gate, behaviors) on s.since <= v.version
+"""
+
+FLOW_TRANSITION = """
+select version_id, type_key, version, e.current, e.target, e.runner, e.cond_links, e.cond_checklist, e.cond_artifact
+from {flow_version} v join (values ('todo', 'in_progress', 1, 'agent', true, true, false), ('in_progress', 'in_review', 1, 'agent', false, true, true), ('in_progress', 'todo', 1, 'agent', false, true, false), ('in_review', 'in_testing', 2, 'auto_or_agent', true, true, false),
+  ('in_review', 'in_progress', 1, 'agent', true, true, false), ('in_review', 'done', 1, 'auto', true, true, true), ('in_testing', 'done', 2, 'auto_or_agent', false, true, true), ('in_testing', 'blocked', 2, 'human', false, false, false), ('blocked', 'todo', 1, 'auto_or_agent', false, true, false),
+  ('blocked', 'in_progress', 1, 'agent', true, true, false), ('todo', 'canceled', 1, 'human', false, false, false), ('in_progress', 'canceled', 1, 'agent', false, true, false), ('done', 'todo', 1, 'agent', false, false, false), ('in_progress', 'blocked', 1, 'auto', false, true, false))
+  as e(current, target, since, runner, cond_links, cond_checklist, cond_artifact) on e.since <= v.version
+"""
+
 #: Tables under each view, and the views' definitions.
-VIEWS = {"task": (TASK, ("orders", "customer")), "run": (RUN, ("lineitem",)), "relation": (RELATION, ("orders",))}
+VIEWS = {
+    "task": (TASK, ("orders", "customer")), "run": (RUN, ("lineitem",)), "relation": (RELATION, ("orders",)), "project": (PROJECT, ("nation",)), "card": (CARD, ("task", "orders", "customer", "project")), "item": (ITEM, ("lineitem",)),
+    "artifact": (ARTIFACT, ("lineitem",)), "assignment": (ASSIGNMENT, ("supplier",)), "flow_version": (FLOW_VERSION, ("nation",)), "flow_status": (FLOW_STATUS, ("flow_version",)), "flow_transition": (FLOW_TRANSITION, ("flow_version",)),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
