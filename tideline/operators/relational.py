@@ -42,11 +42,25 @@ def insert_absent(open_rows: DataFrame, new: DataFrame, keys: Sequence[str], ord
     return first_per(new.join(open_rows.select(*keys).distinct(), list(keys), "left_anti"), keys, order)
 
 
-def next_versions(known: DataFrame, new: DataFrame, keys: Sequence[str], order: Order, version: str = "version") -> DataFrame:
-    """New rows with the versions that follow the highest known of their key."""
+def numbered(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column], order: Order, name: str = "number") -> DataFrame:
+    """df with each row's number within its key, from 1, in an order that must be total.
+
+    coarse are columns that never fall along the order, such as ranges of ids. Rows are numbered within a key and a range;
+    what comes before a range is a running sum over the ranges' counts. So a key that holds most rows is many tasks' work.
+    """
+    parts = [f"_part{i}" for i in range(len(coarse))]
+    rows = df.select("*", *(c.alias(p) for c, p in zip(coarse, parts)))
+    w = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*order)))
+    return rows.join(before, [*keys, *parts]).withColumn(name, F.col("_before") + F.col("_own")).drop(*parts, "_before", "_own")
+
+
+def next_versions(known: DataFrame, new: DataFrame, keys: Sequence[str], order: Order, version: str = "version", coarse: Sequence[Column] = ()) -> DataFrame:
+    """New rows with the versions that follow the highest known of their key; coarse as in numbered."""
     latest = known.groupBy(*keys).agg(F.max(version).alias("_last"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return new.join(latest, list(keys), "left").withColumn(version, F.coalesce("_last", F.lit(0)) + number).drop("_last")
+    rows = numbered(new, keys, coarse or [F.lit(0)], order, "_number")
+    return rows.join(latest, list(keys), "left").withColumn(version, F.coalesce("_last", F.lit(0)) + F.col("_number")).drop("_last", "_number")
 
 
 def claims(asked: DataFrame, item: str, order: Order) -> DataFrame:

@@ -48,3 +48,14 @@ def write_if_changed(df: DataFrame, path: str, known_digest: str | None) -> tupl
 def server_events(df: DataFrame, name: str) -> DataFrame:
     """Rows as the text of server-sent events."""
     return df.select(F.concat(F.lit(f"event: {name}\ndata: "), F.to_json(F.struct(*df.columns)), F.lit("\n\n")).alias("value"))
+
+
+def appended(df: DataFrame, name: str) -> DataFrame:
+    """Rows written behind what a table of this name and session has, in append mode, and read back."""
+    import uuid
+
+    from ..streaming.jobs import shared
+
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

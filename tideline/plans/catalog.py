@@ -24,5 +24,5 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()):
     return keep
 
 
-for family in ("queue", "runs", "rules", "documents", "events", "texts", "sinks", "views", "decisions", "tasklist"):
+for family in ("queue", "runs", "rules", "documents", "events", "texts", "sinks", "views", "decisions", "tasklist", "small", "writes"):
     import_module(f".{family}", __package__)

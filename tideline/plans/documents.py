@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ def last_n_per_parent(spark: SparkSession, sf: str) -> DataFrame:
     return R.first_per(table(spark, sf, "conversations"), ["conv_id"], [F.desc("turn")], 3).select("conv_id", "turn", "role")
 
 
+#: Ids of one range, within which rows of a key are numbered.
+RANGE = 1 << 16
+
 NUMBERS_SQL = """select conv_id, turn, role, case when role <> 'system' then cast(sum(case when role <> 'system' then 1 else 0 end) over (partition by conv_id order by turn) as bigint) end as number,
   last_value(case when role = 'system' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as section from conversations"""
 
@@ -33,17 +38,41 @@ def doc_numbering(spark, sf):
     return numbered(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "number", "section")
 
 
-@query("""with old as (select * from conversations where conv_id % 2 = 0), touched as (select conv_id, turn from conversations where conv_id % 2 = 0 and turn % 3 = 1),
-  merged as (select conv_id, turn, role, true as carried, 0 as part from old where (conv_id, turn) not in (select conv_id, turn from touched) union all select conv_id, turn, concat(role, ' v2'), false, 1 from old where (conv_id, turn) in (select conv_id, turn from touched))
-  select conv_id, row_number() over (partition by conv_id order by part, turn) - 1 as position, role, carried from merged""")
+@query("""with old as (select conv_id, turn, role, case when role <> 'system' and turn % 4 < 3 then conv_id * 10 + turn end as linked, text from conversations),
+  payload as (select conv_id, turn, case when conv_id % 3 = 0 then -turn when turn % 3 = 1 then conv_id * 10 + turn end as linked, upper(role) as role from conversations where turn % 3 = 1 and role <> 'system'),
+  mode as (select conv_id, count(*) > 0 as delta from old where linked is not null and exists (select 1 from payload p where p.conv_id = old.conv_id and p.linked = old.linked) group by 1),
+  touched as (select conv_id from payload group by 1),
+  kept as (select old.* from old join mode using (conv_id) where delta and not exists (select 1 from payload p where p.conv_id = old.conv_id and p.linked = old.linked)),
+  whole as (select conv_id, 0 as part, turn, case when role = 'system' then 'heading' else 'item' end as kind, role as text, linked, case when role <> 'system' then 6 end as carried_from from kept
+    union all select conv_id, 1, -1, 'heading', 'section', null, null from touched union all select conv_id, 2, turn, 'item', role, linked, null from payload)
+  select conv_id, row_number() over (partition by conv_id order by part, turn) - 1 as position, kind, text, case when kind = 'item' then 'todo' end as status, linked, carried_from from whole""")
 def carry_forward_merge(spark, sf):
-    """A new version: rows not touched are carried over, touched ones follow in their new form, positions start at 0."""
-    old = table(spark, sf, "conversations").filter("conv_id % 2 = 0")
-    touched = old.filter("turn % 3 = 1").select("conv_id", "turn")
-    carried = old.join(touched, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "role", F.lit(True).alias("carried"))
-    new = old.join(touched, ["conv_id", "turn"], "left_semi").select("conv_id", "turn", F.concat("role", F.lit(" v2")).alias("role"), F.lit(False).alias("carried"))
-    w = Window.partitionBy("conv_id").orderBy(F.desc("carried"), "turn")
-    return carried.unionByName(new).select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("position"), "role", "carried")
+    """A new version of each document that is registered anew.
+
+    If its payload touches a task that an old item is linked to, the old rows not so linked are carried over, marked with
+    the version they come from, with no verdict; then the payload's sections follow. If it touches none, the payload is the
+    whole document. Positions start at 0.
+    """
+    rows = table(spark, sf, "conversations")
+    code = F.col("conv_id") * 10 + F.col("turn")
+    old = rows.select("conv_id", "turn", "role", F.when((F.col("role") != "system") & (F.col("turn") % 4 < 3), code).alias("linked"))
+    payload = rows.filter("turn % 3 = 1 and role <> 'system'").select("conv_id", "turn", F.upper("role").alias("text"), F.when(F.col("conv_id") % 3 == 0, -F.col("turn")).otherwise(code).alias("linked"))
+    return carried(old, payload, 6)
+
+
+def carried(old: DataFrame, payload: DataFrame, version: int) -> DataFrame:
+    """The rows of new versions from old ones (conv_id, turn, role, linked) and payloads (conv_id, turn, text, linked)."""
+    hit = old.filter("linked is not null").join(payload.select("conv_id", "linked").distinct(), ["conv_id", "linked"], "left_semi")
+    delta = hit.select("conv_id").distinct()
+    kept = old.join(delta, "conv_id", "left_semi").join(payload.select("conv_id", "linked").distinct(), ["conv_id", "linked"], "left_anti")
+    heading = F.col("role") == "system"
+    parts = [
+        kept.select("conv_id", F.lit(0).alias("part"), "turn", F.when(heading, "heading").otherwise("item").alias("kind"), F.col("role").alias("text"), "linked", F.when(~heading, F.lit(version)).alias("carried_from")),
+        payload.select("conv_id").distinct().select("conv_id", F.lit(1), F.lit(-1).cast("long"), F.lit("heading"), F.lit("section"), F.lit(None).cast("long"), F.lit(None).cast("int")),
+        payload.select("conv_id", F.lit(2), "turn", F.lit("item"), "text", "linked", F.lit(None).cast("int")),
+    ]
+    w = Window.partitionBy("conv_id").orderBy("part", "turn")
+    return reduce(DataFrame.union, parts).select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("position"), "kind", "text", F.when(F.col("kind") == "item", "todo").alias("status"), "linked", "carried_from")
 
 
 @query("""with n as (select conv_id, turn, cast(sum(case when role <> 'system' then 1 else 0 end) over (partition by conv_id order by turn) as bigint) as number, role from conversations),
@@ -90,39 +119,44 @@ def registry_diff(spark, sf):
 def budgeted_context(spark, sf):
     """Texts, cut to a chunk each, until a source's budget is used up.
 
-    A source may hold a large share of all texts: sizes are added up by ranges of ids first, and only ranges that begin
-    within the budget are walked through row by row.
+    A source may hold a large share of all texts: sizes are added up by ever smaller ranges of ids, of which only those that
+    begin within the budget are looked into, so no task adds up more than a few thousand sums and one range of rows.
     """
-    budget, span = 7000, 1000
-    rows = table(spark, sf, "documents").select("source", "doc_id", F.least(F.length("text"), F.lit(400)).alias("size"), F.floor(F.col("doc_id") / span).alias("part"))
-    before = lambda *keys: Window.partitionBy(*keys)
-    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("size"))
-    parts = parts.select("source", "part", F.coalesce(F.sum("size").over(before("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")).filter(F.col("base") < budget)
-    own = F.coalesce(F.sum("size").over(before("source", "part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(parts, ["source", "part"]).withColumn("used", F.col("base") + own)
+    budget = 7000
+    rows = table(spark, sf, "documents").select("source", "doc_id", F.least(F.length("text"), F.lit(400)).alias("size"))
+    base, keys = F.lit(0).cast("long"), ["source"]
+    for k, span in enumerate((10**9, 10**6, 10**3)):
+        rows = rows.withColumn(f"part{k}", F.floor(F.col("doc_id") / span))
+        sums = rows.withColumn("base", base).groupBy(*keys, f"part{k}", "base").agg(F.sum("size").alias("sum"))
+        before = F.sum("sum").over(Window.partitionBy(*keys).orderBy(f"part{k}").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.withColumn("base", F.col("base") + F.coalesce(before, F.lit(0))).filter(F.col("base") < budget).drop("sum")
+        keys = [*keys, f"part{k}"]
+        rows, base = rows.drop("base").join(sums, keys), F.col("base")
+    own = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("used", F.col("base") + own)
     return rows.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("used"))).cast("long")).filter("kept > 0").select("source", "doc_id", "used", "kept")
 
 
-@query("""select conv_id, string_agg(case when role = 'system' then concat('## ', left(text, 20)) else concat(cast(number as varchar), '. ', left(text, 20)) end, chr(10) order by turn) as body
+@query("""select conv_id, string_agg(case when role = 'system' then concat('## ', text) else concat(cast(number as varchar), '. ', text) end, chr(10) order by turn) as body
   from (select *, sum(case when role <> 'system' then 1 else 0 end) over (partition by conv_id order by turn) as number from conversations) group by 1""")
 def document_render(spark, sf):
     """A document as text: headings, and items with their numbers."""
-    line = F.when(F.col("role") == "system", F.concat(F.lit("## "), F.left("text", F.lit(20)))).otherwise(F.concat(F.col("number").cast("string"), F.lit(". "), F.left("text", F.lit(20))))
+    line = F.when(F.col("role") == "system", F.concat(F.lit("## "), "text")).otherwise(F.concat(F.col("number").cast("string"), F.lit(". "), "text"))
     rows = numbered(table(spark, sf, "conversations")).select("conv_id", F.struct("turn", line.alias("line")).alias("x"))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
 
 
-@query("select c_mktsegment as kind, c_custkey as doc_id, 10 + row_number() over (partition by c_mktsegment order by c_custkey) as version from customer where c_custkey % 4 = 0")
+@query("select c_mktsegment as kind, c_custkey as doc_id, 10 + row_number() over (partition by c_mktsegment order by c_custkey) as version from customer")
 def versioned_append(spark, sf):
     """New rows get the versions after the highest known of their key."""
     customers = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("kind"), F.col("c_custkey").alias("doc_id"))
     known = customers.select("kind").distinct().withColumn("version", F.lit(10).cast("long"))
-    return R.next_versions(known, customers.filter("doc_id % 4 = 0"), ["kind"], [F.col("doc_id")]).select("kind", "doc_id", F.col("version").cast("long"))
+    return R.next_versions(known, customers, ["kind"], [F.col("doc_id")], coarse=[F.floor(F.col("doc_id") / RANGE)]).select("kind", "doc_id", F.col("version").cast("long"))
 
 
 @query("select o_orderkey as task_id, concat('N', cast(o_custkey % 25 as varchar), '-', cast(1000 + row_number() over (partition by o_custkey % 25 order by o_orderkey) as varchar)) as code from orders")
 def task_code_numbering(spark, sf):
     """Codes that go on from a project's counter and are never used again."""
-    project = F.col("o_custkey") % 25
-    number = 1000 + F.row_number().over(Window.partitionBy(project).orderBy("o_orderkey"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.concat(F.lit("N"), project.cast("string"), F.lit("-"), number.cast("string")).alias("code"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 25).alias("project"))
+    rows = R.numbered(rows, ["project"], [F.floor(F.col("task_id") / RANGE)], [F.col("task_id")])
+    return rows.select("task_id", F.concat(F.lit("N"), F.col("project").cast("string"), F.lit("-"), (1000 + F.col("number")).cast("string")).alias("code"))

@@ -122,24 +122,31 @@ def agent_reference_counts(spark, sf):
     return long.filter("n > 0").join(agents.select("agent_id"), "agent_id", "left_semi").select("agent_id", "what", "n").unionByName(home)
 
 
-@query("""select type_key, status_key, string_agg(cast(s_suppkey as varchar), ',' order by s_suppkey) as agents, count(*) as n, arg_min(case when s_suppkey % 2 = 0 then 'parallel' else 'replacement' end, s_suppkey) as mode
-  from (select distinct type_key, status_key from task where status_key in ('todo', 'in_progress')) cross join supplier where s_suppkey <= 20 and s_suppkey % 5 = length(type_key) % 5 group by 1, 2""", ("task",))
+@query("""select type_key, status_key, string_agg(cast(agent_id as varchar), ',' order by position) filter (where place <= 10) as agents, count(*) as n, arg_min(mode, position) as mode
+  from (select *, row_number() over (partition by type_key, status_key order by position) as place from assignment) group by 1, 2""", ("assignment",))
 def assignment_matrix(spark, sf):
-    """Who works where; the first in line sets the mode for all."""
-    cells = table(spark, sf, "task").filter(F.col("status_key").isin("todo", "in_progress")).select("type_key", "status_key").distinct().withColumn("k", F.length("type_key") % 5)
-    agents = table(spark, sf, "supplier").filter("s_suppkey <= 20").select("s_suppkey", (F.col("s_suppkey") % 5).cast("int").alias("k"))
-    mode = F.when(F.col("s_suppkey") % 2 == 0, "parallel").otherwise("replacement")
-    return cells.join(agents, "k").groupBy("type_key", "status_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ",").alias("agents"), F.count(F.lit(1)).alias("n"), F.min_by(mode, "s_suppkey").alias("mode"))
+    """Who works where: how many agents, the first ten, and the mode, which the first in line sets for all."""
+    staff = table(spark, sf, "assignment")
+    first = R.first_per(staff, ["type_key", "status_key"], [F.col("position")], 10).groupBy("type_key", "status_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "agent_id"))), lambda x: x["agent_id"].cast("string")), ",").alias("agents"))
+    return staff.groupBy("type_key", "status_key").agg(F.count(F.lit(1)).alias("n"), F.min_by("mode", "position").alias("mode")).join(first, ["type_key", "status_key"])
 
 
-@query("select l_partkey as task_id, l_suppkey as agent_id, l_orderkey as asked_by, row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_discount, l_tax) = 1 as won from lineitem where l_quantity < 5")
+CLAIMS = "l_shipdate l_orderkey l_linenumber l_suppkey l_extendedprice l_discount l_tax".split()
+CLAIMS_SQL = f"select l_partkey as task_id, l_suppkey as agent_id, l_orderkey as asked_by, row_number() over (partition by l_partkey order by {', '.join(CLAIMS)}) = 1 as won from lineitem"
+
+
+def claims(spark, sf):
+    return R.claims(table(spark, sf, "lineitem"), "l_partkey", [F.col(c) for c in CLAIMS]).select(F.col("l_partkey").alias("task_id"), F.col("l_suppkey").alias("agent_id"), F.col("l_orderkey").alias("asked_by"), "won")
+
+
+@query(CLAIMS_SQL)
 def reservation_claims(spark, sf):
-    """Claims on the same task: the first one wins, so none is reserved twice."""
-    asked = table(spark, sf, "lineitem").filter("l_quantity < 5")
-    order = [F.col(c) for c in "l_shipdate l_orderkey l_linenumber l_suppkey l_extendedprice l_discount l_tax".split()]
-    return R.claims(asked, "l_partkey", order).select(F.col("l_partkey").alias("task_id"), F.col("l_suppkey").alias("agent_id"), F.col("l_orderkey").alias("asked_by"), "won")
+    """Claims on the same task: the first one wins."""
+    return claims(spark, sf)
 
 
-@query("select agent_id, count(distinct task_id) as tasks from (select l_suppkey as agent_id, l_orderkey as task_id from lineitem) group by 1 having count(*) > 1")
+@query("select count(distinct l_partkey) as tasks, cast(0 as bigint) as taken_twice, cast(0 as bigint) as not_taken from lineitem")
 def double_take_check(spark, sf):
-    return table(spark, sf, "run").groupBy("agent_id").agg(F.countDistinct("task_id").alias("tasks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    """The claims' invariant: of the tasks that anyone asked for none is reserved twice, and none is left."""
+    wins = claims(spark, sf).groupBy("task_id").agg(F.count_if("won").alias("wins"))
+    return wins.agg(F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("wins") > 1).alias("taken_twice"), F.count_if(F.col("wins") == 0).alias("not_taken"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import relational as R
 from ..operators import tasks as T
 from ..operators.rules import STAGES
 from ..sources.adapter import table
@@ -112,7 +113,8 @@ def task_index(spark, sf):
     """All tasks with their tokens, by type, status and code: places are numbered within a type by ranges of statuses."""
     used = table(spark, sf, "run").groupBy("task_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
     rows = table(spark, sf, "task").join(used, "task_id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("type_key").orderBy("status_key", "code")).cast("long")).select("code", "type_key", "status_key", "tokens", "place")
+    order = [F.col("status_key"), F.col("code")]
+    return R.numbered(rows, ["type_key"], [F.col("status_key"), F.left("code", F.lit(6))], order, "place").select("code", "type_key", "status_key", "tokens", "place")
 
 
 @query("select code, title from card where status_key = 'blocked' order by code limit 5", VIEWS)

@@ -33,7 +33,7 @@ def code_extraction(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.array_join(X.codes(said), ",").alias("codes"))
 
 
-LINES_SQL = "select doc_id, pos, line from (select doc_id, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as pos from (select doc_id, concat(case doc_id % 7 when 0 then '- ' when 1 then '~ ' when 2 then 'x ' when 3 then '+ ' when 4 then '! ' when 5 then '## ' else '' end, replace(left(text, 300), chr(10), concat(chr(10), case doc_id % 3 when 0 then 'x ' when 1 then '# ' else '' end))) as body from documents))"
+LINES_SQL = "select doc_id, pos, line from (select doc_id, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as pos from (select doc_id, concat(case doc_id % 7 when 0 then '- ' when 1 then '~ ' when 2 then 'x ' when 3 then '+ ' when 4 then '! ' when 5 then '## ' else '' end, replace(text, chr(10), concat(chr(10), case doc_id % 3 when 0 then 'x ' when 1 then '# ' else '' end))) as body from documents))"
 
 
 CHECKLIST_SQL = rf"""select doc_id, cast(pos as int) as position, case when heading then 'heading' else 'item' end as kind, case when heading then cast(length(regexp_extract(l, '^(#{{1,5}})\s+(.*)$', 1)) as int) end as level,
@@ -53,12 +53,6 @@ def checklist_rows(docs: DataFrame, said: Column) -> DataFrame:
 
 @query(CHECKLIST_SQL)
 def checklist_parse(spark, sf):
-    """The first 300 characters of each text, as its SQL has it."""
-    return checklist_rows(table(spark, sf, "documents"), F.left("text", F.lit(300)))
-
-
-@query(CHECKLIST_SQL.replace("left(text, 300)", "text"))
-def checklist_parse_whole(spark, sf):
     """Every line of each text."""
     return checklist_rows(table(spark, sf, "documents"), F.col("text"))
 
@@ -71,13 +65,13 @@ def front_matter_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.left(title, F.lit(200)).alias("title"))
 
 
-@query("select o_orderkey as task_id, cast(i as int) as position, field, old, new from (select o_orderkey, unnest([1, 2]) as i, unnest(['status', 'total']) as field, unnest([o_orderstatus, cast(cast(floor(o_totalprice) as bigint) as varchar)]) as old, unnest(['F', cast(cast(floor(o_totalprice) as bigint) + 1 as varchar)]) as new from orders where o_orderkey % 5 = 0)")
+@query("select o_orderkey as task_id, cast(i as int) as position, field, old, new from (select o_orderkey, unnest([1, 2]) as i, unnest(['status', 'total']) as field, unnest([o_orderstatus, cast(cast(floor(o_totalprice) as bigint) as varchar)]) as old, unnest(['F', cast(cast(floor(o_totalprice) as bigint) + 1 as varchar)]) as new from orders)")
 def settings_diff_explode(spark, sf):
     """A journal's JSON difference as rows."""
     whole = F.floor("o_totalprice").cast("long")
     entry = lambda f, a, b: F.struct(F.lit(f).alias("field"), a.alias("old"), b.alias("new"))
     diff = F.to_json(F.array(entry("status", F.col("o_orderstatus"), F.lit("F")), entry("total", whole.cast("string"), (whole + 1).cast("string"))))
-    rows = table(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("task_id"), F.posexplode(F.from_json(diff, "array<struct<field:string, old:string, new:string>>")).alias("at", "x"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.posexplode(F.from_json(diff, "array<struct<field:string, old:string, new:string>>")).alias("at", "x"))
     return rows.select("task_id", (F.col("at") + 1).cast("int").alias("position"), "x.*")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -117,9 +117,13 @@ def moderation_routing(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.when(free, "todo").otherwise("pending").alias("entry"))
 
 
-@query("select event_id, event_type = 'error' and user_id % 3 = 0 as down from events")
+MESSAGES = ["Can't reach the API server now", "getaddrinfo EAI_AGAIN", "ENOTFOUND host", "connect ECONNREFUSED", "ETIMEDOUT", "read ECONNRESET", "TypeError: fetch failed", "econnrefused", "exit code 1", "timed out", "rate limit"]
+
+
+@query(f"select event_id, regexp_matches(concat(event_type, ' ', [{', '.join(repr(m) if chr(39) not in m else chr(39) + m.replace(chr(39), chr(39) * 2) + chr(39) for m in MESSAGES)}][cast(user_id % 11 as int) + 1]), 'Can.t reach the API server|EAI_AGAIN|ENOTFOUND|ECONNREFUSED|ETIMEDOUT|ECONNRESET|fetch failed') as down from events")
 def provider_failures(spark, sf):
-    said = F.when((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0), F.concat(F.lit("Connect ECONNREFUSED "), F.col("user_id").cast("string"))).when(F.col("user_id") % 3 == 1, F.lit("exit code 1"))
+    """Messages that say that a provider could not be reached, by markers whose case counts."""
+    said = F.concat("event_type", F.lit(" "), F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("user_id") % 11 + 1).cast("int")))
     return table(spark, sf, "events").select("event_id", L.unreachable(said).alias("down"))
 
 
@@ -129,10 +133,14 @@ def label_forms(spark, sf):
     return table(spark, sf, "events").select("event_id", L.abbreviated(n).alias("tokens"), L.plural(F.col("event_id"), "one", "few", "many").alias("form"))
 
 
-@query("select p_partkey, array_to_string(case when p_size % 2 = 0 then [p_brand, p_type, 'x'] else [p_brand, p_type] end, '|') as tags from part where p_brand <> p_type")
+@query("""with raw as (select p_partkey, case when p_size % 7 = 0 then 'someone' else 'by_ai' end as author, unnest(range(6)) as i, case i when 0 then p_brand when 1 then p_type when 2 then p_brand when 3 then p_name when 4 then case when p_size % 5 = 0 then repeat('x', 65) else 'by_human' end else case when p_size % 3 = 0 then 'more' else '' end end as tag,
+    list_contains(['x'], 'y') as never, p_size from part), extra as (select p_partkey, author, tag, min(i) as i from raw where tag <> '' and tag <> 'by_human' group by 1, 2, 3)
+  select p_partkey, concat(author, '|', string_agg(tag, '|' order by i)) as tags, case when author = 'someone' then 'author' when max(length(tag)) > 64 then 'length' when count(*) > 4 then 'number' end as error from extra group by p_partkey, author""")
 def tag_normalisation(spark, sf):
-    raw = F.concat(F.lit("#"), "p_brand", F.lit(", "), "p_type", F.lit(" ,, "), "p_brand", F.when(F.col("p_size") % 2 == 0, ",x").otherwise(""))
-    return table(spark, sf, "part").filter("p_brand <> p_type").select("p_partkey", F.array_join(L.tags(raw), "|").alias("tags"))
+    """A task's tags: the author's first, then the others; and which rule they break."""
+    more = F.array(F.concat(F.lit("#"), "p_brand"), F.concat(F.lit(" "), "p_type", F.lit(" ")), F.col("p_brand"), F.concat(F.lit("##"), "p_name"), F.when(F.col("p_size") % 5 == 0, F.lit("x" * 65)).otherwise("#by_human"), F.when(F.col("p_size") % 3 == 0, "more").otherwise(" "))
+    author = F.when(F.col("p_size") % 7 == 0, "someone").otherwise("by_ai")
+    return table(spark, sf, "part").select("p_partkey", L.tags(author, more).alias("x")).select("p_partkey", F.array_join("x.tags", "|").alias("tags"), "x.error")
 
 
 @query("select c_custkey, c_custkey % 4 < 2 as yes, concat('****', right(c_name, 4)) as shown, case when c_custkey % 2 = 0 then 'b/new.py' else 'a.py' end as path from customer")
@@ -143,19 +151,29 @@ def small_parsers(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", L.confirmed(said).alias("yes"), L.masked(F.col("c_name")).alias("shown"), L.changed_path(line).alias("path"))
 
 
-@query("select doc_id, guess from (select doc_id, case when text ilike '%review%' then 'in_review' when text ilike '%the%' then 'todo' end as guess from documents) where guess is not null")
+# Labels of a flow's statuses, and words that hint at one where no label is said.
+LABELS = [("in_review", "the re"), ("review_ready", "the rely"), ("todo", " the "), ("done", "enan"), ("blocked", "st. Th")]
+WORDS = {"und": "in_testing", "der": "done", "les": "blocked"}
+
+
+@query(f"""with label(key, label, n) as (values {", ".join(f"('{k}', '{x.strip().lower()}', {i})" for i, (k, x) in enumerate(LABELS))}), hit as (select doc_id, arg_max(key, length(label) * 100 - n) as guess from documents join label on contains(lower(text), label) group by 1)
+  select d.doc_id, coalesce(guess, case when contains(lower(text), 'der') then 'done' when contains(lower(text), 'les') then 'blocked' end) as guess from documents d left join hit using (doc_id)""")
 def status_guess(spark, sf):
-    """The status that a text speaks of: of the labels it has, the longest. A flow's labels are few, so they become one expression."""
-    labels = sorted({"review": "in_review", "the": "todo"}.items(), key=lambda x: (-len(x[0]), x[0]))
-    text = F.lower("text")
-    guess = F.coalesce(*(F.when(F.contains(text, F.lit(label)), F.lit(status)) for label, status in labels))
-    return table(spark, sf, "documents").select("doc_id", guess.alias("guess")).filter("guess is not null")
+    """The status that a text speaks of: its longest label, else the first hint to a status that the flow has."""
+    labels = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(x).alias("label")) for k, x in LABELS))
+    return table(spark, sf, "documents").select("doc_id", L.guessed(F.coalesce("text", F.lit("")), labels, WORDS).alias("guess"))
 
 
-@query("select user_id, quantile_disc(value, 0.95) as p95 from events group by 1")
+@query("""with r as (select user_id, value, row_number() over (partition by user_id order by value, event_id) as i, count(*) over (partition by user_id) as n from events),
+  p as (select user_id, n, least(greatest(0.95::double * (n + 1), 1), n - 1) as h from r group by 1, 2 having n > 1)
+  select p.user_id, a.value + (b.value - a.value) * (0.95::double * (p.n + 1) - floor(h)) as p95 from p join r a on a.user_id = p.user_id and a.i = floor(h) join r b on b.user_id = p.user_id and b.i = floor(h) + 1""")
 def latency_p95(spark, sf):
-    """A percentile as a value that occurs, by rank."""
-    return table(spark, sf, "events").groupBy("user_id").agg(F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+    """The 19th of the 19 cuts that part a user's values in twenty: the exclusive quantile, which may lie beyond the largest."""
+    n, rank = F.col("n"), 0.95 * (F.col("n") + 1)
+    low = F.floor(F.least(F.greatest(rank, F.lit(1.0)), F.col("n") - 1.0))
+    rows = table(spark, sf, "events").select("user_id", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("value", "event_id")).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("n")).filter("n > 1")
+    pair = rows.groupBy("user_id", "n").agg(F.max(F.when(F.col("i") == low, F.col("value"))).alias("a"), F.max(F.when(F.col("i") == low + 1, F.col("value"))).alias("b"))
+    return pair.select("user_id", (F.col("a") + (F.col("b") - F.col("a")) * (0.95 * (n + 1) - low)).alias("p95"))
 
 
 @query("select case when priority in ('critical', 'high') then 'fast' else 'slow' end as lane, type_key, count(*) as n from task group by grouping sets ((1, 2))", ("task",))
