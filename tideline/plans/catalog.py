@@ -16,6 +16,8 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()):
     """Registers a function (spark, sf_dir) -> DataFrame by its name, with its SQL over tables and workflow views."""
 
     def keep(f: Callable) -> Callable:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = f"{sql_views(*views)}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().lstrip('+')}" if views else sql
@@ -24,5 +26,5 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()):
     return keep
 
 
-for family in ("queue", "runs", "rules", "documents", "events", "texts", "sinks", "views", "decisions", "tasklist", "small", "writes"):
+for family in ("queue", "runs", "rules", "documents", "events", "texts", "sinks", "views", "decisions", "tasklist", "small", "writes", "drafts"):
     import_module(f".{family}", __package__)

@@ -62,3 +62,23 @@ def windowed_counts_stream(spark, sf):
 def circuit_stream(spark, sf):
     """Failures in a row as state of a stream, by event number."""
     return jobs.failures_in_a_row(spark, sf)
+
+
+@query("select event_id, ts, case when event_type in ('signup', 'purchase') then 'run' when event_type in ('view', 'click') then 'log' else 'chronicle' end as channel from events where user_id = 8")
+def live_channel_stream(spark, sf):
+    """One task's runs, log lines and chronicle as they come."""
+    return jobs.live_channel(spark, sf, 8)
+
+
+@query("select user_id, max(ts) as last_seen, max(ts) < (select max(ts) from events) - interval 300 second as lost from events group by 1")
+def heartbeat_stream(spark, sf):
+    """Who has not been heard of for longer than is allowed."""
+    return jobs.beats(spark, sf)
+
+
+@query("""with i as (select *, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by event_id) as island from events where event_type in ('error', 'purchase', 'signup')), r as (select user_id, island, count(*) filter (where event_type <> 'purchase') as n from i group by 1, 2),
+  f as (select user_id, max(ts) as last from events where event_type in ('error', 'signup') group by 1)
+  select r.user_id, n as failures, coalesce(n >= 3 and last + interval 10 minute > timestamp '2024-01-28', n >= 3 and null) as paused from r left join f using (user_id) qualify row_number() over (partition by r.user_id order by island desc) = 1""")
+def circuit_pauses_stream(spark, sf):
+    """Open circuits; a pause has an end."""
+    return jobs.pauses(spark, sf, "2024-01-28")

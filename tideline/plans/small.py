@@ -123,7 +123,7 @@ def latest_requests(spark, sf):
 
 @query("""select doc_id, 'strict' as parsed, ['success', 'failed', 'blocked'][cast(doc_id % 3 as int) + 1] as status, coalesce(text, '') as summary, case when doc_id % 2 = 0 then lang end as target, case when doc_id % 2 = 0 then source end as reason,
   case when doc_id % 4 < 3 then concat('developer#', n_chars, '#done') else '' end as updates, case when doc_id % 5 = 0 then concat('A-', doc_id, ':blocked_by') else '' end as relations, concat('why ', lang) as questions, coalesce(text, '') as artifact_md, source as comments from documents where trim(source) <> ''""")
-def report_fields(spark, sf):
+def report_text_fields(spark, sf):
     """The fields of a report that stands behind a whole text of prose and has the text in it: what was written is read."""
     some = lambda which, value: F.expr(f"if({which}, {value}, null)")
     raw = F.to_json(

@@ -70,6 +70,32 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return drained(sums.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total"), "update", "hourly", ["hour", "event_type"])
 
 
+def live_channel(spark: SparkSession, sf: str, user: int) -> DataFrame:
+    """Three logs of one task as one stream: runs, their log lines, and the chronicle, each event once; the state holds its event numbers."""
+    kinds = {"run": "event_type in ('signup', 'purchase')", "log": "event_type in ('view', 'click')", "chronicle": "event_type = 'error'"}
+    parts = [source(spark, sf).filter(F.col("user_id") == user).filter(which).select("event_id", "ts", F.lit(kind).alias("channel")) for kind, which in kinds.items()]
+    return drained(parts[0].unionByName(parts[1]).unionByName(parts[2]).dropDuplicates(["event_id"]), "append", "live")
+
+
+def beats(spark: SparkSession, sf: str, patience: str = "300 seconds") -> DataFrame:
+    """Users that were last heard of so long before the newest event of all that they count as lost; state by user."""
+    rows = source(spark, sf).groupBy("user_id").agg(F.max("ts").alias("last_seen"))
+    seen = drained(rows, "update", "beats", ["user_id"])
+    newest = seen.agg(F.max("last_seen").alias("newest"))
+    return seen.crossJoin(F.broadcast(newest)).select("user_id", "last_seen", (F.col("last_seen") < F.col("newest") - F.expr(f"interval {patience}")).alias("lost"))
+
+
+def pauses(spark: SparkSession, sf: str, as_of: str, most: int = 3) -> DataFrame:
+    """Circuits that are open: failures in a row since the last success, and whether the last of them is within ten minutes.
+
+    The pause ends by being read after that, not by a timer. The state by user is that of failures_in_a_row.
+    """
+    counts = failures_in_a_row(spark, sf)
+    last = drained(source(spark, sf).filter("event_type in ('error', 'signup')").groupBy("user_id").agg(F.max("ts").alias("last_failure")), "update", "pauses", ["user_id"])
+    open_until = F.col("last_failure") + F.expr("interval 10 minutes")
+    return counts.join(last, "user_id", "left").select("user_id", "failures", ((F.col("failures") >= most) & (open_until > F.lit(as_of).cast("timestamp_ntz"))).alias("paused"))
+
+
 def failures_in_a_row(spark: SparkSession, sf: str) -> DataFrame:
     """Failures since the last success by event number, in whatever order events come; null numbers count as last.
 
