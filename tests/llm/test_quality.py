@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from tideline.llm import quality
 
@@ -43,3 +44,61 @@ def test_odd_rows(spark):
         assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
         assert len({r.score for r in got if r.doc_id == 1}) == 1 and len({r.score for r in got if r.doc_id in (2, 3)}) == 1
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def plain_features(text):
+    """The features in loops over characters and words."""
+    words = text.split()
+    if not words:
+        return [0.0] * 16
+    raw, n = text.encode(), len(words)
+    lines = text.split("\n")
+    count = lambda chars: sum(c in chars for c in text)
+    low = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in words]
+    pairs = {(a, b) for a, b in zip(low, low[1:])}
+    return [
+        np.log(len(raw)), np.log(n), len(raw) / n, np.log(max(len(w.encode()) for w in words)), sum("A" <= c <= "Z" for c in text) / len(raw), count("0123456789") / len(raw), count("#$%&*@^~<>{}[]\\=+_") / n, count("!") / n,
+        count(".") / n, count("|") / n, len(set(low)) / n**0.75, len(set(lines)) / len(lines), np.log(n / len(lines)), 1 - len(text) / len(raw), sum(w.encode() in quality.FUNCTION_WORDS for w in low) / n, len(pairs) / max(1, n - 1),
+    ]
+
+
+def test_features_in_plain_code():
+    texts = ["", " \n", "One", "The cat. The CAT!\nThe cat | 42", "é È ü the und", "a" * 300, "x y " * 50 + "\n" * 3 + "#$ 1"]
+    texts += [r for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if r and not any(c in r for c in "\x1c\x1d\x1e\x1f\x85\xa0\u2028\u3000")][:60]
+    for t in texts:
+        assert quality.features(t.encode()) == pytest.approx(plain_features(t), rel=1e-12, abs=1e-12), t[:50]
+
+
+def plain_tree(rows, depth):
+    """Steps of a tree by bin, from rows (bin, gradient, curvature): the cut of most gain, tried one by one."""
+    bins = sorted({b for b, _, _ in rows})
+    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    best, cut = 1e-9, None
+    for at in range(1, max(bins) + 1) if depth and bins else ():
+        left, right = [r for r in rows if r[0] < at], [r for r in rows if r[0] >= at]
+        hl, hr = sum(r[2] for r in left), sum(r[2] for r in right)
+        if hl >= 2 and hr >= 2:
+            gain = sum(r[1] for r in left) ** 2 / (hl + 1) + sum(r[1] for r in right) ** 2 / (hr + 1) - g * g / (h + 1)
+            if gain > best + 1e-12:
+                best, cut = gain, at
+    if cut is None:
+        return lambda b: g / (h + 1)
+    low, high = plain_tree([r for r in rows if r[0] < cut], depth - 1), plain_tree([r for r in rows if r[0] >= cut], depth - 1)
+    return lambda b: low(b) if b < cut else high(b)
+
+
+def test_boosting_rounds_in_plain_code():
+    """Two cyclic rounds over three features, row by row: the same tables' sums as the vectorised fit."""
+    rnd = np.random.default_rng(1)
+    x = rnd.integers(0, 6, (150, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (rnd.random(150) < 0.2)).astype(float)
+    model = quality.fit(x, y, rounds=2, bins=16, pairs=0, pair_rounds=0)
+    p = (y.sum() + 1) / (len(y) + 2)
+    total = [float(np.log(p / (1 - p)))] * len(y)
+    for _ in range(2):
+        for k in range(3):
+            at = [sum(v >= e for e in model.edges[k]) for v in x[:, k]]
+            q = [1 / (1 + np.exp(-t)) for t in total]
+            step = plain_tree([(b, t - v, v * (1 - v)) for b, t, v in zip(at, y, q)], 2)
+            total = [t + 0.1 * step(b) for t, b in zip(total, at)]
+    assert model.score(x) == pytest.approx([1 / (1 + np.exp(-t)) for t in total], abs=1e-9)

@@ -37,7 +37,59 @@ def brute_components(items):
 def test_thresholds_keep_the_pigeonhole_sum():
     assert simhash.thresholds([[0, 5, 50, 500], [0, 1, 2, 900], [0, 9, 90, 900]], 2) == [0, 1, -1]
     assert sum(t + 1 for t in simhash.thresholds([[0, 1, 5, 9]] * 3, 2)) == 3
-    assert simhash.candidates(10, np.full(64, 0.5), [0], 2)[:2] == [0.0, 25.0]
+    assert simhash.candidates(10, np.full(64, 0.5), [0], 1, 0.0) == [0.0, 25.0, 50.0]
+    assert simhash.candidates(10, np.full(64, 0.5), [0, 1, 2], 1, 7.0) == [0.0, 50 / 8 + 70, 25.0 + 210]
+
+
+def independent(n, p):
+    both = np.outer(p, p) * n
+    np.fill_diagonal(both, p * n)
+    return both
+
+
+def test_the_plan_grows_with_the_nodes():
+    """Few nodes: three partitions probed exactly. Very many: fewer candidates are worth more probes."""
+    p = np.full(64, 0.5)
+    plans = {n: simhash.plan(n, independent(n, p), 2) for n in (10**4, 10**7, 10**10, 10**16)}
+    assert plans[10**4][1] == [0, 0, 0] and sorted(plans[10**10][1]) == [0, 1] and plans[10**16][1] == [2]
+    for cut, limits in plans.values():
+        assert sum(t + 1 for t in limits) == 3 and sorted(b for part in cut for b in part) == list(range(64))
+
+
+def test_lopsided_bits_make_larger_groups():
+    p = np.array([0.5] * 32 + [0.02] * 32)
+    cut, limits = simhash.plan(10**6, independent(10**6, p), 2)
+    sizes = sorted(map(len, cut))
+    assert sizes[-1] > sizes[0] + 4 and sum(t + 1 for t in limits) == 3
+    # correlated bits come together: the second half copies the first
+    both = np.zeros((64, 64))
+    for i in range(64):
+        for j in range(64):
+            both[i, j] = 0.5 if i % 32 == j % 32 else 0.25
+    cut = simhash.partitions(100, both * 100, 2)
+    assert sum(b + 32 in part for part in cut for b in part if b < 32) >= 30
+
+
+def test_every_plan_finds_all_links(spark):
+    """The same links whatever probes cost, so with one, two and three partitions."""
+    rnd = random.Random(8)
+    prints = {rnd.getrandbits(64) for _ in range(150)}
+    for x in list(prints):
+        for k in (1, 2, 3):
+            y = x
+            for b in rnd.sample(range(64), k):
+                y ^= 1 << b
+            prints.add(y)
+    signed = [p - (1 << 64) if p >> 63 else p for p in sorted(prints)]
+    want = {d: c for d, _, c in brute_components([(v, p) for v, p in zip(signed, sorted(prints))])}
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    seen = set()
+    for probe in (1e6, 1e-4, 0.0):
+        n, together = simhash.bit_counts(nodes)
+        seen.add(len(simhash.plan(n, together, 2, probe)[0]))
+        root = {r.a: r.b for r in simhash.components(simhash.links(nodes, probe=probe)).collect()}
+        assert {v: root.get(v, v) for v in signed} == want
+    assert len(seen) >= 2
 
 
 def test_rows_against_brute_force(spark):

@@ -2,13 +2,16 @@
 
 1. A kernel makes a 64-bit fingerprint of each whole text. Only (id, fingerprint) goes on; it is written to the shared
    folder. Equal fingerprints are one node from here on, so a group of copies is one row however large.
-2. Two counts over all nodes (how often a bit is set, and two bits together) group correlated bits into partitions. A
-   dynamic programme gives each partition a threshold (-1: not probed) so that thresholds plus one add up to the radius
-   plus one, at the least estimated number of candidates. By the generalised pigeonhole principle any two nodes within
-   the radius are then within its threshold in some probed partition.
+2. Two counts over all nodes (how often a bit is set, and two bits together) group correlated bits into partitions that
+   tell nodes apart equally well: a group of lopsided bits gets more of them. For each number of partitions up to the
+   radius plus one a dynamic programme gives each partition a threshold (-1: not probed) so that thresholds plus one add
+   up to the radius plus one, at the least estimated cost in probes and candidate pairs; the cheapest plan of all is
+   taken. Few nodes get three partitions probed exactly; of very many, two with unequal thresholds are cheaper. By the
+   generalised pigeonhole principle any two nodes within the radius are within its threshold in some probed partition.
 3. A key is a mask of fixed bits and their values. Keys with more than GROUP nodes are split again: of the bits that
-   are free, cut into radius + 1 parts, two nodes within the radius agree in one. That ends at keys whose free bits
-   allow no more than GROUP nodes, so no key is dropped or capped, and no task holds more than GROUP nodes of a key.
+   are free, grouped in the same way into radius + 1 parts, two nodes within the radius agree in one. That ends at keys
+   whose free bits allow no more than GROUP nodes, so no key is dropped or capped, and no task holds more than GROUP
+   nodes of a key.
 4. Sorted keys stream through a kernel that verifies pairs by popcount and returns a spanning star, not pairs.
 5. Stars are merged by alternating large-star and small-star rounds on tables in the shared folder.
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ BITS = 64
 SEED = 42
 #: Keys shared by more nodes than this are split, never cut off.
 GROUP = 1024
+#: What it costs to probe a node by one more mask (a row that is shuffled), in candidate pairs (a comparison in a batch).
+PROBE = 50.0
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -88,28 +94,38 @@ def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
     return got.get(BITS * BITS, 0), np.array([got.get(k, 0) for k in range(BITS * BITS)], float).reshape(BITS, BITS)
 
 
-def partitions(n: int, together: np.ndarray, parts: int) -> list[list[int]]:
-    """Bits in groups of about equal size; each group takes the free bit most correlated with those it has."""
+def partitions(n: int, together: np.ndarray, parts: int, bits: list[int] | None = None) -> list[list[int]]:
+    """Bits (all, or those given) in groups that tell nodes apart about equally well.
+
+    A group begins with the free bit that is most correlated with the others and takes the free bit most correlated with
+    those it has, until it has its share of the information: a bit has -log2 of the chance that two nodes agree in it.
+    """
     p = np.diag(together) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = np.abs(together / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
-    free, out = list(range(BITS)), []
+    tells = np.maximum(-np.log2(p * p + (1 - p) ** 2), 1e-6)
+    free, out = list(range(BITS)) if bits is None else list(bits), []
     for k in range(parts):
-        size = len(free) // (parts - k)
-        own = [free.pop(int(np.argmax([corr[b, free].sum() for b in free])))]
-        while len(own) < size:
-            own.append(free.pop(int(np.argmax(corr[np.ix_(free, own)].sum(1)))))
+        share = tells[free].sum() / (parts - k)
+        own: list[int] = []
+        while free and len(free) > parts - k - 1 and (k == parts - 1 or not own or tells[own].sum() + tells[free].min() / 2 <= share):
+            weight = corr[np.ix_(free, own)].sum(1) if own else corr[np.ix_(free, free)].sum(1)
+            own.append(free.pop(int(np.argmax(weight))))
         out.append(sorted(own))
     return out
 
 
-def candidates(n: int, p: np.ndarray, bits: list[int], most: int) -> list[float]:
-    """Estimated pairs within distance t in these bits for t = -1 (none probed) to most, each bit taken by itself."""
+def candidates(n: int, p: np.ndarray, bits: list[int], most: int, probe: float = PROBE) -> list[float]:
+    """Estimated cost of finding the pairs within distance t in these bits for t = -1 (none probed) to most.
+
+    Pairs are those expected if each bit is taken by itself; each node is probed by a mask for every choice of t bits.
+    """
     differ = np.array([1.0])
     for b in bits:
         q = 2 * p[b] * (1 - p[b])
         differ = np.convolve(differ, [1 - q, q])
-    return [0.0, *(np.cumsum(differ)[: most + 1] * n * n / 2).tolist()]
+    pairs = np.cumsum(differ)[: most + 1] * n * n / 2
+    return [0.0, *(float(x) + probe * n * comb(len(bits), t) for t, x in enumerate(pairs))]
 
 
 def thresholds(costs: list[list[float]], radius: int) -> list[int]:
@@ -120,6 +136,18 @@ def thresholds(costs: list[list[float]], radius: int) -> list[int]:
     return list(best[radius + 1][1])
 
 
+def plan(n: int, together: np.ndarray, radius: int, probe: float = PROBE) -> tuple[list[list[int]], list[int]]:
+    """The partitions and their thresholds that cost least, over all numbers of partitions up to radius + 1."""
+    p, best = np.diag(together) / max(n, 1), (float("inf"), [], [])
+    for parts in range(1, radius + 2):
+        cut = partitions(n, together, parts)
+        costs = [candidates(n, p, bits, min(radius, len(bits)), probe) for bits in cut]
+        limits = thresholds(costs, radius)
+        if limits and (cost := sum(c[t + 1] for c, t in zip(costs, limits))) < best[0]:
+            best = cost, cut, limits
+    return best[1], best[2]
+
+
 def _mask(bits) -> int:
     """The bits as a signed long."""
     value = sum(1 << b for b in bits)
@@ -131,10 +159,11 @@ def probe_masks(parts: list[list[int]], limits: list[int]) -> list[int]:
     return [_mask(set(bits) - set(out)) for bits, t in zip(parts, limits, strict=True) if t >= 0 for out in combinations(bits, t)]
 
 
-def _finer(fixed: int, radius: int) -> list[int]:
-    """The masks that split a key: its fixed bits and one of radius + 1 parts of the others."""
+def _finer(fixed: int, radius: int, n: int, together: np.ndarray) -> list[int]:
+    """The masks that split a key: its fixed bits and one of radius + 1 groups of the others."""
+    held = [b for b in range(BITS) if fixed >> b & 1]
     free = [b for b in range(BITS) if not fixed >> b & 1]
-    return [_mask([b for b in range(BITS) if fixed >> b & 1] + free[k :: radius + 1]) for k in range(radius + 1)]
+    return [_mask(held + part) for part in partitions(n, together, radius + 1, free)]
 
 
 def star(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -189,14 +218,12 @@ def _stars(radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = 2, parts: int = 3, group: int = GROUP) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 2, group: int = GROUP, probe: float = PROBE) -> DataFrame:
     """Links (a > b) that span, with transitivity, all pairs of nodes (distinct fp) within the radius."""
     spark = nodes.sparkSession
     runtime.python_path(spark)
     n, together = bit_counts(nodes)
-    cut = partitions(n, together, parts)
-    limits = thresholds([candidates(n, np.diag(together) / max(n, 1), bits, radius) for bits in cut], radius)
-    masks = probe_masks(cut, limits)
+    masks = probe_masks(*plan(n, together, radius, probe))
     keys = nodes.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("fixed")).select("fixed", F.col("fixed").bitwiseAND(F.col("fp")).alias("value"), "fp")
     settled = None
     while True:
@@ -207,7 +234,7 @@ def links(nodes: DataFrame, radius: int = 2, parts: int = 3, group: int = GROUP)
             break
         quiet = keys.join(crowded, ["fixed", "value"], "left_anti")
         settled = quiet if settled is None else settled.unionByName(quiet)
-        table = spark.createDataFrame([(m, f) for m in fixed for f in _finer(m & (1 << 64) - 1, radius)], "fixed long, next long")
+        table = spark.createDataFrame([(m, f) for m in fixed for f in _finer(m & (1 << 64) - 1, radius, n, together)], "fixed long, next long")
         keys = keys.join(crowded, ["fixed", "value"]).join(F.broadcast(table), "fixed").select(F.col("next").alias("fixed"), F.col("next").bitwiseAND(F.col("fp")).alias("value"), "fp").distinct()
         keys = runtime.written(keys, "simhash-keys")
     settled = keys if settled is None else settled.unionByName(keys)
@@ -239,25 +266,25 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _groups(df: DataFrame, id_col: str, text_col: str, width: int, radius: int, parts: int, group: int) -> tuple[DataFrame, DataFrame]:
+def _groups(df: DataFrame, id_col: str, text_col: str, width: int, radius: int, group: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, fp), written; and nodes (fp, least id, root: the group's smallest fp)."""
     rows = runtime.written(fingerprints(df, id_col, text_col, width), "simhash-rows")
     nodes = runtime.written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    root = components(links(nodes, radius, parts, group)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    root = components(links(nodes, radius, group)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     return rows, nodes.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, parts: int = 3, group: int = GROUP) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, group: int = GROUP) -> DataFrame:
     """Per row: the id column, fingerprint (16 hexadecimal digits), component_id (the group's smallest id)."""
-    rows, nodes = _groups(df, id_col, text_col, width, radius, parts, group)
+    rows, nodes = _groups(df, id_col, text_col, width, radius, group)
     group_id = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = nodes.join(group_id, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id").toDF(id_col, "fingerprint", "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, parts: int = 3, group: int = GROUP) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, group: int = GROUP) -> DataFrame:
     """df with one row of each group: the one with the smallest id (null last), then fingerprint, then row."""
-    rows, nodes = _groups(df, id_col, text_col, width, radius, parts, group)
+    rows, nodes = _groups(df, id_col, text_col, width, radius, group)
     return first_rows(df, id_col, text_col, rows, nodes, lambda texts: {"fp": np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)})
 
 
