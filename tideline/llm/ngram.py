@@ -426,11 +426,13 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     train: a boolean column, null as false. Scores are log10 probabilities, rounded to six places.
     """
+    spark = df.sparkSession
     held = chunks(df, id_col, text_col, train, chunk)
     tokens = held.agg(F.sum("n_tokens").alias("n")).first().n or 0
     often = frequent_words(held, frequent)
     asked = held.select("chunk", "sizes", "words", "numbers", "train").mapInArrow(_ask(bits, often), _ASKED)
-    answered = totals(asked, tokens / (1 << bits), shard, bits)
+    answered = runtime.written(totals(asked, tokens / (1 << bits), shard, bits), "ngram-answers")
+    runtime.release(spark)  # what was asked is far larger than the answers
     id_type = held.schema["ids"].dataType.elementType
     schema = f"ids array<{id_type.simpleString()}>, train array<boolean>, sizes binary, words binary, pairs binary, triples binary, single array<long>, total array<long>, n_train long, n_known long"
     counted = runtime.written(held.groupBy("chunk").cogroup(answered.withColumnRenamed("unit", "chunk").groupBy("chunk")).applyInArrow(_counted(to_arrow_type(id_type), often), schema), "ngram-counted")

@@ -56,6 +56,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans whose rows have been written and that nothing refers to."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def slices(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most SLICE_BYTES of text each, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
