@@ -38,3 +38,26 @@ def test_rows_against_brute_force(spark):
     got = sorted(((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.scan(df).collect()), key=str)
     assert got == sorted((brute(t) for t in texts), key=str)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_whole_notices_are_accepted_and_altered_ones_are_not():
+    """Every template's own wording, with and without its optional parts, has its label; with a mandatory word changed it has not."""
+    made = licenses.Automaton(licenses.TEMPLATES)
+
+    def wording(items, full):
+        for x in items:
+            if isinstance(x, str):
+                yield x.encode()
+            elif x[0] == "optional":
+                yield from wording(x[1], full) if full else ()
+            elif full:
+                yield from [b"somebody"] * x[1]
+
+    for label, template in licenses.TEMPLATES:
+        items = licenses.parse(template)
+        for full in (True, False):
+            words = list(wording(items, full))
+            assert label in {x for _, _, x in made.scan(words)}, (label, full)
+        mandatory = [i for i, x in enumerate(items) if isinstance(x, str)]
+        words = [b"altered" if i == mandatory[len(mandatory) // 2] else x.encode() for i, x in enumerate(items) if isinstance(x, str)]
+        assert label not in {x for _, _, x in made.scan(words)}, label

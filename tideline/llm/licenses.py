@@ -32,6 +32,15 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under [[a]] [[the]] cc by nc 4 0 [[international]] [[license]]"),
     ("cc-by-nc-4.0", "licensed under [[a]] [[the]] creative commons attribution noncommercial 4 0 [[international]] [[public]] license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("gpl-text", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl-notice", "{{6}} is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {{2}} of the license or at your option any later version"),
+    ("agpl-notice", "{{6}} is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version {{2}} of the license or at your option any later version"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at {{8}}]]"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "[[3]] neither the name of {{8}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 ]
 
 
