@@ -150,7 +150,8 @@ LATEST = "finished_at desc, attempt_no desc, session_id desc, input_tokens desc,
 SCHEDULER_VIEWS = ("flow_version", "flow_status", "project", "task", "card", "relation", "run", "item", "assignment")
 
 
-@query(f"""+ staff as (select *, row_number() over (partition by type_key, status_key order by position) as place, first_value(mode) over (partition by type_key, status_key order by position) as leading from assignment),
+#: The CTEs of the scheduler's facts, and its answer for each pair.
+SCHEDULER_FACTS = f"""staff as (select *, row_number() over (partition by type_key, status_key order by position) as place, first_value(mode) over (partition by type_key, status_key order by position) as leading from assignment),
   active as (select distinct task_id, agent_id from run where finished_at is null and started_at > timestamp '1999-01-01'),
   last as (select task_id, agent_id, finished_at, attempt_no, outcome from run where finished_at is not null qualify row_number() over (partition by task_id, agent_id order by {LATEST}) = 1),
   plan as (select task_id, max(ref) as stamp from item where kind = 'psi' group by 1), stand as (select type_key, status_key from flow_status join flow_version using (version_id, type_key) where is_current and is_published and list_contains(string_split(behaviors, ','), 'verify_stand')),
@@ -158,13 +159,16 @@ SCHEDULER_VIEWS = ("flow_version", "flow_status", "project", "task", "card", "re
   flop as (select task_id, reason_code from run where outcome = 'failed' qualify row_number() over (partition by task_id order by started_at desc, attempt_no desc, session_id desc, input_tokens desc, output_tokens desc) = 1),
   held as (select distinct from_task as task_id from relation join task b on b.task_id = to_task where kind = 'blocked_by' and b.status_key not in ('done', 'canceled')),
   pair as (select t.*, s.agent_id, s.connection, case when s.leading = 'parallel' then 'parallel' else 'replacement' end as run_mode, s.place from card t left join staff s on s.type_key = t.type_key and s.status_key = t.status_key and (s.place = 1 or s.leading = 'parallel')
-    where t.status_key not in ('pending', 'blocked', 'done', 'canceled') and not is_archived)
-  select p.task_id, p.agent_id, run_mode, case when p.weight % 17 = 0 then 'reserved' when p.agent_id is null then 'not_assigned' when a.task_id is not null then 'running'
+    where t.status_key not in ('pending', 'blocked', 'done', 'canceled') and not is_archived)"""
+SCHEDULER_ANSWER = f"""select p.task_id, p.agent_id, run_mode, case when p.weight % 17 = 0 then 'reserved' when p.agent_id is null then 'not_assigned' when a.task_id is not null then 'running'
     when l.task_id is not null and finished_at + interval 1 minute * (case when outcome in ('interrupted', 'success') then 15 else [1, 5, 15][least(greatest(l.attempt_no, 1), 3)] end) > timestamp '{AS_OF}' and not (p.type_key = 'story' and ref_version > coalesce(stamp, 0)) then 'retry_pause'
     when p.connection = 3 then 'provider_paused' when st.type_key is not null and p.project_id % 3 = 0 then 'stand_down' when coalesce(n, 0) >= {MAX_RUNS} then 'run_limit'
     when retry_count >= {MAX_ATTEMPTS} and f.reason_code = 'provider_unreachable' then 'provider_unreachable' when retry_count >= {MAX_ATTEMPTS} then 'attempts_exhausted' when h.task_id is not null then 'hard_blocked' else 'launch' end as decision
   from pair p left join active a on a.task_id = p.task_id and a.agent_id = p.agent_id left join last l on l.task_id = p.task_id and l.agent_id = p.agent_id left join plan on plan.task_id = p.task_id left join stand st on st.type_key = p.type_key and st.status_key = p.status_key
-    left join spent on spent.task_id = p.task_id left join flop f on f.task_id = p.task_id left join held h on h.task_id = p.task_id""", SCHEDULER_VIEWS)
+    left join spent on spent.task_id = p.task_id left join flop f on f.task_id = p.task_id left join held h on h.task_id = p.task_id"""
+
+
+@query(f"+ {SCHEDULER_FACTS} {SCHEDULER_ANSWER}", SCHEDULER_VIEWS)
 def scheduler_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Why each pair of a candidate task and an agent is launched or not: the first rule in the scheduler's order.
 
@@ -237,9 +241,29 @@ def status_behaviours(spark, sf):
     return table(spark, sf, "flow_status").select("version_id", "status_key", has("verify_stand").alias("on_stand"), has("work").alias("works"))
 
 
+@query(f"""{FACTS_SQL}, asked as (select t.*, e.target, {SUBJECT} as subject, {AGENT} as agent_id from card t join flow_transition e on e.type_key = t.type_key and e.current = t.status_key where e.version_id in (from now)) {DENIALS_SQL}
+  select a.task_id, coalesce(string_agg(a.target, ',' order by a.target) filter (where answer.code is null), '') as allowed, coalesce(string_agg(a.target || ':' || answer.code, ',' order by a.target) filter (where answer.code is not null), '') as denied
+  from asked a left join answer using (task_id, target) group by 1""", VIEWS)
+def card_targets(spark, sf):
+    """A task's card: where it may go, and why it may not go elsewhere."""
+    rows = edge_decisions(spark, sf)
+    listed = lambda which, value: F.array_join(F.array_sort(F.collect_list(F.when(which, value))), ",")
+    ok = F.col("code") == "ok"
+    return rows.groupBy("task_id").agg(listed(ok, F.col("target")).alias("allowed"), listed(~ok, F.concat("target", F.lit(":"), "code")).alias("denied"))
+
+
 RANK = "case priority when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 9 end"
 
 
+@query(f"""+ {SCHEDULER_FACTS}, answer as ({SCHEDULER_ANSWER}), holds as (select r.to_task as task_id, count(*) as n from relation r join task t on t.task_id = r.from_task where kind = 'blocked_by' and t.status_key not in ('done', 'canceled') group by 1),
+  waits as (select distinct r.from_task as task_id from relation r join task t on t.task_id = r.to_task where kind = 'do_after' and t.status_key not in ('done', 'canceled'))
+  select a.task_id, agent_id, run_mode, coalesce(h.n, 0) as blocks, w.task_id is not null as waits from answer a join task t using (task_id) left join holds h using (task_id) left join waits w on w.task_id = a.task_id where decision = 'launch'
+  order by {RANK}, -coalesce(h.n, 0), type_key <> 'bug', w.task_id is not null, created_at, code, agent_id limit {SLOTS}""", SCHEDULER_VIEWS)
+def launched_pairs(spark, sf):
+    """The free slots go to the first pairs that no rule skips."""
+    return launched(spark, sf).select("task_id", "agent_id", "run_mode", "blocks", "waits")
+
+
 def launched(spark: SparkSession, sf: str, slots: int = SLOTS) -> DataFrame:
     """The pairs that get the free slots, in launch order: urgency, what a task holds up, bugs, waiting tasks last, age."""
     from .queue import after, blocks

@@ -121,3 +121,40 @@ def ended_logs(spark, sf):
 def once_a_day(spark, sf):
     """Of the calls of one UTC day the first does the work."""
     return table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.min("event_id").alias("first_event"), F.count(F.lit(1)).alias("calls"))
+
+
+@query("select e.event_id, e.user_id, e.ts from events e left join (select user_id, max(event_id) as last from events where event_type = 'purchase' group by 1) p using (user_id) where event_type = 'error' and (last is null or event_id > last) order by ts desc, event_id limit 100")
+def open_notifications(spark, sf):
+    """The newest hundred of those still open: raised after what resolved the ones before."""
+    rows = table(spark, sf, "events")
+    through = rows.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("last"))
+    still = rows.filter("event_type = 'error'").join(through, "user_id", "left").filter("last is null or event_id > last")
+    return R.top(still.select("event_id", "user_id", "ts"), [F.desc("ts"), F.col("event_id")], 100)
+
+
+@query("select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where before is distinct from event_type")
+def activity_changes(spark, sf):
+    """A user's activity is told only where it differs from what was told before."""
+    rows = table(spark, sf, "events").withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return rows.filter(~F.col("before").eqNullSafe(F.col("event_type"))).select("event_id", "user_id", "event_type")
+
+
+@query("select tag, min(p_partkey) as first_part from (select p_brand as tag, p_partkey from part union all select p_type, p_partkey from part) where tag not in (select p_brand from part where p_size > 48) group by 1")
+def new_tags(spark, sf):
+    """Tags that a batch brings and that are not known yet, each once, from the first row that has it."""
+    part = table(spark, sf, "part")
+    asked = part.select(F.col("p_brand").alias("tag"), F.col("p_partkey").alias("first_part")).unionByName(part.select(F.col("p_type").alias("tag"), F.col("p_partkey").alias("first_part")))
+    known = part.filter("p_size > 48").select(F.col("p_brand").alias("tag"))
+    return asked.join(known.distinct(), "tag", "left_anti").groupBy("tag").agg(F.min("first_part").alias("first_part"))
+
+
+@query("""+ i as (select task_id, string_agg(concat(kind, '#', cast(position as varchar), ' ', status), chr(10) order by kind, position, status, text) as items, count(*) as n_items from item group by 1), a as (select task_id, string_agg(concat(kind, ' v', cast(version as varchar)), ',' order by kind) as reports from (select task_id, kind, max(version) as version from artifact group by 1, 2) group by 1)
+  select t.task_id, coalesce(items, '') as items, coalesce(n_items, 0) as n_items, coalesce(reports, '') as reports from task t left join i using (task_id) left join a using (task_id)""", ("task", "item", "artifact"))
+def task_papers(spark, sf):
+    """A task's checklists by kind and position, and its newest reports by kind."""
+    line = F.concat("kind", F.lit("#"), F.col("position").cast("string"), F.lit(" "), "status")
+    items = table(spark, sf, "item").groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("kind", "position", "status", "text", line.alias("line")))).alias("x"), F.count(F.lit(1)).alias("n_items"))
+    newest = table(spark, sf, "artifact").groupBy("task_id", "kind").agg(F.max("version").alias("version"))
+    reports = newest.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "version"))), lambda r: F.concat(r["kind"], F.lit(" v"), r["version"].cast("string"))), ",").alias("reports"))
+    rows = table(spark, sf, "task").select("task_id").join(items, "task_id", "left").join(reports, "task_id", "left")
+    return rows.select("task_id", F.coalesce(F.array_join(F.transform("x", lambda v: v["line"]), "\n"), F.lit("")).alias("items"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("reports", F.lit("")).alias("reports"))
