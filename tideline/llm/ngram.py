@@ -22,8 +22,8 @@ ranges, level by level. The range adds up counts and answers go back the same wa
 chunk and level and back, whatever its frequency. A chunk with its answers is the part of the automaton that its texts
 walk through; one traversal from left to right carries the state and adds weights.
 
-Words, pairs and triples are told apart by 64-bit hashes. Among n distinct ones two are taken for one with a chance of
-about n squared / 2 ** 65.
+Words, pairs and triples are told apart by hashes of SPARE_BITS more bits than the logarithm of the number of tokens (64 at
+most): at any size one look-up in 2 ** SPARE_BITS, 17 million, at most meets the count of another key.
 
 Defined results: null and empty texts have one token, the end; repeated rows and ids each give a row and count in
 training each time; without training texts p is even and no arc exists; a null id is a row like any other; an empty
@@ -49,6 +49,8 @@ CHUNK = 700_000
 #: Keys that a task adds up, about; and ranges of hashes that a chunk's keys are dealt to, as a power of two.
 SHARD = 2_000_000
 RANGE_BITS = 10
+#: Bits that a key has beside the logarithm of the number of tokens.
+SPARE_BITS = 24
 #: Words with less than this share's inverse of training's tokens are no part of two-word states.
 FREQUENT = 1000
 CLASSES = 64
@@ -196,9 +198,9 @@ def chunks(df: DataFrame, id_col: str, text_col: str, train: Column, size: int =
 _ASKED = "unit string, kind int, range long, keys binary, counts binary"
 
 
-def _dealt(unit: str, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted keys as a row for each range that has any; a range is the keys' first bits."""
-    of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def _dealt(unit: str, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, width: int) -> pa.RecordBatch:
+    """Sorted keys of so many bits as a row for each range that has any; a range is the keys' first bits."""
+    of = (keys >> np.uint64(width - bits)).astype(np.int64)
     cut = np.flatnonzero(np.diff(of, prepend=-1))
     rows = [{"unit": unit, "kind": kind, "range": int(of[a]), "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0))), "counts": _pack(counts[a:b])} for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)])]
     return pa.RecordBatch.from_pylist(rows, schema=_fields(_ASKED, _KINDS))
@@ -208,14 +210,14 @@ def _keys(packed: bytes) -> np.ndarray:
     return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
 
 
-def _ask(bits: int, frequent: np.ndarray):
+def _ask(bits: int, frequent: np.ndarray, width: int = 64):
     """Kernel: each chunk's distinct keys by kind (words, pairs, triples) and range, with the chunk's counts in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             c = Chunk(r["sizes"], r["words"], r["numbers"], r["train"], frequent)
             for kind, (keys, at) in enumerate(c.kinds()):
-                yield _dealt(r["chunk"], kind, keys, np.bincount(at[c.train & (at >= 0)], minlength=len(keys)).astype(np.uint32), bits)
+                yield _dealt(r["chunk"], kind, keys >> np.uint64(64 - width), np.bincount(at[c.train & (at >= 0)], minlength=len(keys)).astype(np.uint32), bits, width)
 
     return run
 
@@ -251,7 +253,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return _replies(rows, keys, at, total, int((total > 0).sum()))
 
 
-def _merge(bits: int):
+def _merge(bits: int, width: int):
     """Kernel: a batch of units within a range as one unit, dealt to ranges of so many bits."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -260,7 +262,7 @@ def _merge(bits: int):
         r = rows[0]
         if int(total.max(initial=0)) >> 32:
             raise OverflowError("a count of 2 ** 32 in one batch")
-        return pa.Table.from_batches([_dealt(f"{r['kind']}:{r['range']}:{r['batch']}", r["kind"], distinct, total.astype(np.uint32), bits)], schema=_fields(_ASKED, _KINDS))
+        return pa.Table.from_batches([_dealt(f"{r['kind']}:{r['range']}:{r['batch']}", r["kind"], distinct, total.astype(np.uint32), bits, width)], schema=_fields(_ASKED, _KINDS))
 
     return run
 
@@ -276,17 +278,17 @@ def _passed_on(left: pa.Table, right: pa.Table) -> pa.Table:
     return _replies(rows, keys, at, total, sum(x["n_known"] for x in answers))
 
 
-def totals(asked: DataFrame, keys: float, shard: int, bits: int, level: int = 1) -> DataFrame:
+def totals(asked: DataFrame, keys: float, shard: int, bits: int, width: int, level: int = 1) -> DataFrame:
     """Answers (unit, kind, range, counts, n_known) to what units ask: the counts of their keys, added up over all units.
 
     keys: how many there may be of a kind in a range; more than shard are merged batch by batch and dealt to finer ranges.
     """
-    if keys <= shard or bits * (level + 1) > 60:
+    if keys <= shard or bits * (level + 1) > width:
         return asked.groupBy("kind", "range").applyInArrow(_answer, _ANSWERED)
     batches = int(np.ceil(keys / shard))
     held = runtime.written(asked.withColumn("batch", F.pmod(F.xxhash64("unit"), F.lit(batches))), f"ngram-asked-{level}")
-    merged = held.groupBy("kind", "range", "batch").applyInArrow(_merge(bits * (level + 1)), _ASKED)
-    finer = totals(runtime.written(merged, f"ngram-merged-{level}"), keys / (1 << bits), shard, bits, level + 1)
+    merged = held.groupBy("kind", "range", "batch").applyInArrow(_merge(bits * (level + 1), width), _ASKED)
+    finer = totals(runtime.written(merged, f"ngram-merged-{level}"), keys / (1 << bits), shard, bits, width, level + 1)
     part = F.split("unit", ":")
     finer = finer.select(part[0].cast("int").alias("kind"), part[1].cast("long").alias("range"), part[2].cast("long").alias("batch"), F.col("range").alias("finer"), "counts", "n_known")
     on = ("kind", "range", "batch")
@@ -430,8 +432,9 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     held = chunks(df, id_col, text_col, train, chunk)
     tokens = held.agg(F.sum("n_tokens").alias("n")).first().n or 0
     often = frequent_words(held, frequent)
-    asked = held.select("chunk", "sizes", "words", "numbers", "train").mapInArrow(_ask(bits, often), _ASKED)
-    answered = runtime.written(totals(asked, tokens / (1 << bits), shard, bits), "ngram-answers")
+    width = min(64, max(bits, int(np.ceil(np.log2(tokens + 2))) + SPARE_BITS))
+    asked = held.select("chunk", "sizes", "words", "numbers", "train").mapInArrow(_ask(bits, often, width), _ASKED)
+    answered = runtime.written(totals(asked, tokens / (1 << bits), shard, bits, width), "ngram-answers")
     runtime.release(spark)  # what was asked is far larger than the answers
     id_type = held.schema["ids"].dataType.elementType
     schema = f"ids array<{id_type.simpleString()}>, train array<boolean>, sizes binary, words binary, pairs binary, triples binary, single array<long>, total array<long>, n_train long, n_known long"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,7 +58,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans whose rows have been written and that nothing refers to."""
+    """Lets Spark's cleaner delete the shuffle files of plans whose rows have been written and that nothing refers to.
+
+    The last plan that ran is referred to until another one has run, and by the listeners' queue until its end has been
+    told to them.
+    """
+    gc.collect()
+    spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
