@@ -52,9 +52,9 @@ def open_tasks_third_page(spark, sf):
     return _columns(T.page(cards(spark, sf, q="   ", exclude_terminal=True), 200, 400))
 
 
-@query(f"select {FIELDS} from card where status_key in ('in_review', 'in_testing') and mnemonic = 'P7' and type_key in ('qa_task') order by {ORDER} limit 10 offset 2", VIEWS)
+@query(f"select {FIELDS} from card where status_key in ('in_review', 'in_testing') and mnemonic in ('P7', 'P8', 'P9', 'P10', 'P11', 'P12') and type_key in ('qa_task', 'bug') order by {ORDER} limit 10 offset 1", VIEWS)
 def tasks_in_checks(spark, sf):
-    return _columns(T.page(cards(spark, sf, projects=["p7"], types=["qa_task"], statuses=["in_review", "in_testing"]), 10, 2))
+    return _columns(T.page(cards(spark, sf, projects=["p7", "P8", "p9", "p10", "p11", "p12"], types=["qa_task", "bug"], statuses=["in_review", "in_testing"]), 10, 1))
 
 
 #: Arguments whose totals are shown beside pages.
