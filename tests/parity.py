@@ -60,7 +60,7 @@ if __name__ == "__main__":
     from tideline.session import local_session
 
     args = sys.argv[1:]
-    sf = args.pop(1) if args[:1] == ["--sf"] and args.pop(0) else "/root/testdata/sf0.01"
+    sf = args.pop(0) if args[:1] == ["--sf"] and args.pop(0) else "/root/testdata/sf0.01"
     spark, con = local_session(8), oracle(sf)
     all_queries, all_sql = entry.queries(), entry.oracle_sql()
     for name in args or [n for n in all_queries if n in all_sql]:

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import new_path
+
 
 def snapshot(tables: dict[str, DataFrame], path: str, partition_by: dict[str, list[str]] | None = None) -> None:
     """All tables as Parquet folders under one path; a new snapshot replaces an old one of the same path."""
@@ -52,10 +54,6 @@ def server_events(df: DataFrame, name: str) -> DataFrame:
 
 def appended(df: DataFrame, name: str) -> DataFrame:
     """Rows written behind what a table of this name and session has, in append mode, and read back."""
-    import uuid
-
-    from ..streaming.jobs import shared
-
-    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,23 +3,17 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sinks
+from ..session import new_path
 from ..sources import files
 from ..sources.adapter import table
-from ..streaming.jobs import shared
 from .catalog import query
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def put(spark: SparkSession, path: str, text: str) -> None:
     """One small file, through the file system that Spark uses for the path."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,7 +31,7 @@ TEXT = "concat('---', chr(10), 'name: ', lower(r_name), chr(10), 'description: A
   union all select 'skill', concat('s', cast(r_regionkey as varchar)), concat('skills/s', cast(r_regionkey as varchar), '/SKILL.md'), concat('Skill ', r_name), sha256(concat('text', chr(10), '# Skill ', r_name, chr(10))), cast(length(concat('text', chr(10), '# Skill ', r_name, chr(10))) as bigint) from region""")
 def registry_files(spark: SparkSession, sf: str) -> DataFrame:
     """A folder of Markdown files as a registry: kind, name, description, digest and size."""
-    root = folder(spark, "registry")
+    root = new_path(spark, "registry")
     for r in table(spark, sf, "region").collect():  # five rows, one file each
         put(spark, f"{root}/commands/{r.r_name.lower()}.md", f"---\nname: {r.r_name.lower()}\ndescription: About {r.r_name}\n---\n# {r.r_name}\n")
         put(spark, f"{root}/skills/s{r.r_regionkey}/SKILL.md", f"text\n# Skill {r.r_name}\n")
@@ -48,7 +42,7 @@ def registry_files(spark: SparkSession, sf: str) -> DataFrame:
 @query("select r_regionkey as port, r_name as name from region where r_regionkey <> 3 union all select null, null")
 def manifest_files(spark, sf):
     """JSON files, one of them broken: that one gives a row of nulls."""
-    root = folder(spark, "manifest")
+    root = new_path(spark, "manifest")
     for r in table(spark, sf, "region").collect():  # five rows
         put(spark, f"{root}/{r.r_regionkey}.json", json.dumps({"port": r.r_regionkey, "name": r.r_name, "more": [1]}, indent=1) if r.r_regionkey != 3 else '{"port": 3, ')
     return files.json_documents(spark, root, "port int, name string")
@@ -68,7 +62,7 @@ def preset_flow(spark, sf):
 @query("select conv_id, string_agg(concat(role, ' ', replace(text, chr(10), ' ')), chr(10) order by turn) as body from conversations group by 1")
 def document_files(spark, sf):
     """Documents written as text, a folder each, and read again line by line."""
-    root = folder(spark, "documents")
+    root = new_path(spark, "documents")
     line = F.concat("role", F.lit(" "), F.replace("text", F.lit("\n"), F.lit(" ")))
     sinks.documents_as_text(table(spark, sf, "conversations").select("conv_id", "turn", line.alias("line")), root, "conv_id", "turn", "line")
     lines = spark.read.text(root).select(F.col("conv_id").cast("long").alias("conv_id"), "value", F.monotonically_increasing_id().alias("at"))
@@ -78,7 +72,7 @@ def document_files(spark, sf):
 @query("select 'nation' as name, count(*) as n from nation union all select 'region', count(*) from region union all select 'orders', count(*) from orders")
 def snapshot_counts(spark, sf):
     """A snapshot of tables, one of them partitioned, counted where it was written."""
-    root, names = folder(spark, "snapshot"), ("nation", "region", "orders")
+    root, names = new_path(spark, "snapshot"), ("nation", "region", "orders")
     sinks.snapshot({n: table(spark, sf, n) for n in names}, root, {"orders": ["o_orderstatus"]})
     counts = [spark.read.parquet(f"{root}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
@@ -87,7 +81,7 @@ def snapshot_counts(spark, sf):
 @query("select true as first, false as again, true as changed, 5 as settings")
 def settings_written(spark, sf):
     """Settings are written when their digest is a new one, not again, and again after a change."""
-    root = folder(spark, "settings")
+    root = new_path(spark, "settings")
     rows = table(spark, sf, "region").select("r_regionkey", "r_name")
     digest, first = sinks.write_if_changed(rows, root, None)
     _, again = sinks.write_if_changed(rows, root, digest)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..sources.adapter import table
-from ..streaming import jobs
+from ..streaming import changes, heartbeats, jobs, tail
 from .catalog import query
 
 
@@ -82,3 +82,21 @@ def heartbeat_stream(spark, sf):
 def circuit_pauses_stream(spark, sf):
     """Open circuits; a pause has an end."""
     return jobs.pauses(spark, sf, "2024-01-28")
+
+
+@query(heartbeats.SQL)
+def lost_runs_stream(spark, sf):
+    """Runs that end by a report or by a timer, and whether that frees their task; the log comes late and repeats rows."""
+    return heartbeats.lost_runs(table(spark, sf, "events"))[0]
+
+
+@query(tail.SQL)
+def late_tail_stream(spark, sf):
+    """Each event once while it is on time; what comes too late is in the side table."""
+    return tail.followed(table(spark, sf, "events"))[0]
+
+
+@query(changes.SQL)
+def activity_changes_stream(spark, sf):
+    """Lines of server-sent events: a task's activity whenever it has changed, and the end marker."""
+    return changes.watched(table(spark, sf, "events"))[0]

@@ -7,7 +7,6 @@ events: state stays for as long as the stream runs, and its size is stated with
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,11 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared(spark: SparkSession) -> str:
-    """The folder that all executors share, or one beside the warehouse where none is named."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return known.rstrip("/") if known else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+from ..session import new_path
 
 
 def source(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +33,7 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 def drained(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what is there. In update mode the last row of each key is what counts."""
     spark = stream.sparkSession
-    base = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    base = new_path(spark, name)
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/rows")
