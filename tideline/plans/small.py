@@ -137,3 +137,18 @@ def report_text_fields(spark, sf):
     rows = reports.parsed(table(spark, sf, "documents").filter("trim(source) <> ''").select("doc_id", said.alias("said")), "doc_id", "said")
     joined = lambda c, f: F.array_join(F.transform(c, f), ",")
     return rows.select("doc_id", "parsed", "status", "summary", "target", "reason", joined("updates", lambda u: F.concat_ws("#", u["kind"], u["position"].cast("string"), u["status"])).alias("updates"), joined("relations", lambda r: F.concat_ws(":", r["code"], r["kind"])).alias("relations"), F.array_join("questions", ",").alias("questions"), "artifact_md", F.array_join("comments", ",").alias("comments"))
+
+
+@query("""select doc_id, 'lenient' as parsed, ['success', 'failed', 'blocked'][cast(doc_id % 3 as int) + 1] as status, coalesce(lang, 'none') as target, coalesce(source, '') as reason, concat('psi#', n_chars, '#closed#', coalesce(source, '')) as updates,
+  case when doc_id % 2 = 0 then replace(coalesce(text, ''), concat(chr(13), chr(10)), chr(10)) end as artifact_md, coalesce(source, '') as comments from documents where trim(source) <> ''""")
+def report_broken_fields(spark, sf):
+    """The fields of a report that no JSON reader takes, for a raw line break in it; it stands behind a whole text and has it in it."""
+    json_text = lambda c: F.expr(f"substring(to_json(named_struct('t', coalesce({c}, ''))), 6, length(to_json(named_struct('t', coalesce({c}, '')))) - 6)")
+    said = F.concat(
+        F.coalesce("text", F.lit("")), F.lit(' {"status": "'), F.element_at(F.array(*map(F.lit, ("success", "failed", "blocked"))), (F.col("doc_id") % 3 + 1).cast("int")), F.lit('", "note": "raw\nbreak", "proposed_transition": {"to": "'), F.coalesce("lang", F.lit("none")), F.lit('", "reason": '), json_text("source"),
+        F.lit('}, "checklist_updates": [{"checklist_kind": "psi", "item_position": '), F.col("n_chars").cast("string"), F.lit(', "new_status": "closed", "text": '), json_text("source"), F.lit('}], "artifact_kind": "'), F.when(F.col("doc_id") % 2 == 0, "qa_report").otherwise("other"), F.lit('", "artifact_md": '), json_text("text"),
+        F.lit(', "comments": ["", '), json_text("source"), F.lit("]}"),
+    )
+    rows = reports.parsed(table(spark, sf, "documents").filter("trim(source) <> ''").select("doc_id", said.alias("said")), "doc_id", "said")
+    updates = F.array_join(F.transform("updates", lambda u: F.concat_ws("#", u["kind"], u["position"].cast("string"), u["status"], u["text"])), ",")
+    return rows.select("doc_id", "parsed", "status", "target", "reason", updates.alias("updates"), "artifact_md", F.array_join("comments", ",").alias("comments"))
