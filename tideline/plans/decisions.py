@@ -168,52 +168,70 @@ SCHEDULER_ANSWER = f"""select p.task_id, p.agent_id, run_mode, case when p.weigh
     left join spent on spent.task_id = p.task_id left join flop f on f.task_id = p.task_id left join held h on h.task_id = p.task_id"""
 
 
-@query(f"+ {SCHEDULER_FACTS} {SCHEDULER_ANSWER}", SCHEDULER_VIEWS)
+@query(f"+ {SCHEDULER_FACTS}, answer as ({SCHEDULER_ANSWER}) select task_id, run_mode, decision, count(agent_id) as agents from answer group by 1, 2, 3", SCHEDULER_VIEWS)
 def scheduler_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Why each pair of a candidate task and an agent is launched or not: the first rule in the scheduler's order.
+    """Why a candidate task is launched or not, with how many of its agents each answer holds for: the first rule in the scheduler's order.
 
     Assignment (all agents where the first is parallel, else the first one), a live run of the pair, the pause after its last run
     (not for a story whose plan is out of date), a paused provider, a stand that is down, then the task's run limit,
     its attempts (which a provider's failure spares), and open blockers.
     """
-    return _pairs(spark, sf).select("task_id", "agent_id", "run_mode", "decision")
+    counts = F.array(*(F.struct(F.lit(k).alias("decision"), F.col(n).alias("agents")) for k, n in (("running", "n_running"), ("retry_pause", "n_pause"), ("provider_paused", "n_paused"))), F.struct(F.col("rest").alias("decision"), F.col("n_free").alias("agents")))
+    alike = F.array(F.struct(F.when(F.col("reserved"), "reserved").otherwise("not_assigned").alias("decision"), F.col("n_agents").alias("agents")))
+    one = F.col("reserved") | (F.col("n_agents") == 0)
+    rows = _candidates(spark, sf)[0].select("task_id", "run_mode", F.explode(F.when(one, alike).otherwise(F.filter(counts, lambda x: x["agents"] > 0))).alias("x"))
+    return rows.select("task_id", "run_mode", "x.decision", "x.agents")
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _staff(spark: SparkSession, sf: str) -> DataFrame:
+    """The agents of a type and status that may be launched: all where the first is parallel, else the first."""
     by_place = Window.partitionBy("type_key", "status_key").orderBy("position")
     staff = table(spark, sf, "assignment").withColumn("place", F.row_number().over(by_place)).withColumn("leading", F.first("mode").over(by_place)).filter("place = 1 or leading = 'parallel'")
-    staff = staff.select("type_key", "status_key", "agent_id", "connection", F.when(F.col("leading") == "parallel", "parallel").otherwise("replacement").alias("run_mode"))
+    return staff.select("type_key", "status_key", "agent_id", (F.col("connection") == 3).alias("paused"), F.when(F.col("leading") == "parallel", "parallel").otherwise("replacement").alias("run_mode"))
+
+
+def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks that may be launched, decided once each, and the pairs of a task and an agent that have an answer of their own.
+
+    An agent's answer differs from its task's where the pair has a live run or is in the pause after its last one, so there are
+    no more such pairs than runs; of the other agents only the number counts, by whether their provider is paused.
+    """
+    staff = _staff(spark, sf)
+    teams = staff.groupBy("type_key", "status_key").agg(F.first("run_mode").alias("run_mode"), F.count(F.lit(1)).alias("n_agents"), F.count_if("paused").alias("all_paused"))
     candidates = table(spark, sf, "card").filter(~F.col("status_key").isin("pending", "blocked", *CLOSED) & ~F.col("is_archived"))
-    pairs = candidates.join(staff, ["type_key", "status_key"], "left").withColumn("run_mode", F.coalesce("run_mode", F.lit("replacement")))
-    # one pass over runs by pair and one by task
-    runs = table(spark, sf, "run")
+    runs = table(spark, sf, "run").join(candidates.select("task_id", "type_key", "status_key", "runs_reset_at"), "task_id")
     newest = F.struct("finished_at", "attempt_no", "session_id", "input_tokens", "output_tokens")
-    by_pair = runs.groupBy("task_id", "agent_id").agg(F.bool_or(F.col("finished_at").isNull() & (F.col("started_at") > F.lit("1999-01-01").cast("timestamp_ntz"))).alias("live"), F.max(F.when(F.col("finished_at").isNotNull(), F.struct(newest.alias("k"), "finished_at", "attempt_no", "outcome"))).alias("last"))
-    reset = table(spark, sf, "task").select("task_id", "runs_reset_at")
+    live = F.bool_or(F.col("finished_at").isNull() & (F.col("started_at") > F.lit("1999-01-01").cast("timestamp_ntz")))
+    by_pair = runs.groupBy("task_id", "agent_id", "type_key", "status_key").agg(live.alias("live"), F.max(F.when(F.col("finished_at").isNotNull(), F.struct(newest.alias("k"), "finished_at", "attempt_no", "outcome"))).alias("last"))
     counts = (F.col("reason_code").isNull() | ~F.col("reason_code").isin("soft_turns", "stale_status")) & (F.col("runs_reset_at").isNull() | (F.col("started_at") > F.col("runs_reset_at")))
     failed = F.when(F.col("outcome") == "failed", F.struct("started_at", "attempt_no", "session_id", "input_tokens", "output_tokens"))
-    by_task = runs.join(reset, "task_id").groupBy("task_id").agg(F.count_if(counts).alias("spent"), F.max_by("reason_code", failed).alias("last_reason"))
+    by_task = runs.groupBy("task_id").agg(F.count_if(counts).alias("spent"), F.max_by("reason_code", failed).alias("last_reason"))
     plan = table(spark, sf, "item").filter("kind = 'psi'").groupBy("task_id").agg(F.max("ref").alias("stamp"))
     still = table(spark, sf, "task").filter(~F.col("status_key").isin(*CLOSED)).select(F.col("task_id").alias("to_task"))
     held = table(spark, sf, "relation").filter("kind = 'blocked_by'").join(still, "to_task", "left_semi").select(F.col("from_task").alias("task_id")).distinct().withColumn("held", F.lit(True))
     stand = current(spark, sf, "flow_status").filter(F.array_contains(F.split("behaviors", ","), "verify_stand")).select("type_key", "status_key", F.lit(True).alias("on_stand"))
-    rows = pairs.join(by_pair, ["task_id", "agent_id"], "left").join(by_task, "task_id", "left").join(plan, "task_id", "left").join(held, "task_id", "left").join(stand, ["type_key", "status_key"], "left")
     ladder = F.array(*map(F.lit, PAUSES))
     pause = F.when(F.col("last.outcome").isin("interrupted", "success"), PAUSES[-1]).otherwise(F.element_at(ladder, F.least(F.greatest("last.attempt_no", F.lit(1)), F.lit(len(PAUSES)))))
     over = F.unix_micros(F.col("last.finished_at").cast("timestamp")) + pause.cast("long") * 60_000_000 > F.unix_micros(F.lit(AS_OF).cast("timestamp_ntz").cast("timestamp"))
+    own = by_pair.join(staff.select("type_key", "status_key", "agent_id", "paused"), ["type_key", "status_key", "agent_id"]).select("task_id", "agent_id", "paused", "live", F.coalesce(over, F.lit(False)).alias("over")).filter("live or over")
+    tasks = candidates.join(teams, ["type_key", "status_key"], "left").join(by_task, "task_id", "left").join(plan, "task_id", "left").join(held, "task_id", "left").join(stand, ["type_key", "status_key"], "left")
+    fresh = (F.col("type_key") == "story") & (F.col("ref_version") > F.coalesce("stamp", F.lit(0)))
+    waits = F.col("over") & ~F.col("live")
+    odd = own.groupBy("task_id").agg(*(F.count_if(c).alias(n) for n, c in (("running", F.col("live")), ("running_paused", F.col("live") & F.col("paused")), ("waiting", waits), ("waiting_paused", waits & F.col("paused")))))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    unless_fresh = lambda c: F.when(fresh, 0).otherwise(n(c))
     rules = [
-        (F.col("weight") % 17 == 0, "reserved"),
-        (F.col("agent_id").isNull(), "not_assigned"),
-        (F.col("live"), "running"),
-        (over & ~((F.col("type_key") == "story") & (F.col("ref_version") > F.coalesce("stamp", F.lit(0)))), "retry_pause"),
-        (F.col("connection") == 3, "provider_paused"),
         (F.col("on_stand") & (F.col("project_id") % 3 == 0), "stand_down"),
         (F.col("spent") >= MAX_RUNS, "run_limit"),
         ((F.col("retry_count") >= MAX_ATTEMPTS) & (F.col("last_reason") == "provider_unreachable"), "provider_unreachable"),
         (F.col("retry_count") >= MAX_ATTEMPTS, "attempts_exhausted"),
         (F.col("held"), "hard_blocked"),
     ]
-    return rows.withColumn("decision", F.coalesce(*(F.when(c, F.lit(k)) for c, k in rules), F.lit("launch")))
+    tasks = tasks.join(odd, "task_id", "left").withColumns({
+        "run_mode": F.coalesce("run_mode", F.lit("replacement")), "n_agents": n("n_agents"), "reserved": F.col("weight") % 17 == 0, "fresh": fresh, "n_running": n("running"), "n_pause": unless_fresh("waiting"), "n_paused": n("all_paused") - n("running_paused") - unless_fresh("waiting_paused"),
+        "n_free": n("n_agents") - n("all_paused") - (n("running") - n("running_paused")) - (unless_fresh("waiting") - unless_fresh("waiting_paused")), "rest": F.coalesce(*(F.when(c, F.lit(k)) for c, k in rules), F.lit("launch")),
+    })
+    return tasks, own
 
 
 @query(f"""+ staff as (select *, row_number() over (partition by type_key, status_key order by position) as place from assignment)
@@ -265,9 +283,17 @@ def launched_pairs(spark, sf):
 
 
 def launched(spark: SparkSession, sf: str, slots: int = SLOTS) -> DataFrame:
-    """The pairs that get the free slots, in launch order: urgency, what a task holds up, bugs, waiting tasks last, age."""
+    """The pairs that get the free slots, in launch order: urgency, what a task holds up, bugs, waiting tasks last, age.
+
+    A task that is launched has a free agent, so the first slots of all pairs are among those of as many first tasks.
+    """
     from .queue import after, blocks
 
-    ready = _pairs(spark, sf).filter("decision = 'launch'").join(blocks(spark, sf).withColumnRenamed("n", "blocks"), "task_id", "left").join(after(spark, sf).withColumn("waits", F.lit(True)), "task_id", "left").fillna(0, ["blocks"]).fillna(False, ["waits"])
-    order = [X.priority_rank(F.col("priority")), -F.col("blocks"), F.col("type_key") != "bug", F.col("waits"), F.col("created_at"), F.col("code"), F.col("agent_id")]
-    return R.top(ready, order, slots)
+    tasks, own = _candidates(spark, sf)
+    ready = tasks.filter("not reserved and n_agents > 0 and n_free > 0 and rest = 'launch'").join(blocks(spark, sf).withColumnRenamed("n", "blocks"), "task_id", "left").join(after(spark, sf).withColumn("waits", F.lit(True)), "task_id", "left").fillna(0, ["blocks"]).fillna(False, ["waits"])
+    order = [X.priority_rank(F.col("priority")), -F.col("blocks"), F.col("type_key") != "bug", F.col("waits"), F.col("created_at"), F.col("code")]
+    first = R.top(ready, order, slots)
+    pairs = _staff(spark, sf).filter("not paused").drop("run_mode").join(F.broadcast(first), ["type_key", "status_key"])
+    busy = own.select("task_id", "agent_id", "live").withColumn("own", F.lit(True))
+    free = pairs.join(busy, ["task_id", "agent_id"], "left").filter(F.col("own").isNull() | (~F.col("live") & F.col("fresh")))
+    return R.top(free, [*order, F.col("agent_id")], slots)
