@@ -2,26 +2,32 @@
 
 A page is read in one forward scan as elements and text. Structural elements make a path from the root to each block of
 text; inline markup does not. For each path of a page the text length (that of links counts little) and the punctuation
-of its blocks are added up and divided by the number of its blocks and tags. The text ratio is multiplied by a prior for
-where the path stands: high in an article or main element, low in what is told by element, role or class name to be a
-menu, page header or footer, sidebar, notice, advert, form or reader's comment. Both ratios are smoothed along the page's
-order of paths and fused, and the paths at or over a share of the page's best are content. So names alone drop nothing:
-a page whose whole text stands in a frame of a bad name keeps it, and a page without any names is cut by its ratios.
+of its blocks are added up and divided by the number of its blocks and tags. Both ratios are smoothed along the page's
+order of paths, multiplied by a prior for where the path stands, and fused; the paths at or over a share of the page's best
+are content.
+
+Priors are weak where the ratios can tell. A frame of links (a menu, breadcrumbs, sharing, related posts) gets half of the
+best prior however it is named: its links tell what it is. An article or main element is a few times likelier than no frame.
+Only where prose stands in a frame of another purpose (footers, sidebars, notices, adverts, forms, readers' comments) do
+element, role or class name speak strongly, since such prose has the ratios of prose. Names alone drop nothing: a page whose
+whole text stands in a frame of a bad name keeps it, and a page without any names is cut by its ratios.
 
 Beside the blocks of such paths stay, unless a name speaks against them: blocks of the same article element; blocks
-between the first and the last content block of one element, so short items, linked references and the like; and headings
-directly before a block that stays. Scripts, styles, controls, frames and hidden elements have no text at all.
+between the first and the last content block of one element, so short items, linked references and the like; lists, tables,
+quotations and sections, if not mostly links, in an element that has content; and headings directly before a block that
+stays. Scripts, styles, controls, frames and hidden elements have no text at all.
 
 Defined results: null, empty and text-free pages give an empty text; tags that are not closed or not opened, comments
-that do not end and quotes that do not close are read as browsers do, roughly; elements nested deeper than DEPTH count as
-part of the one at that depth; repeated rows each give a row; pages are read whole, in time proportional to their length;
-an empty table gives no rows; other columns are not read.
+that do not end and quotes that do not close are read as browsers do, roughly; elements nest and attributes are as long as
+they are; repeated rows each give a row; pages are read whole, in time proportional to their length; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from typing import NamedTuple
 
 import numpy as np
@@ -48,6 +54,10 @@ CLOSES = {
     "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "body": ({"head"}, set()),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Names and roles of frames of links.
+LINK_FRAMES = frozenset("nav navbar navigation menu menus menubar toolbar search breadcrumb breadcrumbs pagination pager header masthead share sharing social related recommended recommendations widget widgets skip more".split())
+#: What an element that has content may have beside it: its text goes by the element that they stand in.
+WITHIN = frozenset("ul ol dl li dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption section details summary".split())
 #: A class name or id with one of these words marks what is no article text.
 MARKS = frozenset("advert adverts advertisement advertisements advertising adsense adslot sponsored sponsors navbar breadcrumb breadcrumbs sidebar sidebars cookie cookies consent gdpr popup modal newsletter subscribe subscription signup comment comments commentlist disqus pagination".split())
 #: These do so only if all other words of the name are among COMPANIONS: "related-posts" does, "related-work" does not.
@@ -59,27 +69,33 @@ HIDING = frozenset("hidden visually-hidden visuallyhidden sr-only screen-reader-
 #: Names that say what a page's frame has beside the article.
 LAYOUT = re.compile(r"\b(?:has|with|without|no|left|right|two|one)[-_ ]+[a-z]+\b")
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
-#: Priors of a path in an article, in a main element, and where a name or kind speaks against it.
-ARTICLE, MAIN, BESIDE_IT = 50.0, 8.0, 0.001
+#: Priors of a path in an article, in a main element, and of prose where a name or kind speaks against it; a frame of links
+#: has a share of the page's best prior.
+ARTICLE, MAIN, BESIDE_IT, LINKED_IT = 8.0, 3.0, 0.02, 0.5
 #: The weight of link text, and the share of the page's best at which a path is content.
 LINK, SHARE = 0.02, 0.25
-DEPTH = 512
 
 
 class Element:
-    """An open element: its structural parent, kind, path, prior class (0 none, 1 main, 2 article), and marks that it has or inherits."""
+    """An open element: its structural parent, kind, path, prior class (0 none, 1 main, 2 article), and marks that it has or inherits.
+
+    beside: 0, 1 for a frame of links, 2 for prose that is beside the article. at: place on the stack. article: the outermost
+    one it stands in. frame: the innermost element around it, or itself, that is not of the kinds WITHIN.
+    """
 
-    __slots__ = ("parent", "tag", "path", "inside", "beside", "hidden")
+    __slots__ = ("parent", "tag", "path", "inside", "beside", "hidden", "at", "article", "frame")
 
-    def __init__(self, parent: Element | None, tag: str, path: int, inside: int, beside: bool, hidden: bool):
-        self.parent, self.tag, self.path, self.inside, self.beside, self.hidden = parent, tag, path, inside, beside, hidden
+    def __init__(self, parent: Element | None, tag: str, path: int, inside: int, beside: int, hidden: bool, at: int):
+        self.parent, self.tag, self.path, self.inside, self.beside, self.hidden, self.at = parent, tag, path, inside, beside, hidden, at
+        self.article = (parent.article if parent else None) or (self if inside == 2 else None)
+        self.frame = parent.frame if parent and tag in WITHIN else self
 
 
 class Block(NamedTuple):
     """A block's element, whether a name or kind speaks against it, its text, characters in links, and inline tags."""
 
     element: Element
-    beside: bool
+    beside: int
     text: str
     links: int
     tags: int
@@ -99,19 +115,30 @@ def _words(names: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()) if w]
 
 
-def _marked(tag: str, at: dict[str, str]) -> bool:
-    if tag in BESIDE or at.get("role", "").lower() in ROLES:
-        return True
+def _marked(tag: str, at: dict[str, str], inside: int) -> int:
+    """What element, role and names say: 0 nothing, 1 a frame of links, 2 prose beside the article.
+
+    Within an article a name that holds one of the words says so only if its other words do not speak of something else.
+    """
+    role = at.get("role", "").lower()
+    if tag in BESIDE or role in ROLES:
+        return 1 if tag in LINK_FRAMES or role in LINK_FRAMES else 2
     if tag in ("html", "body", "main"):
-        return False
+        return 0
+    found = 0
     for name in LAYOUT.sub(" ", f"{at.get('class', '')} {at.get('id', '')}").split():
         words = _words(name)
         if tag == "article":
-            if not ARTICLE_MARKS.isdisjoint(words):
-                return True
-        elif not MARKS.isdisjoint(words) or not WEAK_MARKS.isdisjoint(words) and all(w in WEAK_MARKS or w in COMPANIONS for w in words):
-            return True
-    return False
+            marks = [w for w in words if w in ARTICLE_MARKS]
+        else:
+            marks = [w for w in words if w in MARKS]
+            if not marks or inside == 2:
+                marks += [w for w in words if w in WEAK_MARKS]
+                if len([w for w in words if w in MARKS]) < 2 and not all(w in MARKS or w in WEAK_MARKS or w in COMPANIONS for w in words):
+                    marks = []
+        if marks:
+            found = max(found, 1 if all(w in LINK_FRAMES for w in marks) else 2)
+    return found
 
 
 def _hidden(at: dict[str, str]) -> bool:
@@ -163,16 +190,16 @@ class Reader:
                 else:
                     m = UNQUOTED.match(page, at)
                     value, at = m[0].strip("\"'"), m.end()
-            found.setdefault(name, plain(value) if len(value) < 4096 else "")
+            found.setdefault(name, plain(value))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order; all but what is hidden or no text."""
     out: list[Block] = []
     reader, paths = Reader(page), {}
-    root = Element(None, "", 0, 0, False, False)
+    root = Element(None, "", 0, 0, 0, False, 0)
     stack: list[Element] = [root]  # structural elements, and inline ones that are marked or hidden
-    counts: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # of the open elements of a kind on the stack
     here = root  # the innermost structural element
     text: list[str] = []
     aside: list[str] = []  # text of marked inline elements within the block
@@ -181,7 +208,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal text, aside, links, tags
         if text or aside:
-            for parts, beside in ((text, here.beside), (aside, True)):
+            for parts, beside in ((text, here.beside), (aside, 2)):
                 whole = " ".join("".join(parts).split())
                 if whole and not here.hidden:
                     out.append(Block(here, beside, whole, min(links, len(whole)), tags))
@@ -199,9 +226,13 @@ def blocks(page: str) -> list[Block]:
     def cut(n: int) -> None:
         nonlocal here
         for e in stack[n:]:
-            counts[e.tag] -= 1
+            places[e.tag].pop()
         del stack[n:]
-        here = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
+        here = stack[-1] if stack[-1].tag in BLOCK or stack[-1] is root else stack[-1].parent
+
+    def opened(e: Element) -> None:
+        stack.append(e)
+        places.setdefault(e.tag, []).append(e.at)
 
     at, size = 0, len(page)
     while at < size:
@@ -238,53 +269,41 @@ def blocks(page: str) -> list[Block]:
             elif tag == "a":
                 linked = not closing
             if closing:
-                if counts.get(tag):
-                    k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag)
-                    if here not in stack[k + 1 :]:
-                        cut(k)
-            elif tag not in VOID and len(stack) < DEPTH:
-                hidden, beside = bool(known) and _hidden(known), tag in BESIDE or bool(known) and _marked(tag, known)
-                if hidden or beside or counts.get(tag):  # one of a kind that is open is counted, so that end tags fit
+                if places.get(tag) and here.at <= places[tag][-1]:
+                    cut(places[tag][-1])
+            elif tag not in VOID:
+                hidden, beside = bool(known) and _hidden(known), _marked(tag, known, here.inside) if known or tag in BESIDE else 0
+                if hidden or beside or places.get(tag):  # one of a kind that is open is counted, so that end tags fit
                     top = stack[-1]
-                    stack.append(Element(here, tag, here.path, here.inside, top.beside or beside, top.hidden or hidden))
-                    counts[tag] = counts.get(tag, 0) + 1
+                    opened(Element(here, tag, here.path, here.inside, max(top.beside, beside), top.hidden or hidden, len(stack)))
             continue
         flush()
         linked = 0
         if closing:
-            if counts.get(tag):
-                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
-        close, limits = CLOSES.get(tag, (set(), set()))
-        if any(counts.get(t) for t in close):
-            n = len(stack)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in close:
-                    n = i
-                elif stack[i].tag in limits:
-                    break
-            cut(n)
-        if tag in ("html", "body") and counts.get(tag) or len(stack) >= DEPTH:
+        close, limits = CLOSES.get(tag, ((), ()))
+        if any(places.get(t) for t in close):
+            bar = max((places[t][-1] for t in limits if places.get(t)), default=0)  # an element that is both ends at itself
+            above = [places[t][bisect(places[t], bar)] for t in close if places.get(t) and places[t][-1] > bar]
+            if above:
+                cut(min(above))
+        if tag in ("html", "body") and places.get(tag):
             continue
         inside = 2 if tag == "article" or known.get("itemprop") == "articleBody" else 1 if tag == "main" or known.get("role", "").lower() == "main" else 0
         top, names = stack[-1], " ".join(_words(f"{known.get('class', '')} {known.get('id', '')}"))
-        beside = _marked(tag, known) if tag != "header" or top.inside < 2 else False
+        beside = _marked(tag, known, top.inside) if tag != "header" or top.inside < 2 else 0
         label = (top.path, tag, names if tag not in ("p", "li", "tr", "td") else "")
-        here = Element(here, tag, paths.setdefault(label, len(paths) + 1), max(top.inside, inside), top.beside or beside, top.hidden or _hidden(known))
-        stack.append(here)
-        counts[tag] = counts.get(tag, 0) + 1
+        here = Element(here, tag, paths.setdefault(label, len(paths) + 1), max(top.inside, inside), max(top.beside, beside), top.hidden or _hidden(known), len(stack))
+        opened(here)
     flush()
     return out
 
 
-def _article_of(e: Element | None) -> Element | None:
-    """The outermost article that e stands in."""
-    found = None
-    while e is not None:
-        if e.inside == 2 and (e.parent is None or e.parent.inside < 2):
-            found = e
-        e = e.parent
-    return found
+def ratios(length: np.ndarray, own: np.ndarray, marks: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and punctuation by path: what is no link, for each block and tag."""
+    return own * length / count, own * marks / count
 
 
 def content(found: list[Block], share: float = SHARE) -> list[str]:
@@ -297,35 +316,44 @@ def content(found: list[Block], share: float = SHARE) -> list[str]:
     add = lambda values: np.bincount(of, np.array(values, float), len(order))
     length, linked = add([len(b.text) for b in found]), add([b.links for b in found])
     marks, count = add([len(PUNCTUATION.findall(b.text)) for b in found]), add([1 + 0.25 * b.tags for b in found])
-    own = np.maximum(1 - linked / length, LINK)
-    prior = np.array([(1.0, MAIN, ARTICLE)[inside] * (BESIDE_IT if beside else 1.0) for _, inside, beside in order])
+    text, punctuation = ratios(length, np.maximum(1 - linked / length, LINK), marks, count)
+    place = np.array([(1.0, MAIN, ARTICLE)[inside] for _, inside, _ in order])
+    level = np.array([beside for _, _, beside in order])
+    best = place[level == 0].max(initial=1.0)
+    prior = np.where(level == 0, place, np.where((level == 1) & (linked > length / 2), LINKED_IT * best, BESIDE_IT * place))
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), np.array([0.05, 0.9, 0.05]), "valid")
-    fused = smooth(prior * own * length / count) * np.sqrt(1 + smooth(own * marks / count))
+    fused = prior * smooth(text) * np.sqrt(1 + smooth(punctuation))
     stays = (fused >= share * fused.max())[of]
     _beside_content(found, stays)
     return [b.text for b, s in zip(found, stays) if s]
 
 
 def _beside_content(found: list[Block], stays: np.ndarray) -> None:
-    """Marks in stays what goes with the content: see the module's second paragraph."""
+    """Marks in stays what goes with the content: see the module's fourth paragraph.
+
+    What stands between two blocks of one element is within that element, so its descendants need not be looked for.
+    """
     first: dict[Element | None, int] = {}
     last: dict[Element | None, int] = {}
-    articles = set()
+    articles, frames = set(), set()
     for i in np.flatnonzero(stays).tolist():
-        holder = found[i].element.parent
-        first.setdefault(holder, i)
-        last[holder] = i
-        articles.add(_article_of(found[i].element))
+        e = found[i].element
+        first.setdefault(e.parent, i)
+        last[e.parent] = i
+        articles.add(e.article)
+        if e.parent is not None and (e.parent.tag == "section" or e.parent.tag not in WITHIN):
+            frames.add(e.parent.frame)
     articles.discard(None)
+    between = np.zeros(len(found) + 1, np.int64)
+    for holder, i in first.items():
+        between[i] += 1
+        between[last[holder]] -= 1
+    between = np.cumsum(between) > 0
     for i in np.flatnonzero(~stays).tolist():
-        if found[i].beside:
-            continue
-        e = found[i].element
-        while e is not None:
-            if e in articles or e in first and first[e] < i < last[e]:
-                stays[i] = True
-                break
-            e = e.parent
+        b, e = found[i], found[i].element
+        within = e if e.tag in WITHIN else e.parent if e.parent is not None and e.parent.tag in WITHIN else None
+        if not b.beside and (e.article in articles or between[i] or within is not None and within.frame in frames and 2 * b.links < len(b.text)):
+            stays[i] = True
     for i in range(len(found) - 2, -1, -1):
         if stays[i + 1] and not found[i].beside and found[i].element.tag in HEADINGS:
             stays[i] = True
