@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as X
+from ..operators import budgets
 from ..operators import relational as R
 from ..sources.adapter import table
 from .catalog import query
@@ -83,6 +84,19 @@ def context_bundle(spark, sf):
     return rows.select("story_id", F.concat(F.lit("# "), "c_name", F.lit("\ntasks: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit("\n"), F.coalesce("body", F.lit(""))).alias("bundle"))
 
 
+# Characters of a story's text, and what each of its parts gets at least.
+BUNDLE, BUNDLE_PART = 1600, 60
+
+
+@query(f"""+ sized as (select *, length(line) + 1 as size, coalesce(sum(length(line) + 1) over (partition by story_id, part order by place rows between unbounded preceding and 1 preceding), 0) as before from bundle_line),
+  parts as (select story_id, part, sum(size) as size, least(sum(size), {BUNDLE_PART}) as sure from sized group by 1, 2),
+  shares as (select story_id, part, sure + greatest(0, least(size - sure, {BUNDLE} - sum(sure) over (partition by story_id) - coalesce(sum(size - sure) over (partition by story_id order by part rows between unbounded preceding and 1 preceding), 0))) as allotted from parts)
+  select story_id, string_agg(substring(concat(line, chr(10)), 1, cast(allotted - before as integer)), '' order by part, place) as text, count(distinct part) as n_parts from sized join shares using (story_id, part) where before < allotted group by 1""", ("flow_version", "flow_transition", "project", "task", "relation", "run", "item", "artifact", "assignment", "bundle_line"))
+def story_bundles(spark, sf):
+    """All that an agent is told of a story: fifteen parts under one budget, never over it."""
+    return budgets.bundles(table(spark, sf, "bundle_line"), "story_id", "part", "place", "line", BUNDLE, BUNDLE_PART)
+
+
 @query("select 'no_live_agent' as warning, count(*) as n from supplier where s_acctbal < 0 union all select 'blocked_tasks', count(*) from task where status_key = 'blocked' union all select 'stale_runs', count(*) from run where finished_at is null and started_at < timestamp '1997-01-01'", ("task", "run"))
 def pipeline_warnings(spark, sf):
     counts = {"no_live_agent": table(spark, sf, "supplier").filter("s_acctbal < 0"), "blocked_tasks": table(spark, sf, "task").filter("status_key = 'blocked'"), "stale_runs": table(spark, sf, "run").filter(F.col("finished_at").isNull() & (F.col("started_at") < F.lit("1997-01-01").cast("timestamp_ntz")))}

@@ -76,10 +76,33 @@ from {flow_version} v join (values ('todo', 'in_progress', 1, 'agent', true, tru
   as e(current, target, since, runner, cond_links, cond_checklist, cond_artifact) on e.since <= v.version
 """
 
+#: What is told of a story, in parts by importance: (story_id, part, place, line).
+BUNDLE_LINE = """
+select c_custkey as story_id, 1 as part, cast(0 as bigint) as place, concat('# ', c_name) as line from {customer}
+union all select story_id, 2, row_number() over (partition by story_id order by status_key), concat(status_key, ': ', cast(n as varchar(20))) from (select story_id, status_key, count(*) as n from {task} group by story_id, status_key) x
+union all select story_id, 3, 0, concat('tokens: ', cast(sum(input_tokens + output_tokens + cache_tokens) as varchar(30))) from {run} r join {task} t on t.task_id = r.task_id group by story_id
+union all select story_id, 4, task_id, concat('- ', code, ' ', status_key, ', ', priority) from {task} where status_key not in ('done', 'canceled', 'blocked')
+union all select story_id, 5, task_id, concat('! ', code, ' is blocked') from {task} where status_key = 'blocked'
+union all select story_id, 6, from_task, concat(code, ' ', kind, ' ', cast(to_task as varchar(20))) from {relation} join {task} on task_id = from_task
+union all select story_id, 7, row_number() over (partition by story_id order by code, kind), concat(code, ' ', kind, ': ', cast(n_closed as varchar(10)), ' of ', cast(n as varchar(10)))
+  from (select story_id, code, kind, count(*) as n, sum(case when status in ('done', 'closed') then 1 else 0 end) as n_closed from {item} i join {task} t on t.task_id = i.task_id group by story_id, code, kind) x
+union all select story_id, 8, row_number() over (partition by story_id order by code, text), concat('failed in ', code, ': ', text) from (select distinct story_id, code, text from {item} i join {task} t on t.task_id = i.task_id where status = 'failed') x
+union all select story_id, 9, row_number() over (partition by story_id order by code, kind), concat(code, ' ', kind, ' v', cast(version as varchar(20))) from (select story_id, code, kind, max(version) as version from {artifact} a join {task} t on t.task_id = a.task_id group by story_id, code, kind) x
+union all select story_id, 10, row_number() over (partition by story_id order by code), concat(code, ' has ', cast(n as varchar(10)), ' live runs') from (select story_id, code, count(*) as n from {run} r join {task} t on t.task_id = r.task_id where finished_at is null group by story_id, code) x
+union all select story_id, 11, row_number() over (partition by story_id order by reason_code), concat(reason_code, ': ', cast(n as varchar(10))) from (select story_id, coalesce(reason_code, 'unknown') as reason_code, count(*) as n from {run} r join {task} t on t.task_id = r.task_id where outcome = 'failed' group by story_id, coalesce(reason_code, 'unknown')) x
+union all select story_id, 12, task_id, concat('ended: ', code, ' ', status_key) from {task} where status_key in ('done', 'canceled')
+union all select story_id, 13, row_number() over (partition by story_id order by x.type_key, x.status_key), concat(x.type_key, ' in ', x.status_key, ': ', cast(n as varchar(10)), ' agents')
+  from (select distinct story_id, type_key, status_key from {task}) x join (select type_key, status_key, count(*) as n from {assignment} group by type_key, status_key) a on a.type_key = x.type_key and a.status_key = x.status_key
+union all select story_id, 14, row_number() over (partition by story_id order by current, target), concat(current, ' > ', target)
+  from (select distinct story_id, current, target from {task} t join {flow_transition} e on e.type_key = t.type_key and e.current = t.status_key where e.version = 3) x
+union all select c_custkey, 15, 0, concat('project ', mnemonic, ' ', project) from {customer} join {project} on project_id = c_nationkey
+"""
+
 #: Tables under each view, and the views' definitions.
 VIEWS = {
     "task": (TASK, ("orders", "customer")), "run": (RUN, ("lineitem",)), "relation": (RELATION, ("orders",)), "project": (PROJECT, ("nation",)), "card": (CARD, ("orders", "customer", "project")), "item": (ITEM, ("lineitem",)),
     "artifact": (ARTIFACT, ("lineitem",)), "assignment": (ASSIGNMENT, ("supplier",)), "flow_version": (FLOW_VERSION, ("nation",)), "flow_status": (FLOW_STATUS, ("flow_version",)), "flow_transition": (FLOW_TRANSITION, ("flow_version",)),
+    "bundle_line": (BUNDLE_LINE, ("customer", "task", "run", "relation", "item", "artifact", "assignment", "flow_transition", "project")),
 }
 
 
