@@ -47,3 +47,43 @@ def test_offsets_point_into_the_original():
     assert found == (5, [(2, 5)], {1})
     (a, b), = decontam.offsets(text, found[1])
     assert text[a:b] == b"one,  TWO (three"
+
+
+def generated(items, words, seed=7):
+    rnd = random.Random(seed)
+    vocabulary = [f"{rnd.choice('abcdefgh')}{rnd.randrange(3000)}" for _ in range(4000)]
+    bench = [(i, " ".join(rnd.choices(vocabulary, k=words))) for i in range(items)]
+    docs = []
+    for d in range(150):
+        parts = [" ".join(rnd.choices(vocabulary, k=rnd.randrange(200)))]
+        for _ in range(rnd.randrange(3)):
+            w = rnd.choice(bench)[1].split()
+            at = rnd.randrange(len(w) - 30)
+            parts += [" ".join(w[at : at + rnd.choice([9, 10, 11, 25])]).upper(), rnd.choice(vocabulary)]
+        docs.append((d, ", ".join(parts)))
+    passage = " ".join(bench[0][1].split()[:20])
+    docs += [(1000 + i, passage) for i in range(100)] + [(2000, " ".join(rnd.choices(vocabulary, k=100_000)) + " " + passage), (2001, bench[1][1] * 3), (2001, bench[1][1] * 3), (None, None)]
+    return docs, [*bench, (0, bench[0][1]), (None, bench[2][1]), (9999, "one two"), (9998, "one"), (9997, "")]
+
+
+def test_a_large_benchmark_meets_documents_by_anchors(spark):
+    docs, bench = generated(300, 300)
+    d = spark.createDataFrame([(*x, "k") for x in docs], "doc_id long, text string, row_key string").repartition(6)
+    b = spark.createDataFrame(bench, "item_id long, text string").repartition(6)
+    assert decontam.small_benchmark(b, "item_id", "text", 50_000) is None
+    rows = lambda df: sorted(([str(r[c]) for c in ("doc_id", "n_words", "n_hit", "n_items", "item_ids", "hit_words", "hit_bytes")] for r in df.collect()))
+    whole = rows(decontam.scan(d, b, block_bytes=1 << 30))
+    assert rows(decontam.scan(d, b, block_bytes=50_000)) == whole and rows(decontam.scan(d, b, block_bytes=1000)) == whole
+    assert sum(r[2] != "0" for r in whole) > 150
+    clean = [sorted(((r.doc_id, r.text or "", r.row_key) for r in decontam.clean(d, b, block_bytes=limit).collect()), key=str) for limit in (1 << 30, 50_000)]
+    assert clean[0] == clean[1] and 0 < len(clean[0]) < len(docs)
+
+
+def test_anchors_of_a_window_are_those_of_a_text_that_holds_it():
+    rnd = random.Random(1)
+    words = [rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(400)]
+    for size in range(1, 11):
+        all_of = set(decontam.anchors(words, size).tolist())
+        for at in range(0, len(words) - size, 7):
+            assert set(decontam.anchors(words[at : at + size], size).tolist()) <= all_of
+        assert len(decontam.anchors(words[:size], size)) == 1 and len(decontam.anchors(words[: size - 1], size)) == 0

@@ -4,9 +4,14 @@ A text is normalised to its words, lower-cased, with one space before, between a
 run of `window` of its words in the same form (a shorter item is one window). The automaton holds all windows; a text is
 scanned once, and the end of an occurrence is mapped to word numbers, and to the byte offsets of the original.
 
-The automaton is built from the benchmark's texts, which go to every executor. That is done only while their size is
-at most BLOCK_BYTES; a larger benchmark is dealt into blocks under that size, each with its own automaton and pass, and
-the covered spans of the passes are united by document row, so the result is the same.
+One automaton is built from the benchmark's texts, which go to every executor, while their size is at most BLOCK_BYTES. With
+a larger benchmark each document meets only the items that it may hold, and one automaton is built over those:
+1. Every run of as many words as a window has is told by its anchor, the least hash of three words in it (of the whole run
+   if it has fewer). A window that occurs has its anchor among the text's, of which there are about two in nine words.
+2. A join on anchors gives each document's candidate items; equal item texts are one item there.
+3. Documents with candidates and the texts of these meet by row, sorted, and stream through a kernel that builds automata of
+   at most BLOCK_BYTES for one document at a time. So results are those of one automaton; documents are read once, and
+   neither the driver nor a task holds the benchmark.
 
 Defined results: null, empty and wordless texts have no words, hits or items; items without words match nothing; equal
 windows of several items count for each; an item without an id makes hits but is not counted; repeated rows each give a row; empty tables give no rows, or no hits.
@@ -14,17 +19,19 @@ windows of several items count for each; an item without an id makes hits but is
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton.
+#: Bytes of benchmark text in one automaton, at most (or one item).
 BLOCK_BYTES = 4 << 20
 
 #: Lower-cases A-Z; all ASCII but letters and digits becomes a space.
@@ -92,26 +99,26 @@ def offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(start[a]), int(end[b - 1])) for a, b in spans]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[tuple]:
-    """The benchmark's items in blocks of at most so many bytes (or one item), read block by block."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    if total <= most:
-        return [tuple(sorted(((r.item, r.text) for r in items.collect()), key=str))]
-    n = -(-2 * total // most)
-    dealt = runtime.written(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "decontam-items")
-    out = []
-    for k in range(n):
-        rows, size = [], 0
-        for r in dealt.filter(F.col("block") == k).toLocalIterator():
-            if rows and size + len(r.text) > most:
-                out.append(tuple(rows))
-                rows, size = [], 0
-            rows.append((r.item, r.text))
-            size += len(r.text)
-        if rows:
-            out.append(tuple(sorted(rows, key=str)))
-    return out
+def small_benchmark(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> tuple | None:
+    """The items, if their texts have at most so many bytes."""
+    items = benchmark.select(runtime.column(item_col).alias("item"), runtime.column(text_col).alias("text")).filter("text is not null")
+    if (items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) > most:
+        return None
+    return tuple(sorted(((r.item, r.text) for r in items.collect()), key=str))
+
+
+def _found(texts: list[bytes], scans: list[tuple[int, list[tuple[int, int]], set]]) -> dict[str, list]:
+    return {
+        "n_words": [n for n, _, _ in scans],
+        "n_hit": [sum(b - a for a, b in spans) for _, spans, _ in scans],
+        "n_items": [len(items) for _, _, items in scans],
+        "item_ids": [sorted(map(str, items)) for _, _, items in scans],
+        "hit_words": [[x for s in spans for x in s] for _, spans, _ in scans],
+        "hit_bytes": [[x for s in offsets(t, spans) for x in s] if spans else [] for t, (_, spans, _) in zip(texts, scans, strict=True)],
+    }
+
+
+FOUND = "n_words long, n_hit long, n_items long, item_ids array<string>, hit_words array<long>, hit_bytes array<long>"
 
 
 def scan(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -119,60 +126,111 @@ def scan(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
     hit_words and hit_bytes are arrays of start, end, start, end, ...: united spans of words, and of bytes of the text.
     """
-    blocks = _blocks(benchmark, item_col, item_text, block_bytes) or [()]
-    schema = "n_words long, n_hit long, n_items long, item_ids array<string>, hit_words array<long>, hit_bytes array<long>"
-
-    def one_pass(rows: DataFrame, keep: list[str], block: tuple) -> DataFrame:
-        def kernel(texts: list[bytes]) -> dict[str, list]:
-            of = windows(block, window)
-            found = [of.scan(t) for t in texts]
-            return {
-                "n_words": [n for n, _, _ in found],
-                "n_hit": [sum(b - a for a, b in spans) for _, spans, _ in found],
-                "n_items": [len(items) for _, _, items in found],
-                "item_ids": [sorted(map(str, items)) for _, _, items in found],
-                "hit_words": [[x for s in spans for x in s] for _, spans, _ in found],
-                "hit_bytes": [[x for s in offsets(t, spans) for x in s] if spans else [] for t, (_, spans, _) in zip(texts, found, strict=True)],
-            }
-
-        return runtime.map_rows(rows, keep, text_col, kernel, schema)
-
-    if len(blocks) == 1:
-        return one_pass(df, [id_col], blocks[0])
-    rows = runtime.written(df.select(id_col, text_col).withColumn("row_key", F.expr("uuid()")), "decontam-rows")
-    passes = None
-    for block in blocks:
-        made = one_pass(rows, [id_col, "row_key"], block)
-        passes = made if passes is None else passes.unionByName(made)
-    return united(passes, id_col)
+    items = small_benchmark(benchmark, item_col, item_text, block_bytes)
+    if items is None:
+        rows = runtime.written(df.select(runtime.column(id_col).alias("id"), runtime.column(text_col).alias("text")).withColumn("row_key", F.monotonically_increasing_id()), "decontam-rows")
+        counts, found = _joined(rows, benchmark, item_col, item_text, window, block_bytes)
+        none = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>"), "hit_words": F.array().cast("array<long>"), "hit_bytes": F.array().cast("array<long>")}
+        both = counts.join(found, "row_key", "left")
+        return both.select(F.col("id").alias(id_col), "n_words", *(F.coalesce(c, v).alias(c) for c, v in none.items()))
+    return runtime.map_rows(df, [id_col], text_col, lambda texts: _found(texts, [windows(items, window).scan(t) for t in texts]), FOUND)
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """df without the rows in whose text a window occurs; with many blocks each pass gets what the one before kept."""
-    for block in _blocks(benchmark, item_col, item_text, block_bytes):
-
-        def kernel(texts: list[bytes], block=block) -> dict[str, list]:
-            of = windows(block, window)
-            return {"hit": [bool(of.scan(t)[1]) for t in texts]}
-
-        df = runtime.with_made(df, text_col, kernel, "hit boolean", lambda rows: rows.filter("not hit"))
-    return df
-
-
-def united(passes: DataFrame, id_col: str) -> DataFrame:
-    """Several passes over the same rows (row_key) as one: spans united, items merged."""
-
-    def spans(column: str) -> str:
-        pairs = f"array_sort(flatten(collect_list(transform(sequence(1, size({column}) div 2), i -> struct({column}[2 * i - 2] as a, {column}[2 * i - 1] as b)))))"
-        pairs = pairs.replace(f"sequence(1, size({column}) div 2)", f"if(size({column}) = 0, array(), sequence(1, size({column}) div 2))")
-        step = "if(size(acc) > 0 and x.a <= element_at(acc, -1), concat(slice(acc, 1, size(acc) - 1), array(greatest(element_at(acc, -1), x.b))), concat(acc, array(x.a, x.b)))"
-        return f"aggregate({pairs}, cast(array() as array<bigint>), (acc, x) -> {step})"
-
-    return (
-        passes.groupBy("row_key")
-        .agg(F.first(id_col, ignorenulls=False).alias(id_col), F.max("n_words").alias("n_words"), F.expr("array_sort(array_distinct(flatten(collect_list(item_ids))))").alias("item_ids"), F.expr(spans("hit_words")).alias("hit_words"), F.expr(spans("hit_bytes")).alias("hit_bytes"))
-        .select(id_col, "n_words", F.expr("aggregate(transform(hit_words, (x, i) -> if(i % 2 = 0, -x, x)), 0L, (s, x) -> s + x)").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "hit_words", "hit_bytes")
-    )
+    """df without the rows in whose text a window occurs."""
+    items = small_benchmark(benchmark, item_col, item_text, block_bytes)
+    if items is None:
+        rows = runtime.written(runtime.numbered(df).withColumn("row_key", F.monotonically_increasing_id()), "decontam-rows")
+        texts = rows.select("row_key", F.lit(None).cast("long").alias("id"), F.col(f"in_{df.columns.index(text_col)}").alias("text"))
+        hit = _joined(texts, benchmark, item_col, item_text, window, block_bytes)[1].filter("n_hit > 0")
+        return rows.join(hit.select("row_key"), "row_key", "left_anti").drop("row_key").toDF(*df.columns)
+    return runtime.with_made(df, text_col, lambda texts: {"hit": [bool(windows(items, window).scan(t)[1]) for t in texts]}, "hit boolean", lambda rows: rows.filter("not hit"))
+
+
+def anchors(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct anchors of all runs of so many words: least hashes of three words, told apart by size."""
+    if len(words) < size or not size:
+        return np.zeros(0, np.int64)
+    of = xxhash.xxh64_intdigest
+    each = np.fromiter((of(w, size) for w in words), np.uint64, len(words))
+    width = min(3, size)
+    with np.errstate(over="ignore"):
+        mixed = np.zeros(len(words) - width + 1, np.uint64)
+        for k in range(width):
+            mixed = (mixed ^ each[k : len(each) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(mixed, size - width + 1).min(axis=1)).view(np.int64)
+
+
+def _joined(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, window: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (row_key, id, text): (row_key, id, n_words) of all, and what scan() returns of those with candidates, by row_key."""
+    spark = rows.sparkSession
+    texts = benchmark.select(runtime.column(item_col).cast("string").alias("item"), runtime.column(item_text).alias("text")).filter("text is not null")
+    alike = texts.groupBy("text").agg(F.collect_set("item").alias("items")).withColumn("item_key", F.monotonically_increasing_id())
+    alike = runtime.written(alike, "decontam-items")
+
+    def of_items(found: list[bytes]) -> dict[str, list]:
+        words = [words_of(t) for t in found]
+        return {"size": [min(window, len(w)) for w in words], "anchors": [anchors(w, min(window, len(w))) for w in words]}
+
+    parts = runtime.written(runtime.map_rows(alike, ["item_key"], "text", of_items, "size long, anchors array<long>").filter("size > 0"), "decontam-anchors")
+    sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())  # at most `window` numbers
+
+    def of_rows(found: list[bytes]) -> dict[str, list]:
+        words = [words_of(t) for t in found]
+        return {"n_words": list(map(len, words)), "anchors": [np.concatenate([anchors(w, s) for s in sizes] or [np.zeros(0, np.int64)]) for w in words]}
+
+    known = runtime.written(runtime.map_rows(rows, ["row_key", "id"], "text", of_rows, "n_words long, anchors array<long>"), "decontam-words")
+    pairs = known.select("row_key", F.explode("anchors").alias("anchor")).join(parts.select("item_key", F.explode("anchors").alias("anchor")), "anchor").select("row_key", "item_key").distinct()
+    pairs = runtime.written(pairs, "decontam-pairs")
+    asked = rows.join(pairs.select("row_key").distinct(), "row_key", "left_semi").select("row_key", F.lit(-1).cast("long").alias("item_key"), "text", F.array().cast("array<string>").alias("items"))
+    both = asked.unionByName(pairs.join(alike, "item_key").select("row_key", "item_key", "text", "items")).repartition("row_key").sortWithinPartitions("row_key", "item_key")
+    return known.select("row_key", "id", "n_words"), both.mapInArrow(_verified(window, block_bytes), f"row_key long, {FOUND}").drop("n_words")
+
+
+def _verified(window: int, block_bytes: int):
+    """Kernel: a document, then its candidate items, row after row; one result a document."""
+    kinds = [(x.split(" ")[0], runtime.TYPES[x.split(" ")[1]]) for x in FOUND.split(", ")]
+    schema = pa.schema([("row_key", pa.int64()), *kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, text, held, size, spans, items = None, b"", [], 0, [], set()
+
+        def look() -> None:
+            nonlocal held, size, spans
+            _, more, owners = Windows(tuple(held), window).scan(text)
+            for of in owners:
+                items.update(of)
+            merged: list[list[int]] = []
+            for a, b in sorted([*spans, *more]):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            held, size, spans = [], 0, [tuple(s) for s in merged]
+
+        def done() -> pa.RecordBatch:
+            if held:
+                look()
+            made = _found([text], [(len(words_of(text)), spans, items)])
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *(pa.array(made[n], t) for n, t in kinds)], schema=schema)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k, item, raw, owners = (batch.column(j)[i].as_py() for j in range(4))
+                if item < 0:
+                    if key is not None:
+                        yield done()
+                    key, text, held, size, spans, items = k, (raw or "").encode(), [], 0, [], set()
+                    continue
+                if held and size + len(raw) > block_bytes:
+                    look()
+                held.append((tuple(owners), raw))
+                size += len(raw)
+        if key is not None:
+            yield done()
+
+    return run
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
