@@ -146,6 +146,16 @@ def test_task_lists(spark):
 def test_read_only_statements(spark):
     df = spark.range(100)
     assert reports.read_only(spark, "select id from {t};", t=df).count() == 50
-    for bad in ("delete from {t}", "select 1; select 2", "with x as (select 1) insert into y select * from x"):
+    assert reports.read_only(spark, "with drop as (select 'delete; from' as id from {t}) select id from drop -- set", t=df).first().id == "delete; from"
+    for bad in ("delete from {t}", "select 1; select 2", "with x as (select 1) insert into y select * from x", "set a = 1", "explain select 1", "create table z as select 1", "drop view x", "show tables", "describe {t}", "refresh table z", "call p()", "cache table z as select 1", "nonsense", "use x", "truncate table z", "insert into y values (1)"):
         with pytest.raises(ValueError):
             reports.read_only(spark, bad, t=df)
+
+
+def test_scheduler_rows_grow_no_faster_than_tasks(spark):
+    from tideline.plans.decisions import scheduler_decisions
+    from tideline.sources.adapter import table
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        tasks = table(spark, sf, "task").filter("status_key in ('todo', 'in_progress', 'in_review', 'in_testing')").count()
+        assert tasks / 2 < scheduler_decisions(spark, sf).count() < 2 * tasks

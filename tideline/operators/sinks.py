@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
+from . import commits
 
 
 def snapshot(tables: dict[str, DataFrame], path: str, partition_by: dict[str, list[str]] | None = None) -> None:
@@ -47,6 +48,23 @@ def write_if_changed(df: DataFrame, path: str, known_digest: str | None) -> tupl
     return digest, True
 
 
+def texts_of(spark: SparkSession, root: str, key: str, kind: str) -> DataFrame:
+    """The newest text of each key under a root, its digest, and how often it was written."""
+    rows = spark.read.schema(f"{key} {kind}, text string, digest string, version int").option("recursiveFileLookup", "true").parquet(root)
+    last = rows.groupBy(key).agg(F.max_by(F.struct("text", "digest"), "version").alias("x"), F.count(F.lit(1)).cast("int").alias("written"))
+    return last.select(key, "x.text", "x.digest", "written")
+
+
+def changed_texts(df: DataFrame, root: str, key: str) -> None:
+    """Writes the texts (key, text) whose digest differs from the newest one under root; keys and digests meet in a join."""
+    new = df.withColumn("digest", F.sha2("text", 256))
+    version = len(commits.names_in(df.sparkSession, root)) + 1
+    if version > 1:
+        known = texts_of(df.sparkSession, root, key, df.schema[key].dataType.simpleString()).select(key, "digest")
+        new = new.join(known, [key, "digest"], "left_anti")
+    new.select(key, "text", "digest", F.lit(version).alias("version")).write.parquet(f"{root}/{version}")
+
+
 def server_events(df: DataFrame, name: str) -> DataFrame:
     """Rows as the text of server-sent events."""
     return df.select(F.concat(F.lit(f"event: {name}\ndata: "), F.to_json(F.struct(*df.columns)), F.lit("\n\n")).alias("value"))

@@ -26,5 +26,5 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()):
     return keep
 
 
-for family in ("queue", "runs", "rules", "documents", "events", "texts", "sinks", "views", "decisions", "tasklist", "small", "writes", "drafts", "files", "commits", "graphs", "calls"):
+for family in ("queue", "runs", "rules", "documents", "events", "texts", "sinks", "views", "decisions", "tasklist", "small", "writes", "drafts", "files", "commits", "graphs", "calls", "stories"):
     import_module(f".{family}", __package__)

@@ -78,16 +78,17 @@ def snapshot_counts(spark, sf):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("select true as first, false as again, true as changed, 5 as settings")
+CONFIG_SQL = """select s_nationkey as connection, concat('[', string_agg(concat('{"s_suppkey":', cast(s_suppkey as varchar), ',"s_name":"', NAME, '"}'), ',' order by s_suppkey), ']') as text from supplier group by 1"""
+
+
+@query(f"with a as ({CONFIG_SQL.replace('NAME', 's_name')}), b as ({CONFIG_SQL.replace('NAME', 'case when s_nationkey % 3 = 0 then lower(s_name) else s_name end')}) select connection, b.text, sha256(b.text) as digest, cast(case when a.text = b.text then 1 else 2 end as integer) as written from a join b using (connection)")
 def settings_written(spark, sf):
-    """Settings are written when their digest is a new one, not again, and again after a change."""
-    root = new_path(spark, "settings")
-    rows = table(spark, sf, "region").select("r_regionkey", "r_name")
-    digest, first = sinks.write_if_changed(rows, root, None)
-    _, again = sinks.write_if_changed(rows, root, digest)
-    _, changed = sinks.write_if_changed(rows.withColumn("r_name", F.lower("r_name")), root, digest)
-    n = len(json.loads(spark.read.text(root).first().value))
-    return spark.createDataFrame([(first, again, changed, n)], "first boolean, again boolean, changed boolean, settings int")
+    """A configuration text for each connection, written only where its digest is a new one: after no change, and after one of some."""
+    root, rows = new_path(spark, "settings"), table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+    texts = lambda df: df.groupBy(F.col("s_nationkey").alias("connection")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name")))).alias("text"))
+    for version in (rows, rows, rows.withColumn("s_name", F.when(F.col("s_nationkey") % 3 == 0, F.lower("s_name")).otherwise(F.col("s_name")))):
+        sinks.changed_texts(texts(version), root, "connection")
+    return sinks.texts_of(spark, root, "connection", "int")
 
 
 @query("""select event_id, concat('event: ', event_type, chr(10), 'data: {"event_id":', cast(event_id as varchar), ',"user_id":', cast(user_id as varchar), '}', chr(10), chr(10)) as value from events where event_type = 'purchase'""")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graphs
 from ..operators import relational as R
 from ..operators.rules import PREDICATES, mirrored
 from ..sources.adapter import table
@@ -61,40 +62,34 @@ def plan_staleness(spark, sf):
     return rows.select("task_id", "stamp", F.when(stamp.isNull() & (F.col("type_key") == "story"), "missing").when(stamp < F.col("ref_version"), "stale").otherwise("fresh").alias("plan"))
 
 
-# A flow with an unreachable status and a dead end, for the checks.
-DRAFT = [("new", "todo"), ("todo", "work"), ("work", "check"), ("check", "work"), ("check", "done"), ("work", "stuck"), ("island", "done")]
-NODES = [("new", True, False), ("todo", False, False), ("work", False, False), ("check", False, False), ("done", False, True), ("stuck", False, False), ("island", False, False)]
-DRAFT_SQL = f"edge(a, b) as (values {', '.join(map(str, DRAFT))}), node(key, is_entry, is_terminal) as (values {', '.join(f'{n!r}, {e}, {t}'.join('()') for n, e, t in NODES)})"
+def _ways(spark, sf) -> DataFrame:
+    """Which statuses of a version lead to which, directly or not."""
+    edges = table(spark, sf, "flow_transition").select(F.struct("version_id", F.col("current").alias("status_key")).alias("a"), F.struct("version_id", F.col("target").alias("status_key")).alias("b"))
+    return graphs.reachable(edges)[0].select(F.col("a.version_id").alias("version_id"), F.col("a.status_key").alias("a"), F.col("b.status_key").alias("b"))
 
 
-def _draft(spark) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(NODES, "key string, is_entry boolean, is_terminal boolean"), spark.createDataFrame(DRAFT, "a string, b string")
+WAYS_SQL = "+ ways(version_id, a, b) as (select version_id, current, target from flow_transition union select w.version_id, w.a, t.target from ways w join flow_transition t on t.version_id = w.version_id and t.current = w.b), s as (from flow_status)"
 
 
-@query(f"with recursive {DRAFT_SQL}, walk(key, n) as (select key, 0 from node where is_entry union all select b, n + 1 from walk join edge on a = key where n < 7) select node.key, node.key in (select key from walk) as reachable from node")
+@query(f"{WAYS_SQL} select version_id, status_key as key, coalesce(is_entry, false) or exists (select 1 from ways w join s e on e.version_id = w.version_id and e.status_key = w.a and e.is_entry where w.version_id = s.version_id and w.b = s.status_key) as reachable from s", ("flow_version", "flow_status", "flow_transition"))
 def flow_reachability(spark, sf):
-    nodes, edges = _draft(spark)
-    seen = R.closure(edges, nodes.filter("is_entry").select(F.col("key").alias("node")), len(NODES))
-    return nodes.join(F.broadcast(seen.withColumn("seen", F.lit(True))), F.col("key") == F.col("node"), "left").select("key", F.coalesce("seen", F.lit(False)).alias("reachable"))
+    """Statuses of every version that can be reached from its entry."""
+    statuses = table(spark, sf, "flow_status").select("version_id", F.col("status_key").alias("key"), F.coalesce("is_entry", F.lit(False)).alias("is_entry"))
+    begins = statuses.filter("is_entry").select("version_id", F.col("key").alias("a"))
+    seen = _ways(spark, sf).join(begins, ["version_id", "a"]).select("version_id", F.col("b").alias("key"), F.lit(True).alias("seen")).distinct()
+    return statuses.join(seen, ["version_id", "key"], "left").select("version_id", "key", (F.col("is_entry") | F.coalesce("seen", F.lit(False))).alias("reachable"))
 
 
-@query(f"""with recursive {DRAFT_SQL}, walk(key, n) as (select key, 0 from node where is_entry union all select b, n + 1 from walk join edge on a = key where n < 7), back(key, n) as (select key, 0 from node where is_terminal union all select a, n + 1 from back join edge on b = key where n < 7)
-  select key, 'unreachable' as problem from node where key not in (select key from walk) union all select key, 'no_way_to_end' from node where key not in (select key from back)
-  union all select key, 'dead_end' from node where not is_terminal and key not in (select a from edge) union all select key, 'leaves_terminal' from node where is_terminal and key in (select a from edge)""")
+@query(f"""{WAYS_SQL} select version_id, status_key as key, 'no_way_to_end' as problem from s where is_terminal is not true and not exists (select 1 from ways w join s e on e.version_id = w.version_id and e.status_key = w.b and e.is_terminal where w.version_id = s.version_id and w.a = s.status_key)
+  union all select version_id, status_key, 'dead_end' from s where is_terminal is not true and (version_id, status_key) not in (select version_id, current from flow_transition) union all select version_id, status_key, 'leaves_terminal' from s where is_terminal and (version_id, status_key) in (select version_id, current from flow_transition)""", ("flow_version", "flow_status", "flow_transition"))
 def flow_validation(spark, sf):
-    """What is wrong with a flow's draft, one row a problem."""
-    nodes, edges = _draft(spark)
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    start = lambda flag: nodes.filter(flag).select(F.col("key").alias("node"))
-    lacks = lambda seen: nodes.join(seen, F.col("key") == F.col("node"), "left_anti")
-    out = edges.select(F.col("a").alias("node")).distinct()
-    found = {
-        "unreachable": lacks(R.closure(edges, start("is_entry"), len(NODES))),
-        "no_way_to_end": lacks(R.closure(back, start("is_terminal"), len(NODES))),
-        "dead_end": lacks(out).filter("not is_terminal"),
-        "leaves_terminal": nodes.join(out, F.col("key") == F.col("node"), "left_semi").filter("is_terminal"),
-    }
-    return reduce(DataFrame.unionByName, (d.select("key", F.lit(k).alias("problem")) for k, d in found.items()))
+    """What is wrong with the statuses of every version, one row a problem."""
+    statuses = table(spark, sf, "flow_status").select("version_id", F.col("status_key").alias("key"), F.coalesce("is_terminal", F.lit(False)).alias("over"))
+    ends = statuses.filter("over").select("version_id", F.col("key").alias("b"))
+    leads = _ways(spark, sf).join(ends, ["version_id", "b"]).select("version_id", F.col("a").alias("key")).distinct()
+    out = table(spark, sf, "flow_transition").select("version_id", F.col("current").alias("key")).distinct()
+    found = {"no_way_to_end": statuses.filter("not over").join(leads, ["version_id", "key"], "left_anti"), "dead_end": statuses.filter("not over").join(out, ["version_id", "key"], "left_anti"), "leaves_terminal": statuses.filter("over").join(out, ["version_id", "key"], "left_semi")}
+    return reduce(DataFrame.unionByName, (d.select("version_id", "key", F.lit(k).alias("problem")) for k, d in found.items()))
 
 
 @query("select type_key, status_key, count(*) as in_flight from task where status_key not in (select unnest(['todo', 'in_progress', 'in_testing', 'blocked', 'done', 'canceled'])) group by 1, 2", ("task",))

@@ -19,12 +19,15 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     return R.upsert(last("event_id <= 500"), last("event_id > 500"), ["user_id"])
 
 
-@query("select k as setting, coalesce(v, d) as value from (values ('tick', '30'), ('attempts', '3'), ('parallel', '4')) t(k, d) left join (values ('attempts', '5'), ('other', '1')) s(n, v) on n = k")
+@query("""with defaults as (select concat(lower(s.c_mktsegment), '.', cast(n_nationkey as varchar)) as setting, n_regionkey as base from nation, (select distinct c_mktsegment from customer) s), stored as (select concat(lower(c_mktsegment), '.', cast(c_nationkey as varchar)) as setting, arg_max(c_custkey, c_custkey) as own from customer where c_acctbal > 5000 group by 1)
+  select setting, cast(coalesce(own, base) as varchar) as value, own is null as by_default from defaults left join stored using (setting)""")
 def settings_with_defaults(spark, sf):
-    """Stored settings over their defaults; unknown ones are not settings."""
-    defaults = spark.createDataFrame([("tick", "30"), ("attempts", "3"), ("parallel", "4")], "setting string, base string")
-    stored = spark.createDataFrame([("attempts", "5"), ("other", "1")], "setting string, own string")
-    return defaults.join(stored, "setting", "left").select("setting", F.coalesce("own", "base").alias("value"))
+    """Stored settings over their defaults: the last stored value of a name, else its default."""
+    kinds = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("kind")).distinct().agg(F.collect_set("kind").alias("kinds"))  # five kinds
+    defaults = table(spark, sf, "nation").join(F.broadcast(kinds)).select(F.explode("kinds").alias("kind"), "n_nationkey", "n_regionkey").select(F.concat_ws(".", "kind", F.col("n_nationkey").cast("string")).alias("setting"), F.col("n_regionkey").cast("string").alias("base"))
+    name = F.concat_ws(".", F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"))
+    stored = table(spark, sf, "customer").filter("c_acctbal > 5000").groupBy(name.alias("setting")).agg(F.max("c_custkey").cast("string").alias("own"))
+    return defaults.join(stored, "setting", "left").select("setting", F.coalesce("own", "base").alias("value"), F.col("own").isNull().alias("by_default"))
 
 
 @query("select i as n, concat('generated ', cast(i as varchar), ' of ', r_name) as title from region, range(1, 1001) t(i) where r_regionkey = i % 5")

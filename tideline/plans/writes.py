@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import sinks
-from ..operators.rules import PREDICATES
 from ..sources.adapter import table
 from .catalog import query
 
@@ -83,10 +82,12 @@ def tags_in_use(spark, sf):
     return brands.unionByName(part.groupBy(F.concat(F.lit("type "), "p_type").alias("tag")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("select key as name from (values ('blocked_by_children'), ('children_all_blocked'), ('children_all_closed'), ('children_any_active'), ('psi_manager_approved'), ('psi_manager_rejected'), ('psi_plan_registered_current')) v(key)")
+@query("""select name, kind, count(*) as uses, count(distinct version_id) as versions from (select version_id, unnest(string_split(behaviors, ',')) as name, 'behaviour' as kind from flow_status union all select version_id, runner, 'runner' from flow_transition union all select version_id, gate, 'gate' from flow_status where gate is not null) x where name <> '' group by 1, 2""", ("flow_version", "flow_status", "flow_transition"))
 def predicate_registry(spark, sf):
-    """The registry of named conditions as a table."""
-    return spark.createDataFrame([(k,) for k in sorted(PREDICATES)], "name string")
+    """The registry of the names that flows use: behaviours, runners and gates, with their uses."""
+    statuses, edges = table(spark, sf, "flow_status"), table(spark, sf, "flow_transition")
+    parts = [statuses.select("version_id", F.explode(F.split("behaviors", ",")).alias("name"), F.lit("behaviour").alias("kind")), edges.select("version_id", F.col("runner").alias("name"), F.lit("runner").alias("kind")), statuses.filter("gate is not null").select("version_id", F.col("gate").alias("name"), F.lit("gate").alias("kind"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("name <> ''").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("version_id").alias("versions"))
 
 
 @query("select name, n from (values ('documents', (select count(*) from documents)), ('events', (select count(*) from events)), ('lineitem', (select count(*) from lineitem)), ('nation', (select count(*) from nation)), ('orders', (select count(*) from orders))) v(name, n)")
