@@ -102,3 +102,70 @@ def test_boosting_rounds_in_plain_code():
             step = plain_tree([(b, t - v, v * (1 - v)) for b, t, v in zip(at, y, q)], 2)
             total = [t + 0.1 * step(b) for t, b in zip(total, at)]
     assert model.score(x) == pytest.approx([1 / (1 + np.exp(-t)) for t in total], abs=1e-9)
+
+
+def plain_cut(rows, axis, bins):
+    """The best cut along an axis of rows (a, b, gradient, curvature), tried one by one; a cut that leaves too little counts 0."""
+    g, h = sum(r[2] for r in rows), sum(r[3] for r in rows)
+    found = []
+    for at in range(1, bins):
+        left, right = [r for r in rows if r[axis] < at], [r for r in rows if r[axis] >= at]
+        hl, hr = sum(r[3] for r in left), sum(r[3] for r in right)
+        gain = sum(r[2] for r in left) ** 2 / (hl + 1) + sum(r[2] for r in right) ** 2 / (hr + 1) - g * g / (h + 1)
+        found.append((gain if hl >= 2 and hr >= 2 else 0.0, -at))
+    gain, at = max(found, default=(0.0, 0))
+    return gain, -at
+
+
+def plain_pair_tree(rows, shape):
+    """Gain, and the step of a cell, of the better of the two trees that cut one axis and then each side along the other."""
+    mean = lambda some: sum(r[2] for r in some) / (sum(r[3] for r in some) + 1)
+    best = 0.0, lambda a, b: mean(rows)
+    for axis in (0, 1):
+        gain, cut = plain_cut(rows, axis, shape[axis])
+        if gain <= 1e-9:
+            continue
+        leaves = {}
+        for low in (True, False):
+            side = [r for r in rows if (r[axis] < cut) == low]
+            more, other = plain_cut(side, 1 - axis, shape[1 - axis])
+            gain += more
+            halves = [[r for r in side if r[1 - axis] < other], [r for r in side if r[1 - axis] >= other]] if more > 1e-9 else [side, side]
+            leaves[low] = other, mean(halves[0]), mean(halves[1])
+
+        def step(a, b, axis=axis, cut=cut, leaves=leaves):
+            one, two = (a, b) if axis == 0 else (b, a)
+            other, low, high = leaves[one < cut]
+            return low if two < other else high
+
+        if gain > best[0]:
+            best = gain, step
+    return best
+
+
+def test_pairs_in_plain_code():
+    """Choice of pairs and two cyclic rounds over them, row by row, behind one round over the features; then whole scores."""
+    rnd = np.random.default_rng(2)
+    x = rnd.integers(0, 5, (220, 4)).astype(float)
+    y = (((x[:, 0] > 2) ^ (x[:, 2] > 1)) ^ (rnd.random(220) < 0.1)).astype(float)
+    model = quality.fit(x, y, rounds=1, bins=16, pair_bins=5, pairs=2, pair_rounds=2)
+    p = (y.sum() + 1) / (len(y) + 2)
+    total = [float(np.log(p / (1 - p)))] * len(y)
+    sigmoid = lambda t: 1 / (1 + np.exp(-t))
+    for k in range(4):
+        at = [sum(v >= e for e in model.edges[k]) for v in x[:, k]]
+        q = [sigmoid(t) for t in total]
+        step = plain_tree([(b, t - v, v * (1 - v)) for b, t, v in zip(at, y, q)], 2)
+        total = [t + 0.1 * step(b) for t, b in zip(total, at)]
+    edges = [sorted({float(np.quantile(x[:, k], i / 5)) for i in range(1, 5)}) for k in range(4)]
+    at = [[sum(v >= e for e in edges[k]) for v in x[:, k]] for k in range(4)]
+    shape = lambda a, b: (len(edges[a]) + 1, len(edges[b]) + 1)
+    rows = lambda a, b: [(i, j, t - sigmoid(s), sigmoid(s) * (1 - sigmoid(s))) for i, j, t, s in zip(at[a], at[b], y, total)]
+    gains = sorted((-plain_pair_tree(rows(a, b), shape(a, b))[0], a, b) for a in range(4) for b in range(a + 1, 4))
+    pairs = [(a, b) for _, a, b in gains[:2]]
+    assert model.pairs == pairs and (0, 2) in pairs
+    for _ in range(2):
+        for a, b in pairs:
+            step = plain_pair_tree(rows(a, b), shape(a, b))[1]
+            total = [t + 0.1 * step(i, j) for t, i, j in zip(total, at[a], at[b])]
+    assert model.score(x) == pytest.approx([sigmoid(t) for t in total], abs=1e-9)
