@@ -35,22 +35,23 @@ def contains_or_begins(needle: str, anywhere: Column, at_start: Column) -> Colum
     return F.lit(True) if not q else anywhere.ilike(f"%{q}%") | at_start.ilike(f"{q}%")
 
 
-# The marks of checklist lines and what they say.
+# The marks of checklist lines and what they say; headings, items and task codes.
 MARKS = {"-": "todo", "~": "in_progress", "x": "closed", "+": "done", "!": "failed"}
+HEADING, ITEM = r"^(#{1,5})\s+(.*)$", r"^([~+x!\-])\s+(.*)$"
+CODE = "([A-Z][A-Z0-9]{1,9}-[0-9]+)"
 
 
 def checklist_line(line: Column) -> Column:
     """A struct (kind, level, text, status) of a trimmed line that is not blank."""
-    heading, item = r"^(#{1,5})\s+(.*)$", r"^([~+x!\-])\s+(.*)$"
-    mark = F.regexp_extract(line, item, 1)
+    mark = F.regexp_extract(line, ITEM, 1)
     status = reduce(lambda w, m: w.when(mark == m[0], m[1]), MARKS.items(), F.when(F.lit(False), "")).otherwise("todo")
     of = lambda kind, level, text, state: F.struct(F.lit(kind).alias("kind"), level.cast("int").alias("level"), text.alias("text"), state.alias("status"))
-    return F.when(line.rlike(heading), of("heading", F.length(F.regexp_extract(line, heading, 1)), F.regexp_extract(line, heading, 2), F.lit(None).cast("string"))).otherwise(of("item", F.lit(None), F.when(line.rlike(item), F.regexp_extract(line, item, 2)).otherwise(line), status))
+    return F.when(line.rlike(HEADING), of("heading", F.length(F.regexp_extract(line, HEADING, 1)), F.regexp_extract(line, HEADING, 2), F.lit(None).cast("string"))).otherwise(of("item", F.lit(None), F.when(line.rlike(ITEM), F.regexp_extract(line, ITEM, 2)).otherwise(line), status))
 
 
 def codes(c: Column) -> Column:
     """Task codes in a text, each once, in order."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit("([A-Z][A-Z0-9]{1,9}-[0-9]+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(CODE), F.lit(1)))
 
 
 def whole_minutes(until: Column, since: Column) -> Column:

@@ -71,7 +71,8 @@ def server_events(df: DataFrame, name: str) -> DataFrame:
 
 
 def appended(df: DataFrame, name: str) -> DataFrame:
-    """Rows written behind what a table of this name and session has, in append mode, and read back."""
-    path = new_path(df.sparkSession, name)
-    df.write.mode("append").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Rows appended to a table that is empty, as its second version, and read back."""
+    root = new_path(df.sparkSession, name)
+    commits.commit(df.sparkSession, root, {name: df.limit(0)})
+    commits.append(df.sparkSession, root, {name: df})
+    return commits.read(df.sparkSession, root, name)
