@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -254,10 +255,9 @@ def _block(row: dict) -> Block:
     return Block(ids, known, np.frombuffer(row["whole"], kind).reshape(n, size), row["low"], row["shift"], row["bits"], np.frombuffer(row["slices"], np.uint64), row["norm"], row["rest"])
 
 
-def _best(blocks: DataFrame, queries: list[list[int]], k: int) -> DataFrame:
-    """(place in queries, vec_id, score): each task's best k of each query, over all of its blocks."""
+def _best(blocks: DataFrame, sent: Broadcast, k: int) -> DataFrame:
+    """(place among the sent queries, vec_id, score): each task's best k of each query, over all of its blocks."""
     schema = pa.schema([("place", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    sent = blocks.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[int, bool, int]]] = {}
@@ -292,8 +292,10 @@ def search(blocks: DataFrame, queries: DataFrame, k: int = TOP, chunk: int = CHU
         rows = asked.filter(part == c).collect()  # about `chunk` rows
         facts = spark.createDataFrame([(i, (c << 32) + i, r.vec_id, r.copies, min(sum(x * x for x in r.q), LONGEST)) for i, r in enumerate(rows)], f"place int, {schema.split(', vec_id')[0]}")
         first = Window.partitionBy("place").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-        best = _best(blocks, [list(r.q) for r in rows], k + 1).withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= k + 1)
+        sent = spark.sparkContext.broadcast([list(r.q) for r in rows])
+        best = _best(blocks, sent, k + 1).withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= k + 1)
         best.join(F.broadcast(facts), "place").select("number", "query_id", "copies", "own", "vec_id", "score").write.mode("append").parquet(path)
+        sent.unpersist()  # the next chunk takes its place
     return ranked(spark.read.schema(schema).parquet(path), k)
 
 
