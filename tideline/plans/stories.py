@@ -14,9 +14,11 @@ from .drafts import PROBLEMS, VIEWS, drafts
 @query("select c_custkey as story_id, cast(1 + coalesce(sum(ref_version), 0) as bigint) as version, count(task_id) as tasks, sha256(concat(c_name, '|', coalesce(string_agg(concat(code, ':', cast(ref_version as varchar)), ',' order by code), ''))) as ref_hash from customer left join task on story_id = c_custkey group by c_custkey, c_name", ("task",))
 def story_versions(spark, sf):
     """A story's reference version goes up by one with each task that is added (a task's first version) or edited (its further ones)."""
-    tasks = table(spark, sf, "task").groupBy("story_id").agg(F.sum("ref_version").alias("edits"), F.count(F.lit(1)).alias("tasks"), F.array_join(F.array_sort(F.collect_list(F.struct("code", F.concat("code", F.lit(":"), F.col("ref_version").cast("string")).alias("mark"))))["mark"], ",").alias("marks"))
-    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("story_id"), "c_name").join(tasks, "story_id", "left")
-    return rows.select("story_id", (1 + F.coalesce("edits", F.lit(0))).cast("long").alias("version"), F.coalesce("tasks", F.lit(0)).alias("tasks"), F.sha2(F.concat("c_name", F.lit("|"), F.coalesce("marks", F.lit(""))), 256).alias("ref_hash"))
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name").join(table(spark, sf, "task").select("story_id", "task_id", "code", "ref_version"), F.col("c_custkey") == F.col("story_id"), "left")
+    mark = F.concat_ws("", "code", F.lit(":"), F.col("ref_version").cast("string"))  # a story without tasks has one mark, of nothing
+    marks = F.array_join(F.array_sort(F.collect_list(F.struct("code", mark.alias("mark"))))["mark"], ",")
+    stories = rows.groupBy("c_custkey", "c_name").agg(F.sum("ref_version").alias("edits"), F.count("task_id").alias("tasks"), marks.alias("marks"))
+    return stories.select(F.col("c_custkey").alias("story_id"), (1 + F.coalesce("edits", F.lit(0))).cast("long").alias("version"), "tasks", F.sha2(F.concat_ws("", "c_name", F.lit("|"), "marks"), 256).alias("ref_hash"))
 
 
 @query("""+ delta as (select l_orderkey as task_id, l_linenumber as position, l_partkey, case l_partkey % 4 when 0 then l_orderkey when 1 then l_orderkey + 1 when 2 then l_orderkey - 1 end as linked from lineitem),
