@@ -147,6 +147,8 @@ AS_OF = "1999-06-01 00:00:00"
 # Minutes of the pauses after a run; runs and attempts of a task, at most; runs at a time.
 PAUSES, MAX_RUNS, MAX_ATTEMPTS, SLOTS = (1, 5, 15), 6, 3, 25
 LATEST = "finished_at desc, attempt_no desc, session_id desc, input_tokens desc, output_tokens desc"
+#: Parts of the tasks of a type and status, each of which meets all agents of it in a task of its own.
+SPREAD = 64
 SCHEDULER_VIEWS = ("flow_version", "flow_status", "project", "task", "card", "relation", "run", "item", "assignment")
 
 
@@ -168,19 +170,21 @@ SCHEDULER_ANSWER = f"""select p.task_id, p.agent_id, run_mode, case when p.weigh
     left join spent on spent.task_id = p.task_id left join flop f on f.task_id = p.task_id left join held h on h.task_id = p.task_id"""
 
 
-@query(f"+ {SCHEDULER_FACTS}, answer as ({SCHEDULER_ANSWER}) select task_id, run_mode, decision, count(agent_id) as agents from answer group by 1, 2, 3", SCHEDULER_VIEWS)
+@query(f"+ {SCHEDULER_FACTS} {SCHEDULER_ANSWER}", SCHEDULER_VIEWS)
 def scheduler_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Why a candidate task is launched or not, with how many of its agents each answer holds for: the first rule in the scheduler's order.
+    """Why each pair of a candidate task and an agent is launched or not: the first rule in the scheduler's order.
 
     Assignment (all agents where the first is parallel, else the first one), a live run of the pair, the pause after its last run
     (not for a story whose plan is out of date), a paused provider, a stand that is down, then the task's run limit,
-    its attempts (which a provider's failure spares), and open blockers.
+    its attempts (which a provider's failure spares), and open blockers. Rows are as many as there are pairs.
     """
-    counts = F.array(*(F.struct(F.lit(k).alias("decision"), F.col(n).alias("agents")) for k, n in (("running", "n_running"), ("retry_pause", "n_pause"), ("provider_paused", "n_paused"))), F.struct(F.col("rest").alias("decision"), F.col("n_free").alias("agents")))
-    alike = F.array(F.struct(F.when(F.col("reserved"), "reserved").otherwise("not_assigned").alias("decision"), F.col("n_agents").alias("agents")))
-    one = F.col("reserved") | (F.col("n_agents") == 0)
-    rows = _candidates(spark, sf)[0].select("task_id", "run_mode", F.explode(F.when(one, alike).otherwise(F.filter(counts, lambda x: x["agents"] > 0))).alias("x"))
-    return rows.select("task_id", "run_mode", "x.decision", "x.agents")
+    tasks = _candidates(spark, sf)[0].select("task_id", "type_key", "status_key", "reserved", "fresh", "rest", "live_agents", "waiting_agents", F.pmod(F.xxhash64("task_id"), F.lit(SPREAD)).cast("int").alias("part"))
+    staff = _staff(spark, sf).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).hint("merge")  # never sent whole to each executor
+    pairs = tasks.join(staff, ["type_key", "status_key", "part"], "left")
+    of = lambda agents: F.array_contains(agents, F.col("agent_id"))
+    rules = [(F.col("reserved"), "reserved"), (F.col("agent_id").isNull(), "not_assigned"), (of("live_agents"), "running"), (of("waiting_agents") & ~F.col("fresh"), "retry_pause"), (F.col("paused"), "provider_paused")]
+    decision = F.coalesce(*(F.when(c, F.lit(k)) for c, k in rules), "rest")
+    return pairs.select("task_id", "agent_id", F.coalesce("run_mode", F.lit("replacement")).alias("run_mode"), decision.alias("decision"))
 
 
 def _staff(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,7 +221,7 @@ def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     tasks = candidates.join(teams, ["type_key", "status_key"], "left").join(by_task, "task_id", "left").join(plan, "task_id", "left").join(held, "task_id", "left").join(stand, ["type_key", "status_key"], "left")
     fresh = (F.col("type_key") == "story") & (F.col("ref_version") > F.coalesce("stamp", F.lit(0)))
     waits = F.col("over") & ~F.col("live")
-    odd = own.groupBy("task_id").agg(*(F.count_if(c).alias(n) for n, c in (("running", F.col("live")), ("running_paused", F.col("live") & F.col("paused")), ("waiting", waits), ("waiting_paused", waits & F.col("paused")))))
+    odd = own.groupBy("task_id").agg(*(F.count_if(c).alias(n) for n, c in (("running", F.col("live")), ("running_paused", F.col("live") & F.col("paused")), ("waiting", waits), ("waiting_paused", waits & F.col("paused")))), *(F.collect_set(F.when(c, F.col("agent_id"))).alias(n) for n, c in (("live_agents", F.col("live")), ("waiting_agents", waits))))
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     unless_fresh = lambda c: F.when(fresh, 0).otherwise(n(c))
     rules = [
