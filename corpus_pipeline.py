@@ -22,7 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more): the one with the smallest id.
 
-    Candidates come from minima of hash functions in bands, not from fingerprints, which cannot reach this similarity; the README has the figures.
+    SimHash links fingerprints within two bits by op10_simhash's own code, and every pair is verified exactly. Pairs at this similarity
+    that differ in more bits are found by minima of hash functions in bands; the README has the figures.
     """
     return jaccard.one_of_each(docs)
 

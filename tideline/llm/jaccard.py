@@ -1,20 +1,22 @@
-"""Near-duplicate groups by the Jaccard similarity of five-word shingles, each link verified exactly.
+"""Near-duplicate groups by SimHash, completed by minima in bands: every link has a Jaccard similarity of 0.8 or more of five-word shingles, verified exactly.
 
 1. A kernel makes of each whole text the set of its shingles' hashes, a digest of that set (texts with one digest are one
-   node from here on), BANDS keys of ROWS minima each, and a sketch: four bits of each of the BANDS x ROWS minima. Two
-   sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99993 at 0.8. A pair whose sizes rule
-   0.8 out, or whose sketches differ in more than APART places, is not looked at further: at 0.8 that many differ with a
-   chance under 1 in 100,000.
-2. Every node of a key is compared with one of them, the pivot, which is the same for most keys of a group of copies. The
+   node from here on), the set's SimHash fingerprint, BANDS keys of ROWS minima each, and a sketch: four bits of each of
+   the BANDS x ROWS minima. A pair whose sizes rule 0.8 out, or whose sketches differ in more than APART places, is not
+   looked at further: at 0.8 that many differ with a chance under 1 in 100,000.
+2. Fingerprints within RADIUS bits are linked by simhash.links, without loss, and their components are keys of the nodes.
+   Sets of similarity 0.8 may differ in more bits than that; so each band is a key as well, and two sets of similarity s
+   share one with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99993 at 0.8.
+3. Every node of a key is compared with one of them, the pivot, which is the same for most keys of a group of copies. The
    links found make components, and a key of two nodes, or with all nodes in one component, is done. While a key is too
-   large for step 3 this is done anew, with other pivots, a few times.
-3. The sets of a key that still has several components are compared in one task, all with all by counting what they have
+   large for step 4 this is done anew, with other pivots, a few times.
+4. The sets of a key that still has several components are compared in one task, all with all by counting what they have
    in common in matrix products, and what comes out is a spanning star of the links. That is done for keys of at most
-   GROUP nodes and ELEMENTS hashes. The nodes of larger ones get new, finer keys, for which steps 2 and 3 are done again:
+   GROUP nodes and ELEMENTS hashes. The nodes of larger ones get new, finer keys, for which steps 3 and 4 are done again:
    of so many rows as make keys of texts at a similarity of 0.7 small enough, and so many keys that a pair at 0.8 shares
    one with probability 0.9999 again. No key is dropped, capped or sampled.
-4. All links are verified on the whole sets, in integers; only texts that are in an open key are shingled again for that.
-5. Links are merged by simhash.components.
+5. All links are verified on the whole sets, in integers; only texts that are in an open key are shingled again for that.
+6. Links are merged by simhash.components.
 
 Defined results: null and empty texts are one node; a text of fewer words than a shingle is one shingle; the group's row
 is chosen as in simhash.first_rows.
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from . import runtime, simhash
 
 WIDTH = 5
+#: Bits in which linked fingerprints may differ.
+RADIUS = 2
 BANDS, ROWS = 24, 5
 GROUP = 2048
 ELEMENTS = 4 << 20
@@ -91,7 +95,8 @@ def marks(texts: list[bytes]) -> dict[str, list]:
 def _signed(texts: list[bytes]) -> dict[str, list]:
     sets = [shingles(t) for t in texts]
     least = [minima(s) if len(s) else None for s in sets]
-    return {"fp": np.array([digest(s) for s in sets], np.uint64).view(np.int64), "n": list(map(len, sets)), "sketch": [[] if x is None else sketch(x).tolist() for x in least], "bands": [[] if x is None else bands(x).tolist() for x in least]}
+    prints = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+    return {"fp": np.array([digest(s) for s in sets], np.uint64).view(np.int64), "n": list(map(len, sets)), "print": prints, "sketch": [[] if x is None else sketch(x).tolist() for x in least], "bands": [[] if x is None else bands(x).tolist() for x in least]}
 
 
 def _sets(texts: list[bytes]) -> dict[str, list]:
@@ -127,6 +132,18 @@ def _made_of(wanted: DataFrame, kernel, made: str, df: DataFrame, rows: DataFram
     return runtime.written(alone.unionByName(among.join(others, "fp", "left_semi").dropDuplicates(["fp"])), "jaccard-sets")
 
 
+def keys_of_bands(nodes: DataFrame) -> DataFrame:
+    """(fp, n, key) for each band of each node."""
+    return nodes.select("fp", "n", F.posexplode("bands").alias("band", "value")).select("fp", "n", F.xxhash64("band", "value").alias("key"))
+
+
+def keys_of_prints(nodes: DataFrame) -> DataFrame:
+    """(fp, n, key): nodes whose fingerprints are linked, directly or not, have one key."""
+    prints = nodes.filter("n > 0").select(F.col("print").alias("fp")).distinct()
+    root = simhash.components(simhash.links(prints, RADIUS)).select(F.col("a").alias("print"), F.col("b").alias("root"))
+    return nodes.filter("n > 0").select("fp", "n", "print").join(root, "print", "left").select("fp", "n", F.xxhash64(F.lit("print"), F.coalesce("root", "print")).alias("key"))
+
+
 def _plausible(x: str, y: str) -> str:
     """SQL: sizes and sketches of two nodes allow a similarity of 0.8."""
     bits = lambda i: f"({x}.sketch[{i}] ^ {y}.sketch[{i}])"
@@ -190,12 +207,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def groups(df: DataFrame, rows: DataFrame, nodes: DataFrame, id_col: str, text_col: str, group: int = GROUP, elements: int = ELEMENTS) -> DataFrame:
-    """fp and root of the nodes that have a smaller one in their component, by the links of nodes (fp, n, sketch, bands, least) that share a key."""
+    """fp and root of the nodes that have a smaller one in their component, by the links of nodes (fp, n, print, sketch, bands, least) that share a key."""
     info = nodes.select("fp", "n", "sketch")
     of_nodes = lambda wanted, kernel, made: _made_of(wanted, kernel, made, df, rows, nodes, id_col, text_col)
     sets_of = lambda wanted: of_nodes(wanted, _sets, "own array<long>")
-    keyed = lambda some: some.select("fp", "n", F.posexplode("bands").alias("band", "value")).select("fp", "n", F.xxhash64("band", "value").alias("key"))
-    keys, root, width = keyed(nodes), None, ROWS
+    keys, root, width = keys_of_prints(nodes).unionByName(keys_of_bands(nodes)), None, ROWS
     found: list[DataFrame] = []
     of_root = lambda k: k.withColumn("root", F.col("fp")) if root is None else k.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     while True:
@@ -222,13 +238,13 @@ def groups(df: DataFrame, rows: DataFrame, nodes: DataFrame, id_col: str, text_c
         width = min(MOST_ROWS, width + max(5, int(np.ceil(np.log(most) / np.log(1 / 0.7)))))
         count = int(np.ceil(np.log(1e-4) / np.log(1 - 0.8**width)))
         again = keys.select("key", "fp").join(large.select("key"), "key", "left_semi").select("fp").distinct()
-        keys = keyed(of_nodes(again, _finer(width, count), "n long, bands array<long>"))
+        keys = keys_of_bands(of_nodes(again, _finer(width, count), "n long, bands array<long>"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, elements: int = ELEMENTS) -> DataFrame:
     """df with one row of each group: the one with the smallest id (null last), then node, then row."""
-    rows = runtime.written(runtime.map_rows(df, [id_col], text_col, _signed, "fp long, n long, sketch array<long>, bands array<long>").toDF("id", "fp", "n", "sketch", "bands"), "jaccard-rows")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    rows = runtime.written(runtime.map_rows(df, [id_col], text_col, _signed, "fp long, n long, print long, sketch array<long>, bands array<long>").toDF("id", "fp", "n", "print", "sketch", "bands"), "jaccard-rows")
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = runtime.written(nodes, "jaccard-nodes")
     root = groups(df, rows, nodes, id_col, text_col, group, elements)
     nodes = nodes.select("fp", "least").join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -57,7 +57,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """A bit is set if it is set in over half of the shingles' hashes; unsigned."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; unsigned, and zero for none."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
