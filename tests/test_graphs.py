@@ -87,3 +87,18 @@ def test_an_index_of_trigrams_reads_few_blocks(spark, tmp_path):
         size[n] = trigrams.bytes_of(spark, path, blocks)
     print("bytes read of", whole, size)
     assert size[12] < 0.2 * whole and size[40] <= size[12] <= size[6] <= size[3] <= whole
+
+
+def test_each_way_is_written_once(spark):
+    """The rounds' tables hold each way once, not all ways known so far."""
+    from pathlib import Path
+
+    from tideline.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("reachable-*"))
+    edges = [(i, i + 1) for i in range(40)] + [(40, 30), (3, 9), (50, 50)]
+    found, _ = graphs.reachable(spark.createDataFrame(edges, "a long, b long"))
+    assert {(r.a, r.b): r.steps for r in found.collect()} == ways(edges)
+    (mine,) = set(folder.glob("reachable-*")) - before
+    assert sum(spark.read.parquet(str(p)).count() for p in mine.iterdir()) == found.count()

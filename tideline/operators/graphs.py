@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_path
+from ..session import new_path, release
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
@@ -16,22 +16,24 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
 def reachable(edges: DataFrame) -> tuple[DataFrame, int]:
     """(a, b, steps): every node b that can be reached from a, by the fewest steps; and the number of rounds.
 
-    Pointer doubling: a round joins the known ways end to start, so the ways of up to n steps become those of up to 2n. It
-    ends when no way is new or shorter. A node on a cycle reaches itself. Each round's ways are a table in the shared folder.
-    Edges with a null end lead nowhere; repeated ones count once.
+    A round knows all ways of up to n fewest steps and joins those of exactly n with all of them, end to start: a shortest way
+    of more than n and up to 2n steps begins with one of exactly n and goes on with a known one, so no way is put together
+    at more than one place. It ends when no way has n steps. A node on a cycle reaches itself. Each round's new ways are a
+    table in the shared folder. Edges with a null end lead nowhere; repeated ones count once.
     """
     spark: SparkSession = edges.sparkSession
-    base, rounds = new_path(spark, "reachable"), 0
-    ways = _kept(edges.select("a", "b").filter("a is not null and b is not null").distinct().withColumn("steps", F.lit(1)), f"{base}/0")
-    size = ways.agg(F.count(F.lit(1)).alias("n"), F.sum("steps").alias("s")).first()
+    base, rounds, steps = new_path(spark, "reachable"), 0, 1
+    new = _kept(edges.select("a", "b").filter("a is not null and b is not null").distinct().withColumn("steps", F.lit(1)), f"{base}/0")
+    ways = new
     while True:
         rounds += 1
-        longer = ways.alias("x").join(ways.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.steps") + F.col("y.steps")).alias("steps"))
-        ways = _kept(ways.unionByName(longer).groupBy("a", "b").agg(F.min("steps").alias("steps")), f"{base}/{rounds}")
-        now = ways.agg(F.count(F.lit(1)).alias("n"), F.sum("steps").alias("s")).first()
-        if now == size:
+        far = new.filter(F.col("steps") == steps)
+        if far.isEmpty():
             return ways, rounds
-        size = now
+        longer = far.alias("x").join(ways.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"), (F.col("x.steps") + F.col("y.steps")).alias("steps"))
+        new = _kept(longer.groupBy("a", "b").agg(F.min("steps").alias("steps")).join(ways, ["a", "b"], "left_anti"), f"{base}/{rounds}")
+        ways, steps = ways.unionByName(new), 2 * steps
+        release(spark)
 
 
 def chains(links: DataFrame) -> tuple[DataFrame, int]:
