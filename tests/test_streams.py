@@ -118,3 +118,12 @@ def test_a_cluster_has_to_name_its_shared_folder():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_neighbouring_tasks_share_a_state_row(spark):
+    """Eighty tasks with a live run each are two rows of state; repeated rows of a delivery count once."""
+    rows = [(1, 1, "2024-01-01 00:00:00", "view", None)] + [(7 * k, k, f"2024-01-30 00:00:{k % 60:02}", "view", '{"k": 0}') for k in range(64, 144)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, t string, event_type string, props string").selectExpr("event_id", "user_id", "cast(t as timestamp_ntz) as ts", "event_type", "0.0 as value", "props")
+    found, progress = heartbeats.lost_runs(events)
+    assert [(r.task_id, r.beats, r.outcome) for r in found.collect()] == [(1, 1, "failed")]
+    assert [op["numRowsTotal"] for op in progress[-1]["stateOperators"]] == [2]

@@ -52,14 +52,16 @@ def read(landing: DataFrame, path: str) -> DataFrame:
 
 
 def in_deliveries(rows: DataFrame, name: str, start: Callable[[str], DataStreamWriter], n: int = DELIVERIES, restarts: int = 0) -> tuple[str, list[dict]]:
-    """Lands delivery after delivery and runs the stream that start makes for a base path until it has read each.
+    """Lands delivery after delivery, which are told apart once, and runs the stream that start makes for a base path until it has read each.
 
     A stream that fails is started again from its checkpoint, so many times in all. Returns the base path and the progress
     of all batches.
     """
     base, progress = new_path(rows.sparkSession, name), []
+    rows.write.partitionBy("delivery").parquet(f"{base}/deliveries")
+    told = rows.sparkSession.read.schema(rows.schema).parquet(f"{base}/deliveries").select(*rows.columns)
     for k in range(n):
-        rows.filter(F.col("delivery") == k).write.mode("append").parquet(f"{base}/landing")
+        told.filter(F.col("delivery") == k).write.mode("append").parquet(f"{base}/landing")
         while True:
             running = start(base).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
             try:

@@ -1,13 +1,14 @@
 """Heartbeats with timers: runs that are not heard of for too long fail, and free their task when no other run lives.
 
-State by task: beats not yet in order (newer than the watermark) and its live runs. When the watermark advances, beats up to
+State by block of BLOCK neighbouring task numbers, and in it by task: beats not yet in order (newer than the watermark) and its live runs. When the watermark advances, beats up to
 it are taken in order of time and number; a run's deadline is its last beat plus the patience. A beat at the deadline still
-counts. An event-time timer is set for the first deadline or waiting beat of the task, so a run fails though nothing more
-is heard of its task. A task without a live run and a waiting beat has no state. Beats at or below the watermark are too
+counts. An event-time timer is set for the first deadline or waiting beat of the block, so a run fails though nothing more
+is heard of its task. A task without a live run and a waiting beat has no state, nor has a block without such a task. A block, not a task, is what
+Spark hands to Python, since that costs far more than to take a task's few beats. Beats at or below the watermark are too
 late: Spark leaves them out.
 
 Defined results: a report of a run that does not live is left out; the first beat after an end begins a new run; equal
-times go by event number; a repeated row is a beat of its own.
+times go by event number; a repeated row counts once: while it is not late, its first copy still waits.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from . import arrivals
 
-STATE = "at array<long>, number array<long>, lane array<long>, report array<boolean>, live array<long>, started array<long>, last array<long>, beats array<long>"
+#: Task numbers that share a state row: 2 ** BLOCK_BITS.
+BLOCK_BITS = 6
+STATE = "task array<long>, at array<long>, number array<long>, lane array<long>, report array<boolean>, of array<long>, live array<long>, started array<long>, last array<long>, beats array<long>"
 ENDED = "task_id long, lane long, started_us long, last_us long, beats long, outcome string, ended_us long, released boolean"
 Beat = tuple[int, int, int, bool]
 Run = list[int]
@@ -58,25 +61,33 @@ def ended_runs(beats: DataFrame, patience: int) -> DataFrame:
     """A stream (task_id, lane, report, event_id, us, and at with a watermark) as the runs that end, each once."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, number, lane, report, *runs = ([list(x) for x in state.get] if state.exists else [[] for _ in range(8)])
-        live = {k: list(run) for k, *run in zip(*runs)}
+        task, at, number, lane, report, *runs = ([list(x) for x in state.get] if state.exists else [[] for _ in range(10)])
+        tasks: dict[int, tuple[dict[int, Run], set[Beat]]] = {}
+        for t, k, *run in zip(*runs):
+            tasks.setdefault(t, ({}, set()))[0][k] = list(run)
         for p in parts:
-            at += p["us"].tolist()
-            number += p["event_id"].tolist()
-            lane += p["lane"].tolist()
-            report += p["report"].tolist()
+            for kept, c in ((task, "task_id"), (at, "us"), (number, "event_id"), (lane, "lane"), (report, "report")):
+                kept += p[c].tolist()
+        for t, *beat in zip(task, at, number, lane, report):
+            tasks.setdefault(t, ({}, set()))[1].add(tuple(beat))
         mark = state.getCurrentWatermarkMs() * 1000
-        ended, waiting = advance(live, list(zip(at, number, lane, report)), mark, patience)
-        if live or waiting:
-            kept = [[int(b[0]) for b in waiting], [int(b[1]) for b in waiting], [int(b[2]) for b in waiting], [bool(b[3]) for b in waiting]]
-            state.update((*kept, list(live), *([int(run[i]) for run in live.values()] for i in range(3))))
-            first = min([b[0] for b in waiting] + [run[1] + patience for run in live.values()])
-            state.setTimeoutTimestamp(max(-(-first // 1000) - 1, 1))  # fires once the watermark has reached it
+        ended, first, beats_left, runs_left = [], [], [], []
+        for t, (live, waiting) in tasks.items():
+            done, rest = advance(live, list(waiting), mark, patience)
+            ended += [(t, *e) for e in done]
+            beats_left += [(t, *b) for b in rest]
+            runs_left += [(t, k, *run) for k, run in live.items()]
+            first += [b[0] for b in rest] + [run[1] + patience for run in live.values()]
+        if first:
+            columns = lambda rows, n: map(list, zip(*rows)) if rows else ([] for _ in range(n))
+            state.update((*columns(beats_left, 5), *columns(runs_left, 5)))
+            state.setTimeoutTimestamp(max(-(-min(first) // 1000) - 1, 1))  # fires once the watermark has reached it
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([(key[0], *e) for e in ended], columns=[x.split(" ")[0] for x in ENDED.split(", ")])
+        if ended:
+            yield pd.DataFrame(ended, columns=[x.split(" ")[0] for x in ENDED.split(", ")])
 
-    return beats.groupBy("task_id").applyInPandasWithState(step, ENDED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return beats.withColumn("block", F.shiftright("task_id", BLOCK_BITS)).groupBy("block").applyInPandasWithState(step, ENDED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lost_runs(events: DataFrame, patience_hours: int = 24, delay_days: int = arrivals.DELAY_DAYS, n: int = arrivals.DELIVERIES) -> tuple[DataFrame, list[dict]]:
@@ -86,8 +97,8 @@ def lost_runs(events: DataFrame, patience_hours: int = 24, delay_days: int = arr
 
     def start(base: str):
         beats = arrivals.read(landed, f"{base}/landing").withWatermark("at", f"{delay_days} days").filter("user_id is not null")
-        beats = beats.select(F.col("user_id").alias("task_id"), (F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) % 2).alias("lane"), (F.col("event_type") == "purchase").alias("report"), "event_id", arrivals.micros().alias("us"), "at")
-        return ended_runs(beats.dropDuplicatesWithinWatermark(["event_id"]), patience_hours * 3600 * arrivals.MICROS).writeStream.foreachBatch(arrivals.by_batch(lambda k: f"{base}/ended/{k}"))
+        beats = beats.select(F.col("user_id").alias("task_id"), (F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) % 2).alias("lane"), F.coalesce(F.col("event_type") == "purchase", F.lit(False)).alias("report"), "event_id", arrivals.micros().alias("us"), "at")
+        return ended_runs(beats, patience_hours * 3600 * arrivals.MICROS).writeStream.foreachBatch(arrivals.by_batch(lambda k: f"{base}/ended/{k}"))
 
     base, progress = arrivals.in_deliveries(landed, "heartbeats", start, n)
     time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
