@@ -31,3 +31,16 @@ def test_bundles_of_unlike_parts(spark):
         got = {r.key: (r.text, r.n_parts) for r in budgets.bundles(df, "key", "part", "at", "line", budget, least).collect()}
         assert got == plain(lines, budget, least) and all(len(t) <= budget for t, _ in got.values())
     assert budgets.bundles(df.limit(0), "key", "part", "at", "line", 10, 0).count() == 0
+
+
+def test_ordinary_and_crowded_keys_are_alike(spark):
+    """Keys of few lines go by one shuffle, those of many by ranges; both as plain code."""
+    rnd = random.Random(9)
+    lines = [(k, p, at, "é" * rnd.randrange(30)) for k in range(8) for p in range(5) for at in rnd.sample(range(10**7), rnd.randrange(1, 9 if k < 5 else 40))]
+    df = spark.createDataFrame(lines, "key long, part int, at long, line string").repartition(4)
+    for large in (0, 60, 10**6):
+        got = {r.key: (r.text, r.n_parts) for r in budgets.bundles(df, "key", "part", "at", "line", 200, 20, large).collect()}
+        assert got == plain(lines, 200, 20)
+    sized = df.selectExpr("key", "part", "at", "line as _line", "cast(length(line) as long) + 1 as _size")
+    plan = budgets.within(sized, "key", "part", "at", 200, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

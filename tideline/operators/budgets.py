@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import new_path
+from ..session import new_path, release
 
 #: Ranges of row numbers by which sizes are added up, widest first.
 SPANS = (10**9, 10**6, 10**3)
+#: Lines of a key that one task adds up.
+LARGE = 100_000
 
 
 def running(rows: DataFrame, keys: list[str], at: str, size: str, limit: Column | int, name: str = "before") -> DataFrame:
@@ -41,17 +43,44 @@ def allotted(sizes: DataFrame, key: str, part: str, budget: int, least: int) ->
     return sizes.withColumn("allotted", sure + F.greatest(F.lit(0), F.least(F.col("size") - sure, rest - asked)))
 
 
-def bundles(lines: DataFrame, key: str, part: str, at: str, line: str, budget: int, least: int) -> DataFrame:
+def within(lines: DataFrame, key: str, part: str, at: str, budget: int, least: int) -> DataFrame:
+    """Rows with the sum of _size before them in their part, and what `allotted` gives the part: one shuffle, by key."""
+    of_part = Window.partitionBy(key, part)
+    rows = lines.repartition(key).withColumn("before", F.coalesce(F.sum("_size").over(of_part.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_whole", F.sum("_size").over(of_part))
+    first = F.row_number().over(of_part.orderBy(at)) == 1
+    rows = rows.withColumn("_first", first)
+    sure = F.least("_whole", F.lit(least))
+    more = F.col("_whole") - sure
+    asked = F.coalesce(F.sum(F.when(F.col("_first"), more)).over(Window.partitionBy(key).orderBy(part, at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.when(F.col("_first"), 0).otherwise(more)
+    rest = F.lit(budget) - F.sum(F.when(F.col("_first"), sure)).over(Window.partitionBy(key))
+    return rows.withColumn("allotted", sure + F.greatest(F.lit(0), F.least(more, rest - asked))).drop("_whole", "_first")
+
+
+def bundles(lines: DataFrame, key: str, part: str, at: str, line: str, budget: int, least: int, large: int = LARGE) -> DataFrame:
     """(key, text, n_parts): the lines of each key's parts in order, each with a line break, as far as each part's allotment goes.
 
-    The lines are written to the shared folder first, since each range of places is a pass over them. A null line is an empty one. No text is longer than the budget: what is collected for a key is at most so many characters.
+    The lines are written to the shared folder first. Keys of at most `large` lines are shuffled once; for those of more, each range
+    of places is a pass over their lines. A null line is an empty one. No text is longer than the budget: what is collected for a key is at most so many characters.
     """
+    spark = lines.sparkSession
     whole = lines.select(key, part, at, F.concat(F.coalesce(line, F.lit("")), F.lit("\n")).alias("_line")).withColumn("_size", F.length("_line").cast("long"))
-    path = new_path(lines.sparkSession, "bundles")
-    whole.write.parquet(path)
-    whole = lines.sparkSession.read.schema(whole.schema).parquet(path)
-    shares = allotted(whole.groupBy(key, part).agg(F.sum("_size").alias("size")), key, part, budget, least)
-    rows = running(whole, [key, part], at, "_size", budget).join(shares.select(key, part, "allotted"), [key, part]).filter(F.col("before") < F.col("allotted"))
-    kept = rows.withColumn("_line", F.substring("_line", F.lit(1), (F.col("allotted") - F.col("before")).cast("int")))
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = new_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    whole = kept(whole, "bundles")
+    crowded = kept(whole.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > large).select(key), "bundles-crowded")
+    release(spark)
+    if crowded.isEmpty():
+        rows = within(whole, key, part, at, budget, least)
+    else:
+        many = whole.join(crowded, key, "left_semi")
+        shares = allotted(many.groupBy(key, part).agg(F.sum("_size").alias("size")), key, part, budget, least)
+        ranged = running(many, [key, part], at, "_size", budget).join(shares.select(key, part, "allotted"), [key, part])
+        rows = within(whole.join(crowded, key, "left_anti"), key, part, at, budget, least).unionByName(ranged)
+    rows = rows.filter(F.col("before") < F.col("allotted"))
+    rows = rows.withColumn("_line", F.substring("_line", F.lit(1), (F.col("allotted") - F.col("before")).cast("int")))
     ordered = F.array_sort(F.collect_list(F.struct(part, at, "_line")))
-    return kept.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["_line"]), "").alias("text"), F.count_distinct(part).alias("n_parts"))
+    return rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["_line"]), "").alias("text"), F.count_distinct(part).alias("n_parts"))
