@@ -102,3 +102,15 @@ def test_each_way_is_written_once(spark):
     assert {(r.a, r.b): r.steps for r in found.collect()} == ways(edges)
     (mine,) = set(folder.glob("reachable-*")) - before
     assert sum(spark.read.parquet(str(p)).count() for p in mine.iterdir()) == found.count()
+
+
+def test_trigrams_are_numbers_in_the_index_and_in_needles(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    texts = ["Straße 𝒜bc", "ab", "", None, "xyz" * 2000, "İx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    trigrams.build(df, "id", "text", path, 1)
+    small = [r.text for r in spark.read.parquet(f"{path}/rows").collect()]
+    assert sorted(t for t in small if t is not None) == sorted(r.t for r in df.selectExpr("lower(text) as t").collect() if r.t is not None)
+    want = {sum(ord(c) << 21 * (2 - k) for k, c in enumerate(t[i : i + 3])) for t in small if t for i in range(len(t) - 2)}
+    kept = {r.gram for r in spark.read.parquet(f"{path}/grams").collect()}
+    assert want <= kept and want == {g for r in df.select(trigrams.grams(df["text"]).alias("g")).collect() for g in r.g or []}
